@@ -61,6 +61,7 @@ def search(
     entries: DataFrame,
     files: DataFrame | None = None,
     upload_id: str | None = None,
+    /,
     *,
     limit: int | None = None,
     offset: int | None = None,
@@ -72,7 +73,7 @@ def search(
     return cut(hits.select(*ENTRY_COLUMNS).orderBy("file_id", "seq"), limit, offset)
 
 
-def correlate_rows(entries: DataFrame, files: DataFrame, upload_id: str | None = None, **filters) -> DataFrame:
+def correlate_rows(entries: DataFrame, files: DataFrame, upload_id: str | None = None, /, **filters) -> DataFrame:
     """Matching entries of one upload (or of all) with their file name, unordered."""
     names = files.select(F.col("id").alias("file_id"), "filename", F.col("upload_id").alias("file_upload_id"))
     if upload_id is not None:
@@ -95,6 +96,7 @@ def correlate(
     entries: DataFrame,
     files: DataFrame,
     upload_id: str | None = None,
+    /,
     *,
     limit: int | None = None,
     offset: int | None = None,
