@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loglake.functions.text import is_blank, trim_space
+from loglake.functions.times import let
+from loglake.sources.encodings import UTF8, decode_text, detect_encoding
 from loglake.operators.formats import FIELD_NAMES, SAMPLE_LINES, FormatSpec, detect_in, formats, resolve_parts
 
 
@@ -24,15 +26,33 @@ from loglake.operators.formats import FIELD_NAMES, SAMPLE_LINES, FormatSpec, det
 
 
 def clean_text(content: Column) -> Column:
-    """Drop a byte-order mark, carriage returns at line ends and the last line feed."""
-    text = F.regexp_replace(content, r"^\x{FEFF}", "")
+    """Drop a byte-order mark, the last line feed and carriage returns at line ends.
+
+    An empty content has no line at all and gives NULL, unlike one blank line.
+    """
+    text = F.regexp_replace(F.regexp_replace(content, r"^\x{FEFF}", ""), r"\n\z", "")
     text = F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, r"\r+(?=\n|\z)", "")).otherwise(text)
-    return F.regexp_replace(text, r"\n\z", "")
+    return F.when(content != "", text)
+
+
+# Characters looked at first for the sample lines of a text.
+HEAD_CHARS = 1 << 16
 
 
 def sample_lines(text: Column, count: int = SAMPLE_LINES) -> Column:
-    """The first non-blank lines of a cleaned text."""
-    return F.slice(F.filter(F.split(text, "\n"), lambda line: ~is_blank(line)), 1, count)
+    """The first non-blank lines of a cleaned text.
+
+    The beginning of the text mostly holds enough of them; only if not, all is split.
+    """
+    def first(part: Column) -> Column:
+        return F.slice(_non_blank(F.split(part, "\n")), 1, count)
+
+    # what comes after the last line feed of the beginning may be half a line
+    head = F.substring_index(F.substring(text, 1, HEAD_CHARS), "\n", -1)
+    begin = F.substring(text, 1, HEAD_CHARS)
+    begin = F.substr(begin, F.lit(1), F.length(begin) - F.length(head))
+    found = let(first(begin), lambda some: F.when(F.size(some) == count, some).otherwise(first(text)))
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def _trim_first_line(record: Column) -> Column:
@@ -68,7 +88,7 @@ def records_in(text: Column, spec: FormatSpec) -> Column:
         found = lines if spec.keep_blank else _non_blank(lines)
     else:
         found = F.flatten(F.transform(F.split(text, spec.split_pattern), lambda part: _split_segment(part, spec)))
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(found)
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def records_by_format(text: Column, fmt: Column, specs: list[FormatSpec] | None = None) -> Column:
@@ -132,17 +152,17 @@ def _state_before(order: Window) -> Column:
 
 
 def block_table(flagged: DataFrame) -> DataFrame:
-    """For each block of a file: the state it begins in and the records before it.
+    """For each block of a file: the state it begins in, the records before and in it.
 
     The one window per file runs over blocks, not lines.
     """
     order = Window.partitionBy("file_id", "block").orderBy("pos")
-    thin = flagged.select("file_id", "block", "pos", "always", "weak", "mark").withColumn("before", _state_before(order))
+    local = flagged.withColumn("before", _state_before(order))
 
     def count(test: Column) -> Column:
         return F.count(F.when(test, 1))
 
-    per_block = thin.groupBy("file_id", "block").agg(
+    per_block = local.groupBy("file_id", "block").agg(
         F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("pos"))).alias("last_mark"),
         count(F.col("always") | (F.col("weak") & (F.col("before") == 0))).alias("sure"),
         count(F.col("weak") & F.col("before").isNull()).alias("leading"),
@@ -151,18 +171,34 @@ def block_table(flagged: DataFrame) -> DataFrame:
     earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
     begun = per_block.withColumn("begin", F.coalesce(F.last("last_mark", ignorenulls=True).over(earlier), F.lit(0)))
     own = F.col("sure") + F.when(F.col("begin") == 0, F.col("leading")).otherwise(0)
-    return begun.select(
-        "file_id", "block", "begin", F.coalesce(F.sum(own).over(earlier), F.lit(0)).alias("records_before")
+    return begun.withColumn("own", own).select(
+        "file_id", "block", "begin", "own", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("records_before")
     )
 
 
-def assemble_lines(lines: DataFrame, specs: list[FormatSpec] | None = None) -> DataFrame:
-    """Records (file_id, format, seq, raw_line) from lines (file_id, format, block, pos, value).
+def assemble_lines(
+    lines: DataFrame, detected: DataFrame | str, specs: list[FormatSpec] | None = None
+) -> DataFrame:
+    """Records (file_id, ..., seq, raw_line) from lines (file_id, block, pos, value).
+
+    ``pos`` orders the lines of a block and ``block`` the blocks of a file. ``detected``
+    gives each file's format (file_id, format and, for bytes still to be decoded, encoding)
+    or is the one format of all files; its other columns are carried to the records.
 
-    ``pos`` orders the lines of a block and ``block`` the blocks of a file. The lines are
-    shuffled once, by (file, block), which the window, the join and the grouping share.
+    What is known of a file is first spread over its blocks, so the lines are shuffled once,
+    by (file, block), for the join, the windows and the grouping alike, and a huge file is
+    never a single key. Only the records at block borders are shuffled again.
     """
-    flagged = _line_flags(lines.withColumn("value", F.rtrim("value", F.lit("\r"))), specs or formats())
+    if isinstance(detected, str):
+        carried = ["format"]
+        known = lines.withColumn("format", F.lit(detected))
+    else:
+        carried = [c for c in detected.columns if c not in ("file_id", "encoding")]
+        blocks = lines.select("file_id", "block").distinct().join(detected, "file_id")
+        known = lines.join(blocks.hint("shuffle_hash"), ["file_id", "block"])
+        if "encoding" in detected.columns:
+            known = known.withColumn("value", decode_text(F.col("value").cast("binary"), F.col("encoding"))).drop("encoding")
+    flagged = _line_flags(known.withColumn("value", F.rtrim("value", F.lit("\r"))), specs or formats())
     table = block_table(flagged)
     order = Window.partitionBy("file_id", "block").orderBy("pos")
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -170,41 +206,58 @@ def assemble_lines(lines: DataFrame, specs: list[FormatSpec] | None = None) -> D
     is_open = F.coalesce("before", "begin") == 1
     placed = placed.withColumn("starts", F.col("always") | (F.col("weak") & ~is_open)).withColumn("is_open", is_open)
     numbered = placed.withColumn("nth", F.sum(F.col("starts").cast("int")).over(running))
-    kept = numbered.where(F.col("starts") | F.col("is_open"))
     text = F.when(F.col("head"), trim_space(F.col("value"))).otherwise(F.col("value"))
-    pieces = kept.groupBy("file_id", "block", "nth").agg(
-        F.first("format").alias("format"),
-        F.first("records_before").alias("records_before"),
-        F.array_sort(F.collect_list(F.struct("pos", text.alias("line")))).alias("lines"),
-    ).select(
-        "file_id", "format", "block", (F.col("nth") == 0).alias("is_tail"),
-        (F.col("records_before") + F.col("nth")).alias("seq"),
-        F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("raw_line"),
-    )
-    tails = pieces.where("is_tail").groupBy("file_id", "seq").agg(
-        F.array_sort(F.collect_list(F.struct("block", "raw_line"))).alias("tail")
-    ).select("file_id", "seq", F.array_join(F.transform("tail", lambda x: x["raw_line"]), "\n").alias("tail"))
-    whole = pieces.where(~F.col("is_tail")).join(tails, ["file_id", "seq"], "left")
-    return whole.select(
-        "file_id", "format", F.col("seq").cast("bigint").alias("seq"), F.concat_ws("\n", "raw_line", "tail").alias("raw_line")
+    kept = numbered.where(F.col("starts") | F.col("is_open")).select(
+        "file_id", *carried, "block", "pos", "nth", (F.col("records_before") + F.col("nth")).cast("bigint").alias("seq"),
+        text.alias("line"),
+        # a record can only be cut at the first or the last place of a block
+        ((F.col("nth") == 0) | (F.col("nth") == F.col("own"))).alias("at_border"),
     )
 
+    def joined(pieces: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
+        collected = pieces.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("parts"))
+        return collected.select(*keys, F.array_join(F.transform("parts", lambda x: x[text]), "\n").alias("raw_line"))
+
+    keys = ["file_id", "block", "nth", *carried, "seq"]
+    inner = joined(kept.where(~F.col("at_border")), keys, "pos", "line")
+    border = joined(kept.where("at_border"), keys, "pos", "line")
+    border = joined(border, ["file_id", *carried, "seq"], "block", "raw_line")
+    columns = ["file_id", *carried, "seq", "raw_line"]
+    return inner.select(*columns).unionByName(border.select(*columns))
+
 
 def detect_lines(lines: DataFrame) -> DataFrame:
     """Format of each file (file_id, format) from its first non-blank lines.
 
-    The rank filter is pushed below the shuffle, so each task sends at most the sample.
+    The format is the best rank any sample line has, so only small integers are ranked by
+    position; the rank filter is applied in each task before the shuffle.
     """
+    specs = [spec for spec in formats() if spec.detects]
+    value = F.col("value")
+    rank = F.coalesce(*[F.when(spec.is_head(value), i) for i, spec in enumerate(specs)], F.lit(len(specs)))
+    ranked = lines.where(~is_blank(value)).select("file_id", "block", "pos", rank.alias("format_rank"))
     order = Window.partitionBy("file_id").orderBy("block", "pos")
-    head = lines.where(~is_blank(F.col("value"))).withColumn("rank", F.row_number().over(order)).where(
-        F.col("rank") <= SAMPLE_LINES
-    )
-    tests = [
-        F.when(F.bool_or(spec.is_head(F.col("value"))), spec.name) for spec in formats() if spec.detects
-    ]
-    found = head.groupBy("file_id").agg(F.coalesce(*tests, F.lit("text")).alias("format"))
+    head = ranked.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE_LINES)
+    found = head.groupBy("file_id").agg(F.min("format_rank").alias("best"))
+    names = F.array(*[F.lit(spec.name) for spec in specs], F.lit("text"))
     every = lines.select("file_id").distinct()
-    return every.join(found, "file_id", "left").select("file_id", F.coalesce("format", F.lit("text")).alias("format"))
+    return every.join(found, "file_id", "left").select(
+        "file_id", F.coalesce(F.get(names, F.col("best")), F.lit("text")).alias("format")
+    )
+
+
+def encoding_of_lines(lines: DataFrame) -> DataFrame:
+    """Encoding of each file (file_id, encoding) from the bytes of its lines.
+
+    A file is UTF-8 when all its lines are; otherwise the lines that are not vote.
+    """
+    votes = lines.groupBy("file_id", detect_encoding(F.col("value").cast("binary")).alias("encoding")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    weight = F.when(F.col("encoding") == UTF8, F.struct(F.lit(0).alias("a"), F.lit(0).cast("bigint").alias("n"))).otherwise(
+        F.struct(F.lit(1).alias("a"), F.col("n"))
+    )
+    return votes.groupBy("file_id").agg(F.max_by("encoding", weight).alias("encoding"))
 
 
 def number_lines(lines: DataFrame) -> DataFrame:

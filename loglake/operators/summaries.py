@@ -101,7 +101,7 @@ def sessions(entries: DataFrame, markers: dict | None = None, chunk: int = SESSI
     """
     rows = marker_rows(entries, markers or SESSION_MARKERS).withColumn(
         "chunk", F.floor((F.col("seq") - 1) / chunk)
-    )
+    ).where(F.col("file_id").isNotNull() & F.col("chunk").isNotNull())  # lets both uses below share one shuffle
     in_order = Window.partitionBy("file_id", "chunk").orderBy("seq")
     running = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = rows.withColumn(

@@ -8,6 +8,7 @@ Deletion appends the deleted ids; readers leave them out by an anti-join.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -16,6 +17,7 @@ from loglake.operators.assembly import (
     clean_text,
     detect_lines,
     detect_text,
+    encoding_of_lines,
     parse_records,
     split_records,
 )
@@ -133,47 +135,54 @@ def _file_id():
     return F.md5(F.concat_ws("|", "upload_id", F.coalesce("path_in_archive", F.lit(""))))
 
 
-def _small(kind_name, length):
-    """Files handled as one row: ordinary ones, and archives up to the row limit."""
-    return (length <= WHOLE_FILE_BYTES) | (is_zip(kind_name) & (length <= ROW_BYTES))
+def _paths(rows: DataFrame) -> list[str]:
+    """File names for a reader. The file index of any Spark source holds these on the
+    driver anyway; contents never come here."""
+    return [row["path"] for row in rows.select("path").collect()]
+
+
+def _with_text(rows: DataFrame) -> DataFrame:
+    """Contents with encoding, cleaned text and format."""
+    rows = rows.withColumn("encoding", detect_encoding(F.col("content")))
+    return detect_text(rows.withColumn("text", clean_text(decode_text(F.col("content"), F.col("encoding")))))
 
 
 def intake(spark: SparkSession, paths, batch_id: str, catalog: Catalog, max_bytes: int) -> DataFrame:
-    """Incoming files with their content key, kind and what becomes of them."""
+    """Incoming files with content key, kind, encoding, format and what becomes of them.
+
+    One narrow pass over the contents. Files too big for one row are keyed by their lines.
+    """
     listed = list_files(spark, paths).select(
         "path", "filename", F.col("length").alias("size_bytes"), _upload_id(batch_id).alias("id")
     )
-    blobs = read_blobs(spark, paths, min(ROW_BYTES, max_bytes)).select(
-        "path", "md5", is_zip(F.col("filename"), F.col("content")).alias("zip")
+    whole = _with_text(read_blobs(spark, paths, min(WHOLE_FILE_BYTES, max_bytes))).select(
+        "path", "md5", is_zip(F.col("filename"), F.col("content")).alias("zip"), "encoding", "format"
     )
-    huge = [r["path"] for r in listed.where(
-        (F.col("size_bytes") > ROW_BYTES) & (F.col("size_bytes") <= max_bytes)
-    ).select("path").collect()]
+    none = F.lit(None).cast("string")
+    in_limit = F.col("size_bytes") <= max_bytes
+    keyed = [whole]
+    large = _paths(listed.where(in_limit & (F.col("size_bytes") > WHOLE_FILE_BYTES) & (F.col("size_bytes") <= ROW_BYTES)))
+    if large:
+        hashed = read_blobs(spark, large).select("path", "md5", is_zip(F.col("filename"), F.col("content")).alias("zip"))
+        keyed.append(hashed.select("*", none.alias("encoding"), none.alias("format")))
+    huge = _paths(listed.where(in_limit & (F.col("size_bytes") > ROW_BYTES)))
     if huge:
         keys = line_fingerprint(read_lines(spark, huge)).select(F.col("file_id").alias("path"), "md5")
-        blobs = blobs.unionByName(keys.withColumn("zip", F.lit(False)))
-    keyed = listed.join(blobs, "path", "left").withColumn(
+        keyed.append(keys.select("*", F.lit(None).cast("boolean").alias("zip"), none.alias("encoding"), none.alias("format")))
+    known = reduce(lambda a, b: a.unionByName(b), keyed)
+    batch = listed.join(known, "path", "left").withColumn(
         "kind", F.when(F.coalesce("zip", is_zip(F.col("filename"))), "zip").otherwise("file")
     ).drop("zip")
     earlier = catalog.uploads().where(F.coalesce("batch_id", F.lit("")) != batch_id)
-    return duplicate_report(keyed, earlier.where(F.col("status") != "duplicate"), max_bytes)
+    return duplicate_report(batch, earlier, max_bytes)
 
 
-def _members(spark: SparkSession, paths, accepted: DataFrame) -> DataFrame:
-    """Accepted files as texts: (upload_id, file_id, filename, path_in_archive, md5, content, ...)."""
-    blobs = read_blobs(spark, paths, ROW_BYTES).where(_small(F.col("filename"), F.col("length")))
-    wanted = accepted.select("path", F.col("id").alias("upload_id"), "kind")
-    blobs = blobs.join(wanted, "path")
-    none = F.lit(None).cast("string")
-    single = blobs.where(F.col("kind") == "file").select(
-        "upload_id", "filename", none.alias("path_in_archive"), "content", none.alias("archive_error"), none.alias("error")
-    )
-    # the members of one archive come out of one task: spread them before they are parsed
-    inside = expand_archives(blobs.where(F.col("kind") == "zip").select("upload_id", "content"))
-    inside = inside.repartition(F.col("upload_id"), F.col("path_in_archive")).select(
-        "upload_id", F.col("member_name").alias("filename"), "path_in_archive", "content", "archive_error", "error"
-    )
-    return single.unionByName(inside).withColumn("file_id", _file_id())
+def _members(spark: SparkSession, archives: list[str], batch_id: str) -> DataFrame:
+    """The members of archives with their contents; they are spread before they are parsed,
+    as those of one archive all come out of one task."""
+    blobs = read_blobs(spark, archives).select(_upload_id(batch_id).alias("upload_id"), "content")
+    inside = expand_archives(blobs).repartition(F.col("upload_id"), F.col("path_in_archive"))
+    return inside.withColumnRenamed("member_name", "filename").withColumn("file_id", _file_id())
 
 
 def ingest(
@@ -188,9 +197,10 @@ def ingest(
 ) -> DataFrame:
     """Ingest log files and archives as one batch and return the report of the batch.
 
-    Ordinary files are read, decoded, assembled and parsed in one map stage. Files over
-    WHOLE_FILE_BYTES go through the line path, block by block. Nothing but file names
-    passes through the driver. Running a batch id again replaces the batch.
+    Ordinary files are read, decoded, assembled, parsed and written in one map stage: no
+    content is ever shuffled. Files over WHOLE_FILE_BYTES go through the line path, block
+    by block. Only file names pass through the driver. Running a batch id again replaces
+    the batch.
     """
     catalog = Catalog(spark, folder)
     if max_files is not None:
@@ -198,77 +208,83 @@ def ingest(
         if count > max_files:
             raise ValueError(f"{count} files exceed the limit of {max_files} per batch")
     stamped = _utc_now()
+    none = F.lit(None).cast("string")
 
     catalog._write(intake(spark, paths, batch_id, catalog, max_bytes), "intake", batch_id)
     decided = spark.read.parquet(catalog.path("intake", batch_id))
-    accepted = decided.where(F.col("status") == "accepted")
-
-    # small files and archive members: what was read of each, then its entries
-    members = _members(spark, paths, accepted).withColumn("encoding", detect_encoding(F.col("content")))
-    texts = members.withColumn("text", clean_text(decode_text(F.col("content"), F.col("encoding"))))
-    read = detect_text(texts)
-    meta = read.select(
-        "upload_id", "file_id", "filename", "path_in_archive", F.md5("content").alias("md5"),
-        F.length("content").cast("bigint").alias("size_bytes"), "encoding", "format", "archive_error", "error",
-    )
-    catalog._write(meta, "members", batch_id)
-    readable = read.where(F.col("content").isNotNull()).select("upload_id", "file_id", "format", "text")
-    entries = parse_records(split_records(readable), default_tz).select(*ENTRY_COLUMNS)
-
-    # big files, block by block
-    long_files = accepted.where(~_small(F.col("filename"), F.col("size_bytes")))
-    long_paths = [r["path"] for r in long_files.where(F.col("kind") == "file").select("path").collect()]
-    found = spark.read.parquet(catalog.path("members", batch_id))
-    if long_paths:
-        long_meta, long_entries = _ingest_lines(spark, long_paths, long_files, default_tz)
-        catalog._write(long_meta, "long_members", batch_id)
-        found = found.unionByName(spark.read.parquet(catalog.path("long_members", batch_id)))
-        entries = entries.unionByName(long_entries)
-    catalog._write(entries.sortWithinPartitions("upload_id", "file_id", "seq"), "entries", batch_id)
-
-    stored = spark.read.schema(ENTRIES).parquet(catalog.path("entries", batch_id))
-    failed = found.where(F.col("archive_error").isNotNull()).groupBy("upload_id").agg(F.min("archive_error").alias("archive_error"))
     taken = F.col("status") == "accepted"
-    unopened = taken & (F.col("kind") == "zip") & ~_small(F.col("filename"), F.col("size_bytes"))
-    reason = F.coalesce("archive_error", "error", F.when(unopened, "archive is too large to be opened"))
+    fits_row = F.col("size_bytes") <= ROW_BYTES
+    ordinary = taken & (F.col("kind") == "file") & (F.col("size_bytes") <= WHOLE_FILE_BYTES)
+    long = taken & (F.col("kind") == "file") & (F.col("size_bytes") > WHOLE_FILE_BYTES)
+    archived = taken & (F.col("kind") == "zip")
+
+    entries = []
+    found = [decided.where(ordinary).select(
+        F.col("id").alias("upload_id"), "filename", none.alias("path_in_archive"), "md5", "size_bytes", "encoding", "format",
+        none.alias("archive_error"), none.alias("error"),
+    ).withColumn("file_id", _file_id())]
+    columns = found[0].columns
+
+    names = _paths(decided.where(ordinary))
+    if names:
+        texts = _with_text(read_blobs(spark, names, WHOLE_FILE_BYTES).select(
+            _upload_id(batch_id).alias("upload_id"), none.alias("path_in_archive"), "content"
+        )).withColumn("file_id", _file_id())
+        entries.append(parse_records(split_records(texts.select("upload_id", "file_id", "format", "text")), default_tz))
+
+    names = _paths(decided.where(archived & fits_row))
+    if names:
+        members = _with_text(_members(spark, names, batch_id))
+        catalog._write(members.select(
+            "upload_id", "file_id", "filename", "path_in_archive", F.md5("content").alias("md5"),
+            F.length("content").cast("bigint").alias("size_bytes"), "encoding", "format", "archive_error", "error",
+        ), "members", batch_id)
+        found.append(spark.read.parquet(catalog.path("members", batch_id)))
+        texts = members.where(F.col("content").isNotNull()).select("upload_id", "file_id", "format", "text")
+        entries.append(parse_records(split_records(texts), default_tz))
+
+    names = _paths(decided.where(long))
+    if names:
+        lines = read_lines(spark, names).withColumnRenamed("file_id", "path").withColumn(
+            "upload_id", _upload_id(batch_id)
+        ).withColumn("path_in_archive", none).withColumn("file_id", _file_id()).select("file_id", "block", "pos", "value")
+        meta = _read_by_lines(lines)
+        catalog._write(meta, "long_files", batch_id)
+        meta = spark.read.parquet(catalog.path("long_files", batch_id))
+        owners = decided.where(long).select(
+            F.col("id").alias("upload_id"), "filename", none.alias("path_in_archive"), "md5", "size_bytes",
+            none.alias("archive_error"), none.alias("error"),
+        ).withColumn("file_id", _file_id())
+        found.append(owners.join(meta, "file_id"))
+        records = assemble_lines(lines, meta.join(owners.select("file_id", "upload_id"), "file_id"))
+        entries.append(parse_records(records, default_tz))
+
+    met = reduce(lambda a, b: a.unionByName(b), [part.select(*columns) for part in found])
+    rows = [part.select(*ENTRY_COLUMNS) for part in entries] or [spark.createDataFrame([], ENTRIES)]
+    written = reduce(lambda a, b: a.unionByName(b), rows)
+    catalog._write(written.sortWithinPartitions("upload_id", "file_id", "seq"), "entries", batch_id)
+
+    failed = met.where(F.col("archive_error").isNotNull()).groupBy("upload_id").agg(F.min("archive_error").alias("archive_error"))
+    reason = F.coalesce("archive_error", "error", F.when(archived & ~fits_row, "archive is too large to be opened"))
     uploads = decided.join(failed, decided["id"] == failed["upload_id"], "left").select(
         "id", "filename", "md5", "size_bytes", "kind",
         F.when(taken, F.when(reason.isNotNull(), "failed").otherwise("parsed")).otherwise(F.col("status")).alias("status"),
         stamped.alias("uploaded_at"), reason.alias("error"), "existing_upload_id",
     )
-    files = _file_rows(stored, found.where(F.col("archive_error").isNull()), uploads, stamped)
-    catalog._write(files, "files", batch_id)
+    stored = spark.read.schema(ENTRIES).parquet(catalog.path("entries", batch_id))
+    catalog._write(_file_rows(stored, met.where(F.col("archive_error").isNull()), uploads, stamped), "files", batch_id)
     # a duplicate and a file over the limit leave no trace but the report
     kept = uploads.where((F.col("status") != "duplicate") & (F.coalesce("error", F.lit("")) != TOO_LARGE))
     catalog._write(kept.select(*UPLOADS.names), "uploads", batch_id)
-    written = spark.read.schema(FILES).parquet(catalog.path("files", batch_id))
-    return upload_report(uploads, written)
-
-
-def _ingest_lines(spark, paths, long_files: DataFrame, default_tz: str) -> tuple[DataFrame, DataFrame]:
-    ids = long_files.select(F.col("path").alias("file_path"), F.col("id").alias("upload_id"), "filename", "md5", "size_bytes",
-                            F.lit(None).cast("string").alias("path_in_archive")).withColumn("file_id", _file_id())
-    raw = read_lines(spark, paths).withColumnRenamed("file_id", "file_path")
-    raw = raw.join(ids.select("file_path", "file_id"), "file_path").drop("file_path")
-    # the encoding is that of the file: all lines must be valid, else a guess by majority
-    line_encoding = detect_encoding(F.col("value").cast("binary"))
-    votes = raw.groupBy("file_id", line_encoding.alias("encoding")).agg(F.count(F.lit(1)).alias("n"))
-    guessed = votes.where(F.col("encoding") != "UTF-8").groupBy("file_id").agg(F.max_by("encoding", "n").alias("guess"))
-    encodings = ids.select("file_id").join(guessed, "file_id", "left").select(
-        "file_id", F.coalesce("guess", F.lit("UTF-8")).alias("encoding")
-    )
-    lines = raw.join(encodings, "file_id").withColumn(
-        "value", decode_text(F.col("value").cast("binary"), F.col("encoding"))
-    )
-    detected = detect_lines(lines)
-    none = F.lit(None).cast("string")
-    meta = ids.join(encodings, "file_id").join(detected, "file_id").select(
-        "upload_id", "file_id", "filename", "path_in_archive", "md5", "size_bytes", "encoding", "format",
-        none.alias("archive_error"), none.alias("error"),
-    )
-    records = assemble_lines(lines.join(detected, "file_id"))
-    owned = records.join(ids.select("file_id", "upload_id"), "file_id")
-    return meta, parse_records(owned, default_tz).select(*ENTRY_COLUMNS)
+    return upload_report(uploads, spark.read.schema(FILES).parquet(catalog.path("files", batch_id)))
+
+
+def _read_by_lines(lines: DataFrame) -> DataFrame:
+    """Encoding and format of files read by lines; bytes that are no UTF-8 do not matter here."""
+    valid = F.is_valid_utf8(F.col("value"))
+    readable = F.when(valid, F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
+    detected = detect_lines(lines.withColumn("value", readable))
+    return encoding_of_lines(lines).join(detected, "file_id")
 
 
 def _utc_now():

@@ -623,7 +623,7 @@ def detect_format(spark, folder):
 )
 def parse_mixed_logs(spark, folder):
     lines = T.rendered_lines(spark, folder)
-    records = assembly.assemble_lines(lines.join(assembly.detect_lines(lines), "file_id"))
+    records = assembly.assemble_lines(lines, assembly.detect_lines(lines))
     return assembly.parse_records(records).select("file_id", "format", "seq", "ts", "level", "message")
 
 
@@ -659,8 +659,8 @@ def _assembled_whole(spec: FormatSpec) -> Query:
 
 def _assembled_lines(spec: FormatSpec) -> Query:
     def run(spark, folder):
-        lines = T.document_lines(spark, folder).withColumn("format", F.lit(spec.name))
-        return assembly.assemble_lines(lines, specs=[spec]).select("file_id", "seq", "raw_line")
+        lines = T.document_lines(spark, folder)
+        return assembly.assemble_lines(lines, spec.name, specs=[spec]).select("file_id", "seq", "raw_line")
 
     return run
 

@@ -18,7 +18,9 @@ ZIP_MAGIC = b"PK\x03\x04"
 
 def _binary(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     paths = [paths] if isinstance(paths, str) else list(paths)
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    # the same spelling of the path as the line reader gives
+    return files.select(F.col("_metadata.file_path").alias("path"), "length", "content")
 
 
 def list_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

@@ -174,6 +174,6 @@ def rendered_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The lines of all documents, in blocks of sixteen."""
-    texts = texts_from_documents(spark, folder).withColumn("text", clean_text(F.col("text"))).where("text <> ''")
+    texts = texts_from_documents(spark, folder).withColumn("text", clean_text(F.col("text"))).where("text IS NOT NULL")
     lines = texts.select("file_id", F.posexplode(F.split("text", "\n")).alias("pos", "value"))
     return lines.withColumn("block", F.expr("pos div 16"))
