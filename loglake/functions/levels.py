@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from loglake.functions.text import trim_space
+from loglake.functions.text import let, trim_space
 
 # Severity words and the normalised level each one means.
 SEVERITY_WORDS = {
@@ -36,26 +36,22 @@ def _has_any(text: Column, words: list[str]) -> Column:
 
 def normalize_level(raw: Column) -> Column:
     """Map a severity word to its normalised level, NULL when it means none."""
-    word = F.lower(trim_space(raw))
-    exact = F.try_element_at(
-        F.create_map(*[F.lit(x) for pair in SEVERITY_WORDS.items() for x in pair]), word
-    )
-    by_part = (
+    known = F.create_map(*[F.lit(x) for pair in SEVERITY_WORDS.items() for x in pair])
+    return let(F.lower(trim_space(raw)), lambda word: F.coalesce(
+        F.try_element_at(known, word),
         F.when(_has_any(word, ["critical", "emergency"]), "critical")
         .when(_has_any(word, ["ora-", "error"]), "error")
-        .when(word.contains("warn"), "warning")
-    )
-    return F.coalesce(exact, by_part)
+        .when(word.contains("warn"), "warning"),
+    ))
 
 
 def level_by_content(text: Column) -> Column:
     """Guess a level from free text; the singular "error" alone means nothing."""
-    low = F.lower(text)
-    return (
+    return let(F.lower(text), lambda low: (
         F.when(_has_any(low, ["critical", "emergency", "fatal"]), "critical")
         .when(_has_any(low, ["ora-", "errors"]), "error")
         .when(low.contains("warn"), "warning")
-    )
+    ))
 
 
 def level_from_http_status(status: Column) -> Column:

@@ -10,30 +10,37 @@ from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, functions as F
 
-from loglake.functions.text import trim_space
+from loglake.functions.text import let, trim_space
 
 # English month names, in order.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
-_TIME = r"\d{1,2}:\d{2}:\d{2}"
-_FRACTION = r"(?:[.,]\d+)?"
-_MONTH = r"[A-Za-z]{3}"
+_CLOCK = r"(\d{1,2})(:\d{2}:\d{2})"
+_FRACTION = r"(?:[.,](\d+))?"
+_MONTH = r"([A-Za-z]{3})"
 _WEEKDAY = r"(?i:mon|tue|wed|thu|fri|sat|sun)"
-_GMT = r"GMT[+-]\d{1,2}(?::\d{2})?"
-_ABBREVIATION = r"[A-Z]{3}|[A-Z]{3,4}T|WITA|ChST|MeST"
-_ZONE = rf"(?:{_GMT}|{_ABBREVIATION})"
-
-# Fixed patterns: the accepted layouts, whole text.
-NODE_MANAGER = rf"\d{{4}}-\d{{2}}-\d{{2}} +GMT[+-]\d{{1,2}}\S* +{_TIME}{_FRACTION}"
-ISO_OFFSET = rf"\d{{4}}-\d{{2}}-\d{{2}}T{_TIME}{_FRACTION}[+-]\d{{2}}:\d{{2}}"
-APACHE = rf"\d{{2}}/{_MONTH}/\d{{4}}:{_TIME}{_FRACTION} +[+-]\d{{4}}"
-LOG4J = r"\d{4}-\d{2}-\d{2} +\d{1,2}:\d{2}:\d{2},\d{3}"
-TWELVE_HOUR = rf"{_MONTH} +\d{{1,2}}, +\d{{4}} +{_TIME}{_FRACTION} +(?:AM|PM)(?: +{_ZONE})?"
-DAY_24_HOUR = rf"{_MONTH} +\d{{1,2}}, +\d{{4}} +{_TIME}{_FRACTION} +{_ZONE}"
-UNIX_DATE = rf"{_WEEKDAY} +{_MONTH} +\d{{1,2}} +{_TIME}{_FRACTION} +{_ZONE} +\d{{4}}"
-
-LAYOUTS = (NODE_MANAGER, ISO_OFFSET, APACHE, LOG4J, TWELVE_HOUR, DAY_24_HOUR, UNIX_DATE)
-ANY_DATE = r"(?<![0-9A-Za-z])(?:" + "|".join(LAYOUTS) + r")(?![0-9A-Za-z])"
+_ZONE = r"(GMT[+-]\d{1,2}(?::\d{2})?|[A-Z]{3}|[A-Z]{3,4}T|WITA|ChST|MeST)"
+
+# Fixed patterns: the accepted layouts, whole text, in the order they are tried. Next to
+# each stands which groups are year, month, day, hour, minutes and seconds, fraction,
+# AM/PM and zone (0: the layout has none).
+LAYOUTS = (
+    # 2016-03-16 GMT-3 19:45:41
+    (rf"(\d{{4}})-(\d{{2}})-(\d{{2}}) +(GMT[+-]\d{{1,2}})\S* +{_CLOCK}{_FRACTION}", (1, 2, 3, 5, 6, 7, 0, 4)),
+    # 2019-05-31T14:52:53.818309-04:00
+    (rf"(\d{{4}})-(\d{{2}})-(\d{{2}})T{_CLOCK}{_FRACTION}([+-]\d{{2}}:\d{{2}})", (1, 2, 3, 4, 5, 6, 0, 7)),
+    # 16/May/2018:18:34:08 +0400
+    (rf"(\d{{2}})/{_MONTH}/(\d{{4}}):{_CLOCK}{_FRACTION} +([+-]\d{{4}})", (3, 2, 1, 4, 5, 6, 0, 7)),
+    # 2012-03-28 16:15:40,637
+    (rf"(\d{{4}})-(\d{{2}})-(\d{{2}}) +{_CLOCK},(\d{{3}})", (1, 2, 3, 4, 5, 6, 0, 0)),
+    # May 16, 2018 6:26:25 PM, with or without a zone
+    (rf"{_MONTH} +(\d{{1,2}}), +(\d{{4}}) +{_CLOCK}{_FRACTION} +(AM|PM)(?: +{_ZONE})?", (3, 1, 2, 4, 5, 6, 7, 8)),
+    # May 16, 2018 16:28:57 MSK
+    (rf"{_MONTH} +(\d{{1,2}}), +(\d{{4}}) +{_CLOCK}{_FRACTION} +{_ZONE}", (3, 1, 2, 4, 5, 6, 0, 7)),
+    # Wed Mar 28 16:17:29 GMT-4 2012
+    (rf"{_WEEKDAY} +{_MONTH} +(\d{{1,2}}) +{_CLOCK}{_FRACTION} +{_ZONE} +(\d{{4}})", (7, 1, 2, 3, 4, 5, 0, 6)),
+)
+ANY_DATE = r"(?<![0-9A-Za-z])(?:" + "|".join(pattern for pattern, _ in LAYOUTS) + r")(?![0-9A-Za-z])"
 
 
 def resolve_zone(name: str | None) -> str:
@@ -44,107 +51,37 @@ def resolve_zone(name: str | None) -> str:
         return "UTC"
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body``, keeping the expression small."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _month_number(name: Column) -> Column:
+    """Two digits of a month name; anything else stays as it is."""
     table = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, f"{i:02d}")])
-    return F.try_element_at(table, F.lower(name))
-
-
-def _parts(text: Column, pattern: str, groups: int) -> Column:
-    """Capture groups as an array from a single match of the whole text."""
-    replacement = "\n".join(f"${i}" for i in range(1, groups + 1))
-    return F.split(F.regexp_replace(text, f"^(?:{pattern})$", replacement), "\n")
-
-
-def _offset_text(zone: Column) -> Column:
-    """``GMT+3``, ``GMT-03:30`` or ``+0400`` as ``+03:00``; NULL without digits."""
-    digits = F.regexp_replace(zone, "^GMT", "")
-    filled = F.regexp_replace(digits, r"^([+-])(\d)(?=$|:)", "$10$2")
-    return F.when(
-        filled.rlike(r"^[+-]\d{2}"),
-        F.concat(F.substring(filled, 1, 3), F.lit(":"), F.lpad(F.regexp_replace(F.substring(filled, 4, 3), ":", ""), 2, "0")),
-    )
-
-
-def _with_offset(local: Column, offset: Column) -> Column:
-    return F.concat_ws("\n", local, offset)
-
-
-def _normalised(s: Column) -> Column:
-    """``yyyy-MM-dd HH:mm:ss.f`` plus, on a second line, the explicit offset."""
-    time = rf"({_TIME})(?:[.,](\d+))?"
+    return F.coalesce(F.try_element_at(table, F.lower(name)), name)
 
-    def node_manager(p):
-        # the offset of this layout is hours only
-        return _with_offset(F.concat(p[0], F.lit(" "), p[2], F.lit("."), p[3]), _offset_text(p[1]))
 
-    def iso(p):
-        return _with_offset(F.concat(p[0], F.lit(" "), p[1], F.lit("."), p[2]), p[3])
+def _date_parts(s: Column) -> Column:
+    """Year, month, day, hour, minutes and seconds, fraction, AM/PM, zone: one per line."""
+    branches = F
+    for pattern, order in LAYOUTS:
+        replacement = "\n".join(f"${group}" if group else "" for group in order)
+        branches = branches.when(s.rlike(rf"^(?:{pattern})\z"), F.regexp_replace(s, rf"^(?:{pattern})\z", replacement))
+    return F.split(branches.otherwise(F.lit(None)), "\n")
 
-    def apache(p):
-        local = F.concat(p[2], F.lit("-"), _month_number(p[1]), F.lit("-"), p[0], F.lit(" "), p[3], F.lit("."), p[4])
-        return F.when(local.isNotNull(), _with_offset(local, _offset_text(p[5])))
 
-    def twelve_hour(p):
-        hour = F.try_to_number(p[3], F.lit("99")).cast("int")
-        hour24 = F.when(hour <= 12, hour % 12 + F.when(p[6] == "PM", 12).otherwise(0))
-        local = F.concat(
-            p[2], F.lit("-"), _month_number(p[0]), F.lit("-"), F.lpad(p[1], 2, "0"), F.lit(" "),
-            F.lpad(hour24.cast("string"), 2, "0"), p[4], F.lit("."), p[5],
-        )
-        return F.when(local.isNotNull(), _with_offset(local, _offset_text(p[7])))
-
-    def day_24(p):
-        local = F.concat(
-            p[2], F.lit("-"), _month_number(p[0]), F.lit("-"), F.lpad(p[1], 2, "0"), F.lit(" "), p[3], F.lit("."), p[4],
-        )
-        return F.when(local.isNotNull(), _with_offset(local, _offset_text(p[5])))
+def _local_time(p: Column) -> Column:
+    """The time as written, without its zone; NULL for a date that does not exist."""
+    hour = p[3].cast("int")
+    clock12 = F.when(hour <= 12, (hour % 12 + F.when(p[6] == "PM", 12).otherwise(0)).cast("string"))
+    two = [F.lpad(x, 2, "0") for x in (p[2], F.when(p[6] == "", p[3]).otherwise(clock12))]
+    text = F.concat(p[0], F.lit("-"), _month_number(p[1]), F.lit("-"), two[0], F.lit(" "), two[1], p[4], F.lit("."), p[5])
+    return text.try_cast("timestamp_ntz")
 
-    def unix_date(p):
-        local = F.concat(
-            p[5], F.lit("-"), _month_number(p[0]), F.lit("-"), F.lpad(p[1], 2, "0"), F.lit(" "), p[2], F.lit("."), p[3],
-        )
-        return F.when(local.isNotNull(), _with_offset(local, _offset_text(p[4])))
 
-    def whole(pattern):
-        return s.rlike(rf"^(?:{pattern})\z")
-
-    month_day_year = rf"({_MONTH}) +(\d{{1,2}}), +(\d{{4}})"
-    return (
-        F.when(
-            whole(NODE_MANAGER),
-            let(_parts(s, rf"(\d{{4}}-\d{{2}}-\d{{2}}) +(GMT[+-]\d{{1,2}})\S* +{time}", 4), node_manager),
-        )
-        .when(
-            whole(ISO_OFFSET),
-            let(_parts(s, rf"(\d{{4}}-\d{{2}}-\d{{2}})T{time}([+-]\d{{2}}:\d{{2}})", 4), iso),
-        )
-        .when(
-            whole(APACHE),
-            let(_parts(s, rf"(\d{{2}})/({_MONTH})/(\d{{4}}):{time} +([+-]\d{{4}})", 6), apache),
-        )
-        .when(whole(LOG4J), F.regexp_replace(F.regexp_replace(s, " +", " "), ",", "."))
-        .when(
-            whole(TWELVE_HOUR),
-            let(
-                _parts(
-                    s,
-                    month_day_year + rf" +(\d{{1,2}})(:\d{{2}}:\d{{2}})(?:[.,](\d+))? +(AM|PM)(?: +({_ZONE}))?",
-                    8,
-                ),
-                twelve_hour,
-            ),
-        )
-        .when(whole(DAY_24_HOUR), let(_parts(s, month_day_year + rf" +{time} +({_ZONE})", 6), day_24))
-        .when(
-            whole(UNIX_DATE),
-            let(_parts(s, rf"{_WEEKDAY} +({_MONTH}) +(\d{{1,2}}) +{time} +({_ZONE}) +(\d{{4}})", 6), unix_date),
-        )
-    )
+def _offset_text(zone: Column) -> Column:
+    """``GMT+3``, ``GMT-03:30`` or ``+0400`` as ``+03:00``; NULL for an abbreviation or none."""
+    digits = F.regexp_replace(zone, r"^GMT|:", "")
+    short = F.length(digits) % 2 == 0  # a sign and one hour digit, or with two minute digits
+    filled = F.when(short, F.concat(F.substring(digits, 1, 1), F.lit("0"), F.substring(digits, 2, 3))).otherwise(digits)
+    minutes = F.rpad(F.substring(filled, 4, 2), 2, "0")
+    return F.when(digits.rlike(r"^[+-]\d"), F.concat(F.substring(filled, 1, 3), F.lit(":"), minutes))
 
 
 def shift_to_utc(local: Column, offset: Column) -> Column:
@@ -171,7 +108,7 @@ def parse_datetime(text: Column, default_tz: str = "UTC") -> Column:
     def resolve(local, offset, s):
         explicit = offset.isNotNull()
         inferred = local if zone == "UTC" else F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
-        # the node manager layout prints a zero offset in digits
+        # the layout with GMT in the middle prints a zero offset in digits
         shown = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2} "), offset).otherwise(format_offset(offset))
         return F.struct(
             F.when(explicit, shift_to_utc(local, offset)).otherwise(inferred).alias("ts"),
@@ -181,8 +118,8 @@ def parse_datetime(text: Column, default_tz: str = "UTC") -> Column:
         )
 
     def parse(s):
-        return let(F.split(_normalised(s), "\n"), lambda p: let(
-            F.struct(F.get(p, 0).try_cast("timestamp_ntz").alias("local"), F.get(p, 1).alias("offset")),
+        return let(_date_parts(s), lambda p: let(
+            F.struct(_local_time(p).alias("local"), _offset_text(p[7]).alias("offset")),
             lambda t: resolve(t["local"], t["offset"], s),
         ))
 
@@ -190,8 +127,12 @@ def parse_datetime(text: Column, default_tz: str = "UTC") -> Column:
 
 
 def first_date(text: Column) -> Column:
-    """The first part of a text that looks like a date-time, else NULL."""
-    return F.nullif(F.regexp_extract(text, ANY_DATE, 0), F.lit(""))
+    """The first part of a text that looks like a date-time, else NULL.
+
+    All layouts hold a time of day, which most text does not: that is tested first.
+    """
+    timed = F.contains(text, F.lit(":")) & text.rlike(r"\d:\d\d:\d\d")
+    return F.when(timed, F.nullif(F.regexp_extract(text, ANY_DATE, 0), F.lit("")))
 
 
 def millis_to_ts(millis: Column) -> Column:

@@ -16,8 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loglake.functions.text import is_blank, trim_space
-from loglake.functions.times import let
+from loglake.functions.text import is_blank, let, trim_space
 from loglake.sources.encodings import UTF8, decode_text, detect_encoding
 from loglake.operators.formats import FIELD_NAMES, SAMPLE_LINES, FormatSpec, detect_in, formats, resolve_parts
 

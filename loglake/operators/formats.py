@@ -11,8 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loglake.functions.levels import level_by_content, level_from_http_status, normalize_level
-from loglake.functions.text import SPACE_CLASS, is_blank, trim_space
-from loglake.functions.times import ANY_DATE, first_date, let, millis_to_ts, parse_datetime
+from loglake.functions.text import SPACE_CLASS, is_blank, let, trim_space
+from loglake.functions.times import first_date, millis_to_ts, parse_datetime
 
 SAMPLE_LINES = 20
 
@@ -342,5 +342,7 @@ def any_head(lines: Column, spec: FormatSpec) -> Column:
 
 def detect_in(lines: Column) -> Column:
     """Format of an array of sample lines: the first one any line begins a record of."""
-    found = [F.when(any_head(lines, spec), spec.name) for spec in formats() if spec.detects]
-    return F.coalesce(*found, F.lit("text"))
+    detecting = [spec for spec in formats() if spec.detects]
+    return let(lines, lambda sample: F.coalesce(
+        *[F.when(any_head(sample, spec), spec.name) for spec in detecting], F.lit("text")
+    ))
