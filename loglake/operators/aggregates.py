@@ -33,8 +33,9 @@ def histogram(
     )
     label = bucket_label({name: F.col(name) for name in names}, unit).alias("bucket")
     if pivot is not None:
-        counted = timed.groupBy(*names).pivot(by, list(pivot)).agg(F.count(F.lit(1))).na.fill(0, list(pivot))
-        return counted.select(label, *pivot).orderBy("bucket")
+        counted = timed.groupBy(*names).pivot(by, list(pivot)).agg(F.count(F.lit(1)))
+        filled = [F.coalesce(F.col(f"`{value}`"), F.lit(0)).alias(value) for value in pivot]
+        return counted.select(label, *filled).orderBy("bucket")
     group = [by] if by else []
     counted = timed.groupBy(*names, *group).agg(F.count(F.lit(1)).alias("count"))
     return counted.select(label, *group, "count").orderBy("bucket", *group)

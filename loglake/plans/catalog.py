@@ -32,6 +32,7 @@ from loglake.sources.files import (
     is_zip,
     line_fingerprint,
     list_files,
+    literal_paths,
     read_blobs,
     read_lines,
 )
@@ -135,12 +136,6 @@ def _file_id():
     return F.md5(F.concat_ws("|", "upload_id", F.coalesce("path_in_archive", F.lit(""))))
 
 
-def _paths(rows: DataFrame) -> list[str]:
-    """File names for a reader. The file index of any Spark source holds these on the
-    driver anyway; contents never come here."""
-    return [row["path"] for row in rows.select("path").collect()]
-
-
 def _with_text(rows: DataFrame) -> DataFrame:
     """Contents with encoding, cleaned text and format."""
     rows = rows.withColumn("encoding", detect_encoding(F.col("content")))
@@ -161,11 +156,11 @@ def intake(spark: SparkSession, paths, batch_id: str, catalog: Catalog, max_byte
     none = F.lit(None).cast("string")
     in_limit = F.col("size_bytes") <= max_bytes
     keyed = [whole]
-    large = _paths(listed.where(in_limit & (F.col("size_bytes") > WHOLE_FILE_BYTES) & (F.col("size_bytes") <= ROW_BYTES)))
+    large = literal_paths(listed.where(in_limit & (F.col("size_bytes") > WHOLE_FILE_BYTES) & (F.col("size_bytes") <= ROW_BYTES)))
     if large:
         hashed = read_blobs(spark, large).select("path", "md5", is_zip(F.col("filename"), F.col("content")).alias("zip"))
         keyed.append(hashed.select("*", none.alias("encoding"), none.alias("format")))
-    huge = _paths(listed.where(in_limit & (F.col("size_bytes") > ROW_BYTES)))
+    huge = literal_paths(listed.where(in_limit & (F.col("size_bytes") > ROW_BYTES)))
     if huge:
         keys = line_fingerprint(read_lines(spark, huge)).select(F.col("file_id").alias("path"), "md5")
         keyed.append(keys.select("*", F.lit(None).cast("boolean").alias("zip"), none.alias("encoding"), none.alias("format")))
@@ -225,14 +220,14 @@ def ingest(
     ).withColumn("file_id", _file_id())]
     columns = found[0].columns
 
-    names = _paths(decided.where(ordinary))
+    names = literal_paths(decided.where(ordinary))
     if names:
         texts = _with_text(read_blobs(spark, names, WHOLE_FILE_BYTES).select(
             _upload_id(batch_id).alias("upload_id"), none.alias("path_in_archive"), "content"
         )).withColumn("file_id", _file_id())
         entries.append(parse_records(split_records(texts.select("upload_id", "file_id", "format", "text")), default_tz))
 
-    names = _paths(decided.where(archived & fits_row))
+    names = literal_paths(decided.where(archived & fits_row))
     if names:
         members = _with_text(_members(spark, names, batch_id))
         catalog._write(members.select(
@@ -243,7 +238,7 @@ def ingest(
         texts = members.where(F.col("content").isNotNull()).select("upload_id", "file_id", "format", "text")
         entries.append(parse_records(split_records(texts), default_tz))
 
-    names = _paths(decided.where(long))
+    names = literal_paths(decided.where(long))
     if names:
         lines = read_lines(spark, names).withColumnRenamed("file_id", "path").withColumn(
             "upload_id", _upload_id(batch_id)

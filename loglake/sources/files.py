@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -19,8 +20,7 @@ ZIP_MAGIC = b"PK\x03\x04"
 def _binary(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     paths = [paths] if isinstance(paths, str) else list(paths)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    # the same spelling of the path as the line reader gives
-    return files.select(F.col("_metadata.file_path").alias("path"), "length", "content")
+    return files.select(plain_path().alias("path"), "length", "content")
 
 
 def list_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -38,8 +38,22 @@ def read_blobs(spark: SparkSession, paths: str | Sequence[str], max_bytes: int =
                         F.md5("content").alias("md5"))
 
 
+def plain_path() -> Column:
+    """The path of a row's file as it is written, not as a URI."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def basename(path: Column) -> Column:
-    return F.url_decode(F.replace(F.substring_index(path, "/", -1), F.lit("+"), F.lit("%2B")))
+    return F.substring_index(path, "/", -1)
+
+
+def literal_paths(rows: DataFrame) -> list[str]:
+    """The paths of a listing for a reader, with nothing in them taken as a pattern.
+
+    The file index of any Spark source holds these on the driver anyway; contents never
+    come here.
+    """
+    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", row["path"]) for row in rows.select("path").collect()]
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -51,7 +65,7 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     paths = [paths] if isinstance(paths, str) else list(paths)
     text = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(paths)
     return text.select(
-        F.col("_metadata.file_path").alias("file_id"),
+        plain_path().alias("file_id"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"),
         F.rtrim("value", F.lit("\r")).alias("value"),

@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from loglake.plans.catalog import MAX_FILE_BYTES, ingest
+from loglake.sources.files import literal_paths
 
 FILES_PER_TRIGGER = 1000
 
+# Fixed value: the schema of Spark's binary file source, which a stream must be given.
+BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
 
 def ingest_stream(
     spark: SparkSession,
@@ -28,6 +32,7 @@ def ingest_stream(
     """
     names = (
         spark.readStream.format("binaryFile")
+        .schema(BINARY_FILE_SCHEMA)
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", files_per_trigger)
         .load(folder_in)
@@ -35,7 +40,7 @@ def ingest_stream(
     )
 
     def take(batch: DataFrame, epoch: int) -> None:
-        paths = [row["path"] for row in batch.collect()]
+        paths = literal_paths(batch)
         if paths:
             ingest(batch.sparkSession, paths, catalog_folder, f"stream-{epoch:012d}",
                    default_tz=default_tz, max_bytes=max_bytes)
