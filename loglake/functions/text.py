@@ -29,12 +29,17 @@ def let(value: Column, body) -> Column:
 
 
 def trim_space(text: Column) -> Column:
-    """Trim white space, line ends included, from both ends."""
-    return F.trim(text, F.lit(SPACE_CHARS + "\n"))
+    """Trim white space, line ends included, from both ends.
+
+    Most text begins and ends with a visible ASCII character and is returned as it is.
+    """
+    first, last = F.substring(text, 1, 1), F.substring(text, -1, 1)
+    visible = first.between("!", "~") & last.between("!", "~")
+    return F.when(visible, text).otherwise(F.trim(text, F.lit(SPACE_CHARS + "\n")))
 
 
 def is_blank(text: Column) -> Column:
-    return trim_space(text) == ""
+    return F.ltrim(text, F.lit(SPACE_CHARS + "\n")) == ""
 
 
 def java_pattern(pattern: str) -> str:

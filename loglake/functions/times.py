@@ -77,11 +77,14 @@ def _local_time(p: Column) -> Column:
 
 def _offset_text(zone: Column) -> Column:
     """``GMT+3``, ``GMT-03:30`` or ``+0400`` as ``+03:00``; NULL for an abbreviation or none."""
-    digits = F.regexp_replace(zone, r"^GMT|:", "")
-    short = F.length(digits) % 2 == 0  # a sign and one hour digit, or with two minute digits
-    filled = F.when(short, F.concat(F.substring(digits, 1, 1), F.lit("0"), F.substring(digits, 2, 3))).otherwise(digits)
-    minutes = F.rpad(F.substring(filled, 4, 2), 2, "0")
-    return F.when(digits.rlike(r"^[+-]\d"), F.concat(F.substring(filled, 1, 3), F.lit(":"), minutes))
+    def build(digits):
+        short = F.length(digits) % 2 == 0  # a sign and one hour digit, or with two minute digits
+        filled = F.when(short, F.concat(F.substring(digits, 1, 1), F.lit("0"), F.substring(digits, 2, 3))).otherwise(digits)
+        minutes = F.rpad(F.substring(filled, 4, 2), 2, "0")
+        signed = F.substring(digits, 1, 1).isin("+", "-")
+        return F.when(signed, F.concat(F.substring(filled, 1, 3), F.lit(":"), minutes))
+
+    return let(F.replace(F.replace(zone, F.lit("GMT"), F.lit("")), F.lit(":"), F.lit("")), build)
 
 
 def shift_to_utc(local: Column, offset: Column) -> Column:
@@ -108,8 +111,8 @@ def parse_datetime(text: Column, default_tz: str = "UTC") -> Column:
     def resolve(local, offset, s):
         explicit = offset.isNotNull()
         inferred = local if zone == "UTC" else F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
-        # the layout with GMT in the middle prints a zero offset in digits
-        shown = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2} "), offset).otherwise(format_offset(offset))
+        # the layout with the offset after the day prints a zero offset in digits
+        shown = F.when(F.substring(s, 11, 1) == " ", offset).otherwise(format_offset(offset))
         return F.struct(
             F.when(explicit, shift_to_utc(local, offset)).otherwise(inferred).alias("ts"),
             s.alias("ts_raw"),

@@ -200,10 +200,23 @@ def oracle_fields(raw: Column) -> Column:
     return F.when(ORACLE.is_head(F.substring_index(raw, "\n", 1)), let(_lines(raw), record)).otherwise(_plain(raw))
 
 
+def _inside(head: Column, prefix: str) -> Column:
+    """A head line without its opening and one closing bracket."""
+    size = F.length(head) - len(prefix)
+    return F.substr(head, F.lit(len(prefix) + 1), size - F.when(head.endswith(">"), 1).otherwise(0))
+
+
+def _split_fields(inner: Column) -> Column:
+    """Fields between ``> <``; a head holds no line feed, so that can stand for it."""
+    return F.split(F.replace(inner, F.lit("> <"), F.lit("\n")), "\n")
+
+
 def weblogic_fields(raw: Column) -> Column:
     def record(lines):
-        inner = F.regexp_replace(trim_space(lines[0]), r"^####<|>\z", "")
-        return let(F.struct(lines.alias("lines"), F.split(inner, "> <").alias("f"), inner.alias("inner")), split_head)
+        inner = _inside(trim_space(lines[0]), "####<")
+        return let(F.struct(lines.alias("lines"), inner.alias("inner")), lambda s: let(
+            F.struct(s["lines"].alias("lines"), _split_fields(s["inner"]).alias("f"), s["inner"].alias("inner")), split_head
+        ))
 
     def split_head(s):
         f, n = s["f"], F.size(s["f"])
@@ -231,7 +244,7 @@ def weblogic_fields(raw: Column) -> Column:
 
 def wls_stdout_fields(raw: Column) -> Column:
     def record(lines):
-        inner = F.regexp_replace(trim_space(lines[0]), r"^<|>\z", "")
+        inner = _inside(trim_space(lines[0]), "<")
         return let(F.struct(lines.alias("lines"), F.split(inner, "> <", 4).alias("f")), finish)
 
     def finish(s):

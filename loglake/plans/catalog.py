@@ -69,38 +69,43 @@ class Catalog:
 
     # ---- reading -------------------------------------------------------------
 
-    def _deleted(self, kind: str) -> DataFrame:
+    def _without_deleted(self, rows: DataFrame, **kinds: str) -> DataFrame:
+        """Rows whose ids (column by kind) were not deleted."""
         path = self.path("deleted")
         if not self._exists(path):
-            return self.spark.createDataFrame([], "id string")
-        return self.spark.read.schema(_DELETED).parquet(path).where(F.col("kind") == kind).select("id").distinct()
+            return rows
+        deleted = self.spark.read.schema(_DELETED).parquet(path)
+        for kind, column in kinds.items():
+            ids = deleted.where(F.col("kind") == kind).select(F.col("id").alias(column)).distinct()
+            rows = rows.join(ids, column, "left_anti")
+        return rows
 
     def uploads(self) -> DataFrame:
         rows = self._read("uploads", UPLOADS)
-        return rows.join(self._deleted("upload"), "id", "left_anti").select(*UPLOADS.names, "batch_id")
+        return self._without_deleted(rows, upload="id").select(*UPLOADS.names, "batch_id")
 
     def files(self) -> DataFrame:
         """Files of finished batches; a file that was summarised again shows its last version."""
         rows = self._read("files", FILES).join(self.uploads().select(F.col("id").alias("upload_id")), "upload_id", "left_semi")
-        rows = rows.join(self._deleted("file"), "id", "left_anti")
+        rows = self._without_deleted(rows, file="id")
         again = self._read("summaries", _SUMMARIES).groupBy("file_id").agg(F.max_by("summary", "batch_id").alias("newer"))
         joined = rows.join(again, rows["id"] == again["file_id"], "left")
         return joined.withColumn("summary", F.coalesce("newer", "summary")).withColumn(
             "duration_sec", F.col("summary.duration_sec")
         ).select(*FILES.names, "batch_id")
 
-    def entries(self) -> DataFrame:
-        """Entries of finished batches.
+    def entries(self, upload_id: str | None = None) -> DataFrame:
+        """Entries of finished batches, of one upload or of all.
 
-        The batch filter prunes partitions; deleted uploads and files are left out.
+        For one upload its batch is found in the small uploads table, which prunes the
+        partitions of the big one; within them the files are sorted by upload and file, so
+        row groups are skipped by their statistics.
         """
-        rows = self._read("entries", ENTRIES)
-        done = self._read("uploads", UPLOADS).select("batch_id").distinct()
-        rows = rows.join(done, "batch_id", "left_semi")
-        for kind, column in (("upload", "upload_id"), ("file", "file_id")):
-            gone = self._deleted(kind).withColumnRenamed("id", column)
-            rows = rows.join(gone, column, "left_anti")
-        return rows.select(*ENTRY_COLUMNS)
+        rows, done = self._read("entries", ENTRIES), self._read("uploads", UPLOADS)
+        if upload_id is not None:
+            rows, done = rows.where(F.col("upload_id") == upload_id), done.where(F.col("id") == upload_id)
+        rows = rows.join(done.select("batch_id").distinct(), "batch_id", "left_semi")
+        return self._without_deleted(rows, upload="upload_id", file="file_id").select(*ENTRY_COLUMNS)
 
     # ---- changing ------------------------------------------------------------
 

@@ -6,18 +6,21 @@ or a top-N report.
 
 from __future__ import annotations
 
+import io
 import json
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loglake.functions.levels import level_by_content, level_from_http_status, normalize_level
-from loglake.functions.text import SPACE_CODES, attr, contains_like, json_attr, tokenize
+from loglake.functions.text import SPACE_CODES, attr, contains_like, encode_json, json_attr, tokenize
 from loglake.functions.times import parse_datetime, time_bucket
 from loglake.operators import aggregates, assembly, intake, pages, summaries, views
 from loglake.operators.formats import FormatSpec
 from loglake.operators.predicates import entry_filter
 from loglake.sources import tables as T
+from loglake.sources.archives import expand_archives
 from loglake.sources.encodings import decode_text, detect_encoding
 from loglake.sources.files import is_zip
 
@@ -132,6 +135,11 @@ def json_attr_query(spark, folder):
     return T.table(spark, folder, "events").select("event_id", json_attr(F.col("props"), "k").alias("k"))
 
 
+@register("attrs_json", f"WITH {ENTRIES_SQL} SELECT event_id + 1 AS seq, '{{\"k\":\"' || k || '\"}}' AS attrs FROM entries")
+def attrs_json(spark, folder):
+    return T.entries_from_events(spark, folder).select("seq", encode_json(F.col("attrs")).alias("attrs"))
+
+
 # ---- pages (L, J1, J2, G10) --------------------------------------------------
 
 
@@ -471,6 +479,31 @@ def full_summary(spark, folder):
     )
 
 
+@register(
+    "summary_extras",
+    f"WITH {ENTRIES_SQL} SELECT file_id, count(*) AS total_records, CAST(count(DISTINCT component) AS VARCHAR) AS components "
+    "FROM entries GROUP BY 1",
+)
+def summary_extras(spark, folder):
+    """A summariser of one's own adds to the summary."""
+    def components(entries):
+        kinds = entries.groupBy("file_id", "component").agg(F.count(F.lit(1)).alias("n"))
+        counted = kinds.groupBy("file_id").agg(F.count("component").cast("string").alias("c"))
+        return counted.select("file_id", F.create_map(F.lit("components"), "c").alias("extras"))
+
+    summaries.register_summarizer("text", components)
+    try:
+        full = summaries.summarize(
+            T.entries_from_events(spark, folder), T.files_from_events(spark, folder),
+            T.uploads_from_events(spark, folder), EVENT_MARKERS,
+        )
+    finally:
+        summaries.unregister_summarizer("text")
+    return full.select(
+        "file_id", F.col("summary.total_records").alias("total_records"), attr(F.col("summary.extras"), "components").alias("components")
+    )
+
+
 # ---- scalar functions (U) ----------------------------------------------------
 
 
@@ -763,6 +796,30 @@ def decode_latin1(spark, folder):
     return named.select("doc_id", decode_text(F.col("content"), F.col("encoding")).alias("text"))
 
 
+def _zipped(batches):
+    """Each text as an archive of its own with one log and one other member."""
+    for batch in batches:
+        contents = []
+        for text in batch["text"]:
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+                archive.writestr("logs/doc.log", text)
+                archive.writestr("logs/doc.bin", "no text")
+            contents.append(buffer.getvalue())
+        yield batch.assign(content=contents)[["doc_id", "content"]]
+
+
+@register(
+    "zip_members",
+    "SELECT doc_id, 'logs/doc.log' AS path_in_archive, 'doc.log' AS member_name, text FROM documents",
+)
+def zip_members(spark, folder):
+    archives = T.table(spark, folder, "documents").select("doc_id", "text").mapInPandas(_zipped, "doc_id bigint, content binary")
+    members = expand_archives(archives)
+    text = decode_text(F.col("content"), detect_encoding(F.col("content")))
+    return members.select("doc_id", "path_in_archive", "member_name", text.alias("text"))
+
+
 @register(
     "cascade_upload",
     f"""WITH {ENTRIES_SQL}, {FILES_SQL}, gone AS (SELECT 'u' || CAST(r_regionkey AS VARCHAR) AS id FROM region WHERE r_name = 'AMERICA')

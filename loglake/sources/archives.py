@@ -15,6 +15,11 @@ from pyspark.sql import DataFrame, functions as F
 TEXT_MEMBER = re.compile(r"^\.(log|out|txt|err)\d*$", re.IGNORECASE)
 
 
+# A frame of members is handed on when it holds this much.
+FRAME_BYTES = 16 << 20
+FRAME_ROWS = 1000
+
+
 def is_text_member(name: str) -> bool:
     ext = posixpath.splitext(posixpath.basename(name))[1]
     return ext == "" or TEXT_MEMBER.match(ext) is not None
@@ -43,7 +48,7 @@ def expand_archives(archives: DataFrame) -> DataFrame:
 
     The other columns are kept; added are path_in_archive, member_name, content (the
     member's own bytes), error (the member cannot be read) and archive_error (the archive
-    cannot be opened). Members leave the task one at a time.
+    cannot be opened). Members leave the task in frames of a bounded size.
     """
     kept = [f for f in archives.schema.fields if f.name != "content"]
     names = [f.name for f in kept]
@@ -51,11 +56,18 @@ def expand_archives(archives: DataFrame) -> DataFrame:
     schema = f"{fields}, path_in_archive string, content binary, archive_error string, error string"
 
     def expand(batches):
+        rows, held = [], 0
         for batch in batches:
             for record in batch.to_dict("records"):
                 base = {name: record[name] for name in names}
                 for member in _members(bytes(record["content"])):
-                    yield pd.DataFrame([{**base, **member}])
+                    rows.append({**base, **member})
+                    held += len(member["content"] or b"")
+                    if held >= FRAME_BYTES or len(rows) >= FRAME_ROWS:
+                        yield pd.DataFrame(rows)
+                        rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows)
 
     members = archives.select(*names, "content").mapInPandas(expand, schema)
     return members.withColumn("member_name", F.substring_index("path_in_archive", "/", -1))

@@ -64,6 +64,7 @@ def test_tables(ingested):
     assert files[("b.log", "b/b.log")].summary.file_size == len(JAVA)
     assert ("ru.log", "", 2, "text", "привет") in shape(cat)
     assert cat.uploads().count() == 5 and cat.entries().count() == 12
+    assert cat.entries(cat.uploads().where("filename = 'z.dat'").first().id).count() == 5
 
 
 def test_long_files_give_the_same_entries(spark, ingested, monkeypatch):
