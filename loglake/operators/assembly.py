@@ -16,9 +16,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from loglake.functions.memo import memo
 from loglake.functions.text import is_blank, let, trim_space
-from loglake.sources.encodings import UTF8, decode_text, detect_encoding
 from loglake.operators.formats import FIELD_NAMES, SAMPLE_LINES, FormatSpec, detect_in, formats, resolve_parts
+from loglake.sources.encodings import UTF8, decode_text, detect_encoding
 
 
 # ---- whole texts -------------------------------------------------------------
@@ -130,8 +131,9 @@ def _line_flags(lines: DataFrame, specs: list[FormatSpec]) -> DataFrame:
     """
     line, fmt = F.col("value"), F.col("format")
     no = F.lit(False)
-    is_head = _per_format(fmt, specs, lambda s: s.is_head(line) if s.assembles else no, no)
-    goes_on = _per_format(fmt, specs, lambda s: s.continues(line) if s.assembles else no, no)
+    key = tuple(specs)
+    is_head = memo(("head", key), lambda: _per_format(fmt, specs, lambda s: s.is_head(line) if s.assembles else no, no))
+    goes_on = memo(("goes on", key), lambda: _per_format(fmt, specs, lambda s: s.continues(line) if s.assembles else no, no))
     multiline = _per_format(fmt, specs, lambda s: F.lit(s.assembles), no)
     keeps_blank = _per_format(fmt, specs, lambda s: F.lit(s.keep_blank), no)
     flagged = lines.select("*", is_head.alias("head"), goes_on.alias("goes_on"), is_blank(line).alias("blank"),
@@ -280,12 +282,18 @@ def parse_records(records: DataFrame, default_tz: str = "UTC") -> DataFrame:
     """
     columns = [c for c in records.columns if c not in FIELD_NAMES]
     own = [spec for spec in formats() if spec.frame_fields is not None]
-    branches = F
-    for spec in formats():
-        if spec.frame_fields is None:
-            branches = branches.when(F.col("format") == spec.name, spec.fields(F.col("raw_line")))
+    specs = tuple(spec for spec in formats() if spec.frame_fields is None)
+
+    def branches() -> Column:
+        chain = F
+        for spec in specs:
+            chain = chain.when(F.col("format") == spec.name, spec.fields(F.col("raw_line")))
+        return chain
+
     common = records.where(~F.col("format").isin([s.name for s in own])) if own else records
-    parsed = resolve_parts(common.select(*columns, branches.alias("parts")), "parts", default_tz)
+    parsed = resolve_parts(
+        common.select(*columns, memo(("parts", specs), branches).alias("parts")), "parts", default_tz
+    )
     framed = [
         spec.frame_fields(records.where(F.col("format") == spec.name), default_tz).select(*columns, *FIELD_NAMES)
         for spec in own

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loglake.functions.levels import level_by_content, level_from_http_status, normalize_level
+from loglake.functions.memo import memo
 from loglake.functions.text import SPACE_CLASS, is_blank, let, trim_space
 from loglake.functions.times import first_date, millis_to_ts, parse_datetime
 
@@ -128,7 +129,8 @@ def resolve_parts(records: DataFrame, column: str, default_tz: str) -> DataFrame
     """Records with a ``parts`` struct turned into records with FIELD_NAMES."""
     kept = [c for c in records.columns if c != column]
     part = F.col(column)
-    timed = records.select("*", parse_datetime(part["ts_text"], default_tz).alias("_time")).select(
+    time = memo(("time", column, default_tz), lambda: parse_datetime(part["ts_text"], default_tz))
+    timed = records.select("*", time.alias("_time")).select(
         "*", F.coalesce(F.col("_time.ts"), millis_to_ts(part["millis"])).alias("ts")
     )
     has_ts = F.col("ts").isNotNull()
@@ -136,11 +138,11 @@ def resolve_parts(records: DataFrame, column: str, default_tz: str) -> DataFrame
     def text(value: Column) -> Column:
         return F.nullif(value, F.lit(""))
 
-    level = F.coalesce(
+    level = memo(("level", column), lambda: F.coalesce(
         normalize_level(part["level_word"]),
         level_by_content(part["level_content"]),
         F.when(part["status"].isNotNull(), level_from_http_status(part["status"])),
-    )
+    ))
     return timed.select(
         *kept,
         "ts",

@@ -211,17 +211,28 @@ def _extras(entries: DataFrame) -> DataFrame | None:
 
 
 def summarize(
-    entries: DataFrame, files: DataFrame, uploads: DataFrame, markers: dict | None = None
+    entries: DataFrame,
+    files: DataFrame,
+    uploads: DataFrame,
+    markers: dict | None = None,
+    *,
+    nest_sessions: bool = False,
 ) -> DataFrame:
     """The full summary of each file as one struct.
 
     ``files`` gives encoding and, when it has one, the unpacked ``size_bytes``; the
     upload gives the time of upload and the size for a file that was not archived.
     A format with session markers gets its sessions, any other only the base part.
+    Sessions are counted and added up here; as rows they come from ``sessions``. With
+    ``nest_sessions`` each file's are also put into the struct as one array, which is for
+    files whose sessions are known to be few.
     """
     base = base_summary(entries)
-    spans = sessions(entries, markers).groupBy("file_id").agg(
-        F.array_sort(F.collect_list(F.struct("start_ts", "stop_ts", "duration_sec", "note"))).alias("sessions")
+    found = sessions(entries, markers)
+    listed = F.array_sort(F.collect_list(F.struct("start_ts", "stop_ts", "duration_sec", "note")))
+    spans = found.groupBy("file_id").agg(
+        F.count(F.lit(1)).alias("session_count"), F.sum("duration_sec").alias("session_sec"),
+        (listed if nest_sessions else F.lit(None)).alias("sessions"),
     )
     own_size = F.col("f.size_bytes") if "size_bytes" in files.columns else F.lit(None).cast("bigint")
     meta = files.alias("f").join(uploads.alias("u"), F.col("f.upload_id") == F.col("u.id"), "left").select(
@@ -243,7 +254,11 @@ def summarize(
             "file_size", "uploaded_at", "encoding", "first_ts", "last_ts",
             F.coalesce("duration_sec", zero).alias("duration_sec"),
             F.coalesce("level_counts", F.create_map().cast("map<string,bigint>")).alias("level_counts"),
-            F.coalesce("sessions", F.array().cast("array<struct<start_ts:timestamp_ntz,stop_ts:timestamp_ntz,duration_sec:bigint,note:string>>")).alias("sessions"),
+            F.coalesce("session_count", zero).alias("session_count"),
+            F.coalesce("session_sec", zero).alias("session_sec"),
+            (F.coalesce(F.col("sessions"), F.array()) if nest_sessions else F.lit(None)).cast(
+                "array<struct<start_ts:timestamp_ntz,stop_ts:timestamp_ntz,duration_sec:bigint,note:string>>"
+            ).alias("sessions"),
             "extras",
         ).alias("summary"),
     )

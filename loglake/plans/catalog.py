@@ -22,8 +22,8 @@ from loglake.operators.assembly import (
     split_records,
 )
 from loglake.operators.intake import TOO_LARGE, duplicate_report, missing_ids, upload_report
-from loglake.operators.summaries import summarize
-from loglake.schema import ENTRIES, ENTRY_COLUMNS, FILES, UPLOADS
+from loglake.operators.summaries import sessions, summarize
+from loglake.schema import ENTRIES, ENTRY_COLUMNS, FILES, SESSIONS, UPLOADS
 from loglake.sources.archives import expand_archives
 from loglake.sources.encodings import decode_text, detect_encoding
 from loglake.sources.files import (
@@ -107,6 +107,14 @@ class Catalog:
         rows = rows.join(done.select("batch_id").distinct(), "batch_id", "left_semi")
         return self._without_deleted(rows, upload="upload_id", file="file_id").select(*ENTRY_COLUMNS)
 
+    def sessions(self, file_id: str | None = None) -> DataFrame:
+        """Start/stop sessions of the stored files."""
+        rows = self._read("sessions", SESSIONS)
+        if file_id is not None:
+            rows = rows.where(F.col("file_id") == file_id)
+        kept = self.files().select(F.col("id").alias("file_id"))
+        return rows.join(kept, "file_id", "left_semi").select(*SESSIONS.names)
+
     # ---- changing ------------------------------------------------------------
 
     def _delete(self, kind: str, table: DataFrame, ids: Sequence[str]) -> None:
@@ -272,6 +280,7 @@ def ingest(
         stamped.alias("uploaded_at"), reason.alias("error"), "existing_upload_id",
     )
     stored = spark.read.schema(ENTRIES).parquet(catalog.path("entries", batch_id))
+    catalog._write(sessions(stored).select(*SESSIONS.names), "sessions", batch_id)
     catalog._write(_file_rows(stored, met.where(F.col("archive_error").isNull()), uploads, stamped), "files", batch_id)
     # a duplicate and a file over the limit leave no trace but the report
     kept = uploads.where((F.col("status") != "duplicate") & (F.coalesce("error", F.lit("")) != TOO_LARGE))

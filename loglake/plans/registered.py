@@ -474,8 +474,7 @@ def full_summary(spark, folder):
         "file_id", s["total_records"].alias("total_records"), s["first_ts"].alias("first_ts"), s["last_ts"].alias("last_ts"),
         s["duration_sec"].alias("duration_sec"), *_flat_counts(s["level_counts"]), s["file_size"].alias("file_size"),
         s["uploaded_at"].alias("uploaded_at"), s["encoding"].alias("encoding"),
-        F.size(s["sessions"]).cast("bigint").alias("session_count"),
-        F.aggregate(s["sessions"], F.lit(0).cast("bigint"), lambda a, x: a + x["duration_sec"]).alias("session_sec"),
+        s["session_count"].alias("session_count"), s["session_sec"].alias("session_sec"),
     )
 
 

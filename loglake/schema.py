@@ -35,6 +35,8 @@ SESSION = T.StructType([
     T.StructField("note", T.StringType()),
 ])
 
+SESSIONS = T.StructType([T.StructField("file_id", T.StringType()), *SESSION.fields])
+
 SUMMARY = T.StructType([
     T.StructField("total_records", T.LongType()),
     T.StructField("file_size", T.LongType()),
@@ -44,6 +46,8 @@ SUMMARY = T.StructType([
     T.StructField("last_ts", TS),
     T.StructField("duration_sec", T.LongType()),
     T.StructField("level_counts", T.MapType(T.StringType(), T.LongType())),
+    T.StructField("session_count", T.LongType()),
+    T.StructField("session_sec", T.LongType()),
     T.StructField("sessions", T.ArrayType(SESSION)),
     T.StructField("extras", T.MapType(T.StringType(), T.StringType())),
 ])

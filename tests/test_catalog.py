@@ -67,6 +67,18 @@ def test_tables(ingested):
     assert cat.entries(cat.uploads().where("filename = 'z.dat'").first().id).count() == 5
 
 
+def test_sessions_are_stored(spark, tmp_path):
+    line = WEBLOGIC.replace("Security initializing", "{}")
+    os.makedirs(tmp_path / "in")
+    with open(tmp_path / "in" / "s.log", "w") as f:
+        f.write(line.format("Server state changed to STARTING") + line.format("x") + line.format("Server state changed to FAILED").replace("526480785513", "526480795513"))
+    ingest(spark, str(tmp_path / "in"), str(tmp_path / "cat"), "b1")
+    cat = Catalog(spark, str(tmp_path / "cat"))
+    row = cat.files().first()
+    assert (row.summary.session_count, row.summary.session_sec) == (1, 10)
+    assert [r.duration_sec for r in cat.sessions(row.id).collect()] == [10]
+
+
 def test_long_files_give_the_same_entries(spark, ingested, monkeypatch):
     root, _, cat = ingested
     monkeypatch.setattr(catalog_module, "WHOLE_FILE_BYTES", 10)

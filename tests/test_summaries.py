@@ -87,10 +87,13 @@ def test_full_summary_and_extras(spark, three):
     register_summarizer("text", lambda e: e.groupBy("file_id").agg(F.create_map(F.lit("n"), F.count("*").cast("string")).alias("extras")))
     try:
         assert "text" in summarizer_names() and "base" in summarizer_names()
-        rows = {r.file_id: r.summary for r in summarize(three, files, uploads).collect()}
+        rows = {r.file_id: r.summary for r in summarize(three, files, uploads, nest_sessions=True).collect()}
     finally:
         unregister_summarizer("text")
     assert rows["f"].file_size == 77 and rows["g"].file_size == 999
     assert len(rows["f"].sessions) == 1 and rows["f"].sessions[0].duration_sec == 3600
     assert rows["g"].sessions == [] and rows["g"].extras == {"n": "1"} and rows["f"].extras is None
+    assert (rows["f"].session_count, rows["f"].session_sec, rows["g"].session_count) == (1, 3600, 0)
+    flat = {r.file_id: r.summary for r in summarize(three, files, uploads).collect()}
+    assert flat["f"].sessions is None and flat["f"].session_sec == 3600
     assert rows["empty"].total_records == 0 and rows["empty"].level_counts == {}
