@@ -37,17 +37,17 @@ def _letters_as_bytes(codec: str) -> str:
 def detect_encoding(content: Column) -> Column:
     """Name of a content's encoding.
 
-    Valid UTF-8, empty content included, is UTF-8. Otherwise the first bytes decide: runs
-    of high bytes mean Cyrillic, single ones between ASCII letters a western encoding.
+    Valid UTF-8, empty content included, is UTF-8. Otherwise the first bytes decide: words of
+    high bytes only mean Cyrillic, high bytes next to ASCII letters a western encoding.
     """
     head = F.decode(F.substring(content, 1, HEAD_BYTES), "ISO-8859-1")
-    runs = F.regexp_count(head, F.lit(r"[\x{A8}-\x{FF}]{2,}"))
-    singles = F.regexp_count(head, F.lit(r"(?<![\x{80}-\x{FF}])[\x{80}-\x{FF}](?![\x{80}-\x{FF}])"))
+    pure = F.regexp_count(head, F.lit(r"(?<![A-Za-z\x{80}-\x{FF}])[\x{A1}-\x{FF}]{2,}(?![A-Za-z\x{80}-\x{FF}])"))
+    mixed = F.regexp_count(head, F.lit(r"[A-Za-z][\x{C0}-\x{FF}]|[\x{C0}-\x{FF}][A-Za-z]"))
     cp1251 = F.regexp_count(head, F.lit("[" + _letters_as_bytes("cp1251") + "]"))
     iso5 = F.regexp_count(head, F.lit("[" + _letters_as_bytes("iso8859-5") + "]"))
     cyrillic = F.when(cp1251 >= iso5, "Windows-1251").otherwise("ISO-8859-5")
     western = F.when(head.rlike(r"[\x{80}-\x{9F}]"), "Windows-1252").otherwise("ISO-8859-1")
-    guess = F.when(runs > singles, cyrillic).otherwise(western)
+    guess = F.when(pure > mixed, cyrillic).otherwise(western)
     return F.when(F.coalesce(F.is_valid_utf8(content), F.lit(True)), UTF8).otherwise(guess)
 
 

@@ -147,6 +147,7 @@ def test_readers(spark, ingested):
 
 @pytest.mark.parametrize("name,text,encoding", [
     ("Windows-1251", RUSSIAN, "cp1251"), ("ISO-8859-5", RUSSIAN, "iso8859-5"), ("ISO-8859-1", "café très élevé à côté", "latin-1"),
+    ("ISO-8859-1", "Éèé êéè menté éan êéé éanier", "latin-1"), ("Windows-1251", "ERROR main - Ошибка: нет места", "cp1251"),
     ("Windows-1252", "price 5€ – café", "cp1252"), ("UTF-8", "hello мир", "utf-8"), ("UTF-8", "", "utf-8"),
 ])
 def test_encodings(spark, name, text, encoding):
