@@ -761,7 +761,7 @@ _BATCH_SQL = """batch AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS id, lpad(CAST
     WHERE r = 1""",
 )
 def dedup_first(spark, folder):
-    none = T.table(spark, folder, "documents").where("doc_id < 0").select(F.lit("").alias("id"), F.lit("").alias("md5"))
+    none = spark.createDataFrame([], "id string, md5 string")  # nothing was uploaded before
     report = intake.duplicate_report(_batch(spark, folder), none)
     return report.where(F.col("status") == "accepted").select("id", "filename")
 
