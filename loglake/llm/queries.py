@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from loglake.llm import language, toxicity
 from loglake.llm.common import documents
 from loglake.llm.packing import pack
 
@@ -19,6 +20,18 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder, "doc_id", "text")
+    return toxicity.score_documents(docs, toxicity.learn(docs, spark.read.parquet(f"{folder}/labels.parquet")))
+
+
+@query
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder, "doc_id", "text", "lang")
+    return language.predict_documents(docs, language.learn(docs))
+
+
 @query
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(documents(spark, folder, "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
