@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loglake.session import ship_package
+
 #: Words are what ASCII white space separates.
 WORD = r"[^\x20\x09-\x0D]+"
 WORDS = re.compile(WORD)
@@ -103,4 +105,5 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{folder}/documents.parquet").select(*(columns or ("*",)))

@@ -4,7 +4,7 @@ Folding maps every character to one: case and accents go, look-alike letters bec
 Latin, digits and signs become the letters they stand for (so ``1``, ``!``, ``l`` and
 ``i`` are one letter), invisible characters vanish. A term is a word, which counts where it stands alone
 (neither neighbour is a letter or digit as written), or a stem, written ``stem*``, which
-counts where a word begins with it. Matches inside an exception phrase
+counts where a word begins with it and goes on. Matches inside an exception phrase
 don't count. A text's weight is divided by a power of its length, and a logistic curve
 fitted on the learning rows turns it into a score of 0 to 1.
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from loglake.llm.common import held_out, saved
 
 ROWS, CANDIDATES, TERMS, EXCEPTIONS = 20_000, 3_000, 100, 200
-STEMS = range(4, 8)
+STEMS = range(4, 9)
 THRESHOLD = 0.3
 
 # Letters that look like Latin ones, and digits or signs that stand for letters.
@@ -90,7 +90,7 @@ def fold(text: str) -> str:
 
 def variants(word: str) -> list[str]:
     """The terms that a folded word can match."""
-    return [word, *(f"{word[:k]}*" for k in STEMS if k <= len(word))]
+    return [word, *(f"{word[:k]}*" for k in STEMS if k < len(word))]
 
 
 def matcher(terms: list[str]):
@@ -114,7 +114,7 @@ def matches(automaton, text: str) -> list[tuple[int, int, str]]:
     found = [(end - size + 1, end + 1, term) for end, (size, own) in automaton.iter(fold(text)) for term in own]
     if found:
         solid = text.translate(SOLID)
-        found = [x for x in found if solid[x[0] - 1:x[0]] != "a" and (x[2][-1] == "*" or solid[x[1]:x[1] + 1] != "a")]
+        found = [x for x in found if solid[x[0] - 1:x[0]] != "a" and (solid[x[1]:x[1] + 1] == "a") == (x[2][-1] == "*")]
     return found
 
 
@@ -149,7 +149,7 @@ def _choose(rows: list[tuple[int, list[int]]], size: list[int], count: int, leas
     while len(chosen) < count:
         gain = Counter(i for t in toxic for i in t)
         for i in clean:
-            gain[i] -= 2 * clean[i]
+            gain[i] -= 0.5 * clean[i]
         best = min(gain, key=lambda i: (-gain[i], -size[i], i), default=None)
         if best is None or gain[best] < least:
             return chosen
@@ -194,7 +194,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Lexicon:
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
     counted = sample.mapInPandas(words, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     candidates = (
-        counted.filter((F.col("t") >= 3) & (F.length("term") >= 3)).withColumn("w", odds).filter("w > 2")
+        counted.filter((F.col("t") >= 3) & (F.length("term") >= 3)).withColumn("w", odds).filter("w > 1.5")
         .orderBy(F.desc(F.col("t") * F.col("w")), "term").limit(CANDIDATES).collect()
     )
     names = [r["term"] for r in candidates]
