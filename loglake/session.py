@@ -6,6 +6,10 @@ are ``TIMESTAMP_NTZ`` in UTC, so the session time zone never enters a result.
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 DEFAULT_CONF = {
@@ -48,3 +52,15 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         raise ValueError("spark.checkpoint.dir is not set and no fallback folder was given")
     spark.sparkContext.setCheckpointDir(fallback)
     return fallback
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers of the session, once, so that their functions can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_loglake_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="run-")
+    shutil.copytree(package, f"{folder}/{os.path.basename(package)}", ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(f"{folder}-package", "zip", folder))
+    context._loglake_shipped = True
