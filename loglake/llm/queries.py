@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loglake.llm import language, toxicity
+from loglake.llm import jaccard, language, toxicity
 from loglake.llm.common import documents
 from loglake.llm.packing import pack
 
@@ -32,6 +32,11 @@ def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict_documents(docs, language.learn(docs))
 
 
+@query
+def op7_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join(documents(spark, folder, "doc_id", "text"))
+
+
 @query
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(documents(spark, folder, "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
