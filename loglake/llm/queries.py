@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loglake.llm import decontamination, jaccard, language, sharding, toxicity
+from loglake.llm import decontamination, jaccard, language, quality, sharding, toxicity
 from loglake.llm.common import documents
 from loglake.llm.packing import pack
 
@@ -26,6 +26,11 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.learn(docs, spark.read.parquet(f"{folder}/labels.parquet")))
 
 
+@query
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(documents(spark, folder, "doc_id", "text"))
+
+
 @query
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.overlaps(documents(spark, folder, "doc_id", "text"), spark.read.parquet(f"{folder}/benchmark.parquet"))
