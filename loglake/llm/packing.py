@@ -15,7 +15,7 @@ and never joins characters across it, so the ids of the space-separated words, f
 once per word and worker, are those of the text.
 
 Edge cases: a null or empty text is its end id alone; a very long text is cut; repeated
-rows are packed again, each by itself; an empty table gives no row; further columns of
+rows are packed again, each by itself; rows without doc_id are left out; an empty table gives no row; further columns of
 the input are ignored. No row moves between tasks: nothing is shuffled, a task holds
 ``chunk`` tokens and the words it has met (at most ``memo``), and a task that is run
 again gives the same rows.
@@ -212,7 +212,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID
     return docs.select(
         F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         F.spark_partition_id().alias("part"),
-    ).mapInPandas(run, PIECES)
+    ).filter("doc_id is not null").mapInPandas(run, PIECES)
 
 
 _NAMES = [c.split()[0] for c in PIECES.split(", ")]

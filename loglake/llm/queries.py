@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loglake.llm import decontamination, jaccard, language, quality, sharding, toxicity
+from loglake.llm import decontamination, jaccard, language, pii, quality, sharding, toxicity
 from loglake.llm.common import documents
 from loglake.llm.packing import pack
 
@@ -52,6 +52,12 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shards(documents(spark, folder, "doc_id", "text"))
 
 
+@query
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder, "doc_id", "text")
+    return pii.find(docs, pii.learn(docs))
+
+
 @query
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(documents(spark, folder, "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
