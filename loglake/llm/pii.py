@@ -34,7 +34,7 @@ from loglake.llm.common import saved
 
 KINDS = ("email", "ip", "card", "phone")
 ROWS, WINDOW, OVERLAP, SURE, SHORTEST = 1_500, 128, 48, 0.9, 7
-TRAIN_WINDOW, STEPS, BATCH, EMBEDDED, HIDDEN = 64, 250, 32, 10, 16
+TRAIN_WINDOW, STEPS, BATCH, EMBEDDED, HIDDEN = 56, 320, 24, 10, 16
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -211,7 +211,7 @@ class Tagger:
         for n in range(1, steps + 1):
             rows = rng.integers(0, len(x), BATCH)
             loss, g = self.gradient(x[rows].T, y[rows].T)
-            rate = 0.02 * min(1, n / 10) * (1 - 0.9 * n / steps)
+            rate = 0.03 * min(1, n / 10) * (1 - 0.9 * n / steps)
             norm = max(1.0, float(np.sqrt(sum((w * w).sum() for w in g.values()))) / 5)
             for k, w in g.items():
                 m[k] = 0.9 * m[k] + 0.1 * w / norm
