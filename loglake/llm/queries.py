@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loglake.llm import decontamination, jaccard, language, pii, quality, secrets, sharding, toxicity
+from loglake.llm import decontamination, jaccard, language, pii, quality, secrets, sharding, tokens, toxicity
 from loglake.llm.common import documents
 from loglake.llm.packing import pack
 
@@ -42,6 +42,11 @@ def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict_documents(docs, language.learn(docs))
 
 
+@query
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.count_documents(documents(spark, folder, "doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.report(documents(spark, folder, "doc_id", "text", "source"))
