@@ -1,27 +1,71 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again.
+
+Each stage takes (spark, docs, folder of the tables) and works on all rows its predecessor
+kept. All but the last return the columns of ``docs``. Rows without a doc_id end at the
+near-duplicate stage; a null text passes every filter and is packed as an empty one.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loglake.llm import decontamination as bench
+from loglake.llm import jaccard, secrets, toxicity
 from loglake.llm.common import saved
 from loglake.llm.packing import pack
+from loglake.session import ship_package
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """The documents whose toxicity score is under the threshold."""
+    ship_package(spark)
+    lexicon = toxicity.learn(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    return docs.filter(toxicity.toxicity(lexicon)(F.col("text")) < toxicity.THRESHOLD)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates."""
+    ship_package(spark)
+    first = jaccard.join(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """The documents without a passage of the benchmark."""
+    ship_package(spark)
+    return bench.clean(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """All documents, secrets in their texts replaced."""
+    redacted = secrets.redact(docs)
+    if "n_chars" not in docs.columns:
+        return redacted
+    return redacted.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Sequences of at most 4096 tokens."""
+    """Pieces of documents in sequences of at most 4096 tokens."""
+    ship_package(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("near_duplicates", one_of_each_group),
+    ("decontamination", decontaminate),
+    ("secrets", redact_secrets),
+    ("packing", packing),
+]
 
-#: Stages learn, hash and tokenize: SQL can't say them. tests/llm compares with a plain version.
+#: Stages learn, hash and tokenize, which SQL can't express: tests/llm compares them with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, folder), name)
+        docs = saved(stage(spark, docs, folder), f"pipeline-{name}")
     return docs
