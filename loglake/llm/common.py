@@ -44,16 +44,24 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"]
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of each word of the whole text, A-Z lower-cased.
+def _separators(chars: bytes) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[list(chars)] = True
+    return table
+
+
+_BLANKS = _separators(b" \t\n\v\f\r")
+_SIGNS = _separators(bytes(c for c in range(128) if not chr(c).isalnum()))
+
+
+def _run_hashes(raw: bytes, separators: np.ndarray) -> np.ndarray:
+    """A hash of each run of bytes between separators.
 
-    A word's bytes are a polynomial; prefix sums give all words at once.
+    A run's bytes are a polynomial; prefix sums give all runs at once.
     """
-    if not text:
-        return np.empty(0, _U)
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
+    data = np.frombuffer(raw, np.uint8)
     blank = np.ones(len(data) + 2, bool)
-    blank[1:-1] = (data == 32) | ((data >= 9) & (data <= 13))
+    blank[1:-1] = separators[data]
     edges = np.flatnonzero(blank[1:] != blank[:-1])
     first, last = edges[::2], edges[1::2]
     up, down = _powers(len(data))
@@ -62,6 +70,16 @@ def word_hashes(text: str | None) -> np.ndarray:
     return mix((sums[last] - sums[first]) * down[first] + (last - first).astype(_U))
 
 
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word of the whole text, A-Z lower-cased."""
+    return _run_hashes(text.encode("utf-8", "surrogatepass").lower(), _BLANKS) if text else np.empty(0, _U)
+
+
+def token_hashes(text: str | None) -> np.ndarray:
+    """A hash of each run of ASCII letters, digits and characters beyond ASCII, lower-cased."""
+    return _run_hashes(text.lower().encode("utf-8", "surrogatepass"), _SIGNS) if text else np.empty(0, _U)
+
+
 def shingle_hashes(words: np.ndarray, k: int = 5) -> np.ndarray:
     """A hash of every run of ``k`` words, or one of all words if there are fewer."""
     n = len(words)

@@ -1,6 +1,6 @@
 """Operator 3, benchmark decontamination: spaced-seed hashing.
 
-Words are runs of letters and digits, lower-cased. A seed is a window of 12 to 15 words of
+Words are runs of letters, digits and characters beyond ASCII, lower-cased. A seed is a window of 12 to 15 words of
 which a fixed mask ignores some, so a hit survives a substitution at an ignored place.
 Benchmark and training seeds are joined by hash. Around each hit the two texts are
 laid side by side and the longest stretch is found in which at most ``tolerance`` of
@@ -22,7 +22,6 @@ and, in :func:`clean`, kept.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglake.llm.common import mix, saved
+from loglake.llm.common import mix, saved, token_hashes
 
 # 1 keeps a word, 0 ignores it.
 MASKS = ("111101101111", "1101110011101011", "1110101011110111")
@@ -40,23 +39,6 @@ AROUND = 64
 MOST_BITS = 26
 
 _U = np.uint64
-_TOKEN = re.compile(r"[^\W_]+")
-_MEMO: dict[str, int] = {}
-
-
-def token_hashes(text: str | None) -> np.ndarray:
-    """A hash of each word of the whole text."""
-    import xxhash
-
-    words = _TOKEN.findall(text.lower()) if text else []
-    if len(_MEMO) > 500_000:
-        _MEMO.clear()
-    known = list(map(_MEMO.get, words))
-    if None in known:
-        for w in {w for w, h in zip(words, known, strict=True) if h is None}:
-            _MEMO[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-        known = list(map(_MEMO.__getitem__, words))
-    return np.array(known, _U)
 
 
 def _factors(mask: str) -> list[tuple[int, np.uint64]]:
@@ -104,6 +86,11 @@ def longest_overlap(train: np.ndarray, bench: np.ndarray, shift: int, at: int, t
     return low + int(starts[i]), low + int(ends[j]), int(equal[i, j])
 
 
+def _lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"n": [len(token_hashes(t)) for t in batch["text"].tolist()]})
+
+
 def _bench_seeds(masks: tuple[str, ...], shortest: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -122,14 +109,19 @@ def _bench_seeds(masks: tuple[str, ...], shortest: int):
     return run
 
 
+def _places(x: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [((x >> _U(shift)) & _U(bits - 1)).astype(np.int64) for shift in (6, 34)]
+
+
 def _bitmap(values: DataFrame) -> np.ndarray:
-    """A bitmap of the seeds; its size is bounded and it is built in 64 slices."""
-    bits = min(MOST_BITS, max(16, (16 * max(1, values.count())).bit_length()))
+    """A bitmap with two bits a seed, about a thousand times as many bits as seeds while that is under the bound; built in 64 slices."""
+    bits = min(MOST_BITS, max(16, (1024 * max(1, values.count())).bit_length()))
 
     def slices(group: pd.DataFrame) -> pd.DataFrame:
         flags = np.zeros(1 << (bits - 6), np.uint8)
         x = group["seed"].to_numpy(np.int64).view(_U)
-        flags[((x >> _U(6)) & _U(len(flags) - 1)).astype(np.int64)] = 1
+        for at in _places(x, len(flags)):
+            flags[at] = 1
         return pd.DataFrame({"part": [int(x[0] & _U(63))], "flags": [np.packbits(flags, bitorder="little").tobytes()]})
 
     part = F.col("seed").bitwiseAND(F.lit(63))
@@ -140,8 +132,11 @@ def _bitmap(values: DataFrame) -> np.ndarray:
 
 
 def _can_hit(flags: np.ndarray, x: np.ndarray) -> np.ndarray:
-    at = ((x >> _U(6)) & _U(flags.shape[1] * 8 - 1)).astype(np.int64)
-    return (flags[(x & _U(63)).astype(np.int64), at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    part = (x & _U(63)).astype(np.int64)
+    hit = np.ones(len(x), bool)
+    for at in _places(x, flags.shape[1] * 8):
+        hit &= (flags[part, at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return hit
 
 
 def _train_seeds(masks: tuple[str, ...], flags):
@@ -198,7 +193,8 @@ OVERLAPS = "doc_id long, item_id long, first_word long, end_word long, item_word
 def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, tolerance: float = TOLERANCE, shortest: int = SHORTEST) -> DataFrame:
     """Overlaps of ``docs`` (doc_id, text) with ``benchmark`` (item_id, text); words are counted from 0, ends are exclusive."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("item_id is not null and text is not null")
-    masks = masks_for(set(range(shortest, min(map(len, MASKS)))), shortest=shortest)
+    lengths = items.mapInPandas(_lengths, "n long").filter(F.col("n") < min(map(len, MASKS))).distinct().collect()
+    masks = masks_for({r["n"] for r in lengths}, shortest=shortest)
     own = saved(items.mapInPandas(_bench_seeds(masks, shortest), "seed long, mask int, item_id long, at int").distinct(), "decontamination-seeds")
     flags = docs.sparkSession.sparkContext.broadcast(_bitmap(own.select("seed")))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null and text is not null")
