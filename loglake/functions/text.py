@@ -42,27 +42,137 @@ def is_blank(text: Column) -> Column:
     return F.ltrim(text, F.lit(SPACE_CHARS + "\n")) == ""
 
 
+# POSIX classes, escapes that mean the same in both dialects, and what stands for the others.
+POSIX_CLASSES = {
+    "alnum": "Alnum", "alpha": "Alpha", "ascii": "ASCII", "blank": "Blank", "cntrl": "Cntrl", "digit": "Digit", "graph": "Graph",
+    "lower": "Lower", "print": "Print", "punct": "Punct", "upper": "Upper", "xdigit": "XDigit",
+}
+SAME_ESCAPES = set("AzbBdDwWtnrfaSx")
+OTHER_ESCAPES = {"v": r"\x0B", "C": "(?s:.)"}
+RE2_SPACE = r"\t\n\f\r "
+
+
+def _escape(pattern: str, i: int, in_class: bool) -> tuple[str, int]:
+    """The escape at ``i`` for Java, and the place behind it."""
+    if i + 1 >= len(pattern):
+        raise ValueError(f"bad regular expression {pattern!r}: trailing backslash")
+    char = pattern[i + 1]
+    if char in "pP":
+        found = re.compile(r"\{(\^?)(\w+)\}|(\w)").match(pattern, i + 2)
+        if not found:
+            raise ValueError(f"bad regular expression {pattern!r}: bad character property")
+        name = found[2] or found[3]
+        sign = char if not found[1] else ("P" if char == "p" else "p")
+        return f"\\{sign}{{{name if len(name) < 3 else 'Is' + name}}}", found.end()
+    if char == "Q":
+        end = pattern.find(r"\E", i + 2)
+        text = pattern[i + 2:] if end < 0 else pattern[i + 2:end]
+        return "".join(re.escape(c) for c in text), len(pattern) if end < 0 else end + 2
+    if char == "s":
+        return (RE2_SPACE if in_class else f"[{RE2_SPACE}]"), i + 2
+    if char in OTHER_ESCAPES:
+        return OTHER_ESCAPES[char], i + 2
+    if char in SAME_ESCAPES or not char.isalnum():
+        return pattern[i:i + 2], i + 2
+    raise ValueError(f"bad regular expression {pattern!r}: \\{char} is not supported")
+
+
+def _character_class(pattern: str, i: int) -> tuple[str, int]:
+    """The class that opens at ``i`` for Java, where ``[`` and ``&&`` inside it would have a meaning."""
+    out, i = "[", i + 1
+    if pattern[i:i + 1] == "^":
+        out, i = out + "^", i + 1
+    first = True
+    while i < len(pattern) and (pattern[i] != "]" or first):
+        posix = re.compile(r"\[:(\^?)(\w+):\]").match(pattern, i)
+        if posix:
+            if posix[2] not in POSIX_CLASSES and posix[2] not in ("space", "word"):
+                raise ValueError(f"bad regular expression {pattern!r}: {posix[0]}")
+            short = {"space": "sS", "word": "wW"}.get(posix[2])
+            out += f"\\{short[bool(posix[1])]}" if short else f"\\{'P' if posix[1] else 'p'}{{{POSIX_CLASSES[posix[2]]}}}"
+            i = posix.end()
+        elif pattern[i] == "\\":
+            part, i = _escape(pattern, i, True)
+            out += part
+        else:
+            out += "\\" + pattern[i] if pattern[i] in "[]&^" else pattern[i]
+            i += 1
+        first = False
+    if i >= len(pattern):
+        raise ValueError(f"bad regular expression {pattern!r}: missing ]")
+    return out + "]", i + 1
+
+
 def java_pattern(pattern: str) -> str:
-    """Rewrite a pattern so that Java's engine reads it as RE2 would.
+    """Rewrite an RE2 pattern so that Java's engine reads it the same way.
 
-    ``(?P<n>`` becomes ``(?<n>``, a closing ``$`` means the very end of the text,
-    and only U+000A ends a line.
+    Case folding covers all of Unicode; only U+000A ends a line; ``$`` is the very end of
+    the text, or of a line under ``(?m)``; ``[`` and ``&&`` inside a class are plain;
+    POSIX classes are translated. What RE2 lacks (look-around, back-references,
+    possessive and atomic groups) raises ``ValueError``.
     """
-    out = re.sub(r"(?<!\\)\(\?P<", "(?<", pattern)
-    if out.endswith("$"):
-        escapes = len(out[:-1]) - len(out[:-1].rstrip("\\"))
-        if escapes % 2 == 0:
-            out = out[:-1] + r"\z"
-    return "(?d)" + out
+    out, i, multi, outer, folds = [], 0, False, [], False
+    while i < len(pattern):
+        char = pattern[i]
+        if char == "\\":
+            part, i = _escape(pattern, i, False)
+            out.append(part)
+            continue
+        if char == "[":
+            part, i = _character_class(pattern, i)
+            out.append(part)
+            continue
+        if char == "(":
+            outer.append(multi)
+            group = re.compile(r"\(\?(?:P?<(\w+)>|([imsU]*)(?:-([imsU]+))?([:)]))").match(pattern, i)
+            if pattern.startswith("(?", i) and not group:
+                raise ValueError(f"bad regular expression {pattern!r}: {pattern[i:i + 4]} is not supported")
+            if group and "U" in (group[2] or "") + (group[3] or ""):
+                raise ValueError(f"bad regular expression {pattern!r}: the flag U is not supported")
+            if group and group[1] is None:
+                multi = (multi or "m" in group[2]) and "m" not in (group[3] or "")
+                folds = folds or "i" in group[2]
+                if group[4] == ")":
+                    outer.pop()
+            if group and group[1]:  # Java's names have no underscore
+                out.append(f"(?<{group[1]}>" if re.fullmatch("[A-Za-z][A-Za-z0-9]*", group[1]) else "(")
+            else:
+                out.append(group[0] if group else "(")
+            i = group.end() if group else i + 1
+            continue
+        repeat = re.compile(r"\{(\d+)(?:,(\d*))?\}").match(pattern, i) if char == "{" else None
+        if char in "*+?" or repeat:
+            if repeat and max(int(n) for n in repeat.groups() if n) > 1000:
+                raise ValueError(f"bad regular expression {pattern!r}: repeat count over 1000")
+            part = repeat[0] if repeat else char
+            i += len(part)
+            if pattern[i:i + 1] == "?":
+                part, i = part + "?", i + 1
+            if pattern[i:i + 1] and pattern[i] in "*+?":
+                raise ValueError(f"bad regular expression {pattern!r}: nested repetition")
+            out.append(part)
+            continue
+        if char == ")":
+            if not outer:
+                raise ValueError(f"bad regular expression {pattern!r}: unexpected )")
+            multi = outer.pop()
+        out.append({
+            "$": r"(?=\n|\z)" if multi else r"\z", "^": r"(?<![^\n])" if multi else r"\A", "{": r"\{", "}": r"\}", "]": r"\]",
+        }.get(char, char))
+        i += 1
+    if outer:
+        raise ValueError(f"bad regular expression {pattern!r}: missing )")
+    return ("(?du)" if folds else "(?d)") + "".join(out)
 
 
 def check_pattern(pattern: str) -> None:
     """Raise ``ValueError`` for a bad pattern before any data is read."""
+    rewritten = java_pattern(pattern)
     spark = SparkSession.getActiveSession()
     if spark is None:
-        return
+        return  # what only Java can tell is left to the query
     try:
-        spark.sql("SELECT '' RLIKE :p", args={"p": java_pattern(pattern)}).collect()
+        spark.sql("SELECT '' RLIKE :p", args={"p": rewritten}).collect()
     except Exception as exc:  # the error class differs between classic and Connect
         raise ValueError(f"bad regular expression {pattern!r}") from exc
 
@@ -113,17 +223,15 @@ def tokenize(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(1))
 
 
-def is_stop_word(term: Column) -> Column:
-    return term.isin(*STOP_WORDS)
-
-
 def encode_json(value: Column) -> Column:
     return F.to_json(value)
 
 
 def decode_json(text: Column, schema) -> Column:
-    """Decode JSON text; text that is not JSON gives NULL, the text itself stays as is."""
-    return F.from_json(text, schema, {"mode": "PERMISSIVE"})
+    """Struct of the decoded ``value`` and, where the text is not such JSON, the ``text`` itself."""
+    value = F.from_json(text, schema, {"mode": "PERMISSIVE"})
+    bad = text.isNotNull() & F.try_parse_json(text).isNull()
+    return F.struct(F.when(~bad, value).alias("value"), F.when(bad, text).alias("text"))
 
 
 def quote_literal(text: Column) -> Column:

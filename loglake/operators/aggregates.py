@@ -56,13 +56,19 @@ def term_counts(texts: DataFrame, column: str = "text") -> DataFrame:
     return terms.where(~F.col("term").isin(*STOP_WORDS)).groupBy("term").agg(F.count(F.lit(1)).alias("count"))
 
 
-def lexemes(entries: DataFrame, limit: int | None = None) -> DataFrame:
-    """Most frequent terms of message and raw text."""
-    limit = TERMS_DEFAULT if limit is None else min(int(limit), TERMS_CAP)
+def lexemes(entries: DataFrame, limit: int | None = None, cap: int | None = TERMS_CAP) -> DataFrame:
+    """Most frequent terms of message and raw text.
+
+    ``limit`` terms, at most ``cap`` (``None``: as many as asked for); a negative limit means all.
+    """
+    limit = TERMS_DEFAULT if limit is None else int(limit)
+    if cap is not None:
+        limit = min(limit, cap)
     texts = entries.select(
         F.concat(F.coalesce("message", F.lit("")), F.lit(" "), F.coalesce("raw_line", F.lit(""))).alias("text")
     )
-    return term_counts(texts).orderBy(F.col("count").desc(), "term").limit(limit)
+    ordered = term_counts(texts).orderBy(F.col("count").desc(), "term")
+    return ordered.limit(limit) if limit >= 0 else ordered
 
 
 def storage_stats(uploads: DataFrame, files: DataFrame, entries: DataFrame) -> DataFrame:

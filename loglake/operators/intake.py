@@ -47,10 +47,17 @@ def duplicate_report(batch: DataFrame, existing: DataFrame, max_bytes: int | Non
     )
 
 
-def upload_report(uploads: DataFrame, files: DataFrame) -> DataFrame:
-    """One row per upload with its files nested, ordered by path and name."""
+def upload_report(uploads: DataFrame, files: DataFrame, nest: bool = True) -> DataFrame:
+    """One row per upload with its files nested, ordered by path and name.
+
+    With ``nest=False`` one row per file (an upload without files has one, too), which
+    suits uploads of any number of files.
+    """
     shown = [c for c in ("path_in_archive", "filename", "id", "format", "status", "record_count", "summary", "error")
              if c in files.columns]
+    if not nest:
+        own = files.select("upload_id", F.struct(*shown).alias("file"))
+        return uploads.join(own, uploads["id"] == own["upload_id"], "left").drop("upload_id")
     nested = files.groupBy("upload_id").agg(F.collect_list(F.struct(*shown)).alias("files"))
     ordered = nested.withColumn("files", F.array_sort("files", lambda a, b: F.when(
         _name_key(a) < _name_key(b), -1).when(_name_key(a) > _name_key(b), 1).otherwise(0)))

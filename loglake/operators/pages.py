@@ -26,9 +26,11 @@ class Page:
     offset: int
 
 
-def page_bounds(limit: int | None = None, offset: int | None = None) -> tuple[int, int]:
-    """Default 100 rows, at most 1000; a negative limit means no limit."""
-    limit = PAGE_DEFAULT if limit is None else min(int(limit), PAGE_CAP)
+def page_bounds(limit: int | None = None, offset: int | None = None, cap: int | None = PAGE_CAP) -> tuple[int, int]:
+    """Default 100 rows, at most ``cap`` (``None``: as many as asked for); a negative limit means no limit."""
+    limit = PAGE_DEFAULT if limit is None else int(limit)
+    if cap is not None:
+        limit = min(limit, cap)
     return limit, max(int(offset or 0), 0)
 
 
@@ -73,14 +75,18 @@ def search(
     return cut(hits.select(*ENTRY_COLUMNS).orderBy("file_id", "seq"), limit, offset)
 
 
-def correlate_rows(entries: DataFrame, files: DataFrame, upload_id: str | None = None, /, **filters) -> DataFrame:
-    """Matching entries of one upload (or of all) with their file name, unordered."""
-    names = files.select(F.col("id").alias("file_id"), "filename", F.col("upload_id").alias("file_upload_id"))
+def _correlated(entries: DataFrame, files: DataFrame, upload_id: str | None, filters: dict) -> tuple[DataFrame, DataFrame]:
+    """Matching entries, and the names of the files they may belong to."""
     if upload_id is not None:
-        names = names.where(F.col("file_upload_id") == upload_id)
+        files = files.where(F.col("upload_id") == upload_id)
         entries = entries.where(F.col("upload_id") == upload_id)
-    hits = entries.where(entry_filter(**filters))
-    return hits.join(names.drop("file_upload_id"), "file_id").select(*ENTRY_COLUMNS, "filename")
+    return entries.where(entry_filter(**filters)), files.select(F.col("id").alias("file_id"), "filename")
+
+
+def correlate_rows(entries: DataFrame, files: DataFrame, upload_id: str | None = None, /, **filters) -> DataFrame:
+    """Matching entries of one upload (or of all) with their file name, unordered."""
+    hits, names = _correlated(entries, files, upload_id, filters)
+    return hits.join(names, "file_id").select(*ENTRY_COLUMNS, "filename")
 
 
 def after_key(ts, seq: int, file_id: str) -> Column:
@@ -107,12 +113,22 @@ def correlate(
 
     ``after=(ts, seq, file_id)`` continues behind a known row without skipping over
     all rows before it: use it instead of ``offset`` for deep pages.
+
+    The page is cut on (ts, seq, file_id) alone; its rows, at most ``PAGE_CAP``, are then
+    broadcast to fetch the other columns, so wide columns of other rows never move.
     """
     limit, offset = page_bounds(limit, offset)
-    hits = correlate_rows(entries, files, upload_id, **filters)
-    rest = hits.where(after_key(*after)) if after else hits
-    ordered = rest.orderBy(F.col("ts").asc_nulls_last(), "seq", "file_id")
-    return Page(cut(ordered, limit, offset), count_rows(hits), limit, offset)
+    hits, names = _correlated(entries, files, upload_id, filters)
+    known = hits.select("ts", "seq", "file_id").join(names.select("file_id"), "file_id", "left_semi")
+    order = [F.col("ts").asc_nulls_last(), "seq", "file_id"]
+    rest = known.where(after_key(*after)) if after else known
+    if 0 <= limit <= PAGE_CAP:
+        page = cut(rest.orderBy(*order), limit, offset).select("file_id", "seq")
+        found = hits.join(F.broadcast(page), ["file_id", "seq"]).join(names, "file_id").select(*ENTRY_COLUMNS, "filename").orderBy(*order)
+    else:
+        named = hits.join(names, "file_id").select(*ENTRY_COLUMNS, "filename")
+        found = cut((named.where(after_key(*after)) if after else named).orderBy(*order), limit, offset)
+    return Page(found, count_rows(known), limit, offset)
 
 
 def file_entries(

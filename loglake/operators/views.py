@@ -12,13 +12,6 @@ from loglake.functions.times import bucket_keys, bucket_label
 from loglake.operators.pages import correlate, search
 from loglake.operators.predicates import combine, entry_filter
 
-PRESET_SNAPSHOT = (
-    "struct<searchFilters:array<struct<q:string,fields:string,mode:string,attrs:string>>,"
-    "timeline:struct<`from`:string,`to`:string>,"
-    "highlights:array<struct<text:string,color:string,lexeme:int>>,"
-    "selectedFileIds:array<string>,correlateMode:boolean,pageSize:int>"
-)
-
 
 # ---- highlights --------------------------------------------------------------
 
@@ -149,8 +142,8 @@ def clear_view_state(filters: DataFrame, highlights: DataFrame, upload_ids: Data
 # ---- saved filters and presets -----------------------------------------------
 
 
-def filter_predicates(saved: Sequence[tuple[str, str]]) -> list[Column]:
-    """One predicate per saved filter, given as (kind, rule JSON).
+def filter_predicates(saved: Sequence[tuple[str, str]]) -> tuple[Column | None, list[Column]]:
+    """The time window and one predicate per search of the saved filters, given as (kind, rule JSON).
 
     A later timeline rule replaces an earlier one, as there is one time window.
     """
@@ -164,12 +157,14 @@ def filter_predicates(saved: Sequence[tuple[str, str]]) -> list[Column]:
             ))
         elif kind == "timeline":
             window = entry_filter(files=rule.get("files"), ts_from=rule.get("from"), ts_to=rule.get("to"))
-    return ([window] if window is not None else []) + searches
+    return window, searches
 
 
 def apply_filters(entries: DataFrame, saved: Sequence[tuple[str, str]], how: str = "and") -> DataFrame:
-    """Entries that pass the saved filters of a view (all of them, or any with ``or``)."""
-    return entries.where(combine(filter_predicates(saved), how))
+    """Entries inside the window of a view that pass its searches (all of them, or any with ``or``)."""
+    window, searches = filter_predicates(saved)
+    hits = entries.where(combine(searches, how))
+    return hits if window is None else hits.where(window)
 
 
 def apply_preset(

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loglake.functions.levels import level_by_content, level_from_http_status, normalize_level
-from loglake.functions.text import SPACE_CODES, attr, contains_like, encode_json, json_attr, tokenize
+from loglake.functions.text import SPACE_CODES, attr, contains_like, decode_json, encode_json, json_attr, regexp_match, tokenize
 from loglake.functions.times import parse_datetime, time_bucket
 from loglake.operators import aggregates, assembly, intake, pages, summaries, views
 from loglake.operators.formats import FormatSpec
@@ -355,6 +355,41 @@ def upload_report(spark, folder):
     return report.select("id", F.array_join(F.transform("files", lambda f: f["filename"]), ",").alias("names"))
 
 
+@register(
+    "upload_report_rows",
+    "SELECT o_orderkey AS id, 'p' || CAST(l_partkey AS VARCHAR) AS filename FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey",
+)
+def upload_report_rows(spark, folder):
+    files = _line_files(spark, folder).select("id", "upload_id", "filename", "path_in_archive")
+    report = intake.upload_report(_order_uploads(spark, folder), files, nest=False)
+    return report.select("id", F.col("file.filename").alias("filename"))
+
+
+@register(
+    "search_regex_fold", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)ÉLEMENT|ÜBER|[ÄÖ]CH')",
+)
+def search_regex_fold(spark, folder):
+    return T.table(spark, folder, "documents").where(regexp_match(F.col("text"), "(?i)ÉLEMENT|ÜBER|[ÄÖ]CH")).select("doc_id")
+
+
+@register(
+    "search_regex_class", "SELECT doc_id FROM documents WHERE regexp_matches(text, '[[:digit:]]{3}[[:punct:]]|[[&&]{3}|(?m:^[[:upper:]][^[:space:]]+\\.$)')",
+)
+def search_regex_class(spark, folder):
+    pattern = r"[[:digit:]]{3}[[:punct:]]|[[&&]{3}|(?m:^[[:upper:]][^[:space:]]+\.$)"
+    return T.table(spark, folder, "documents").where(regexp_match(F.col("text"), pattern)).select("doc_id")
+
+
+@register(
+    "decode_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, NULL::VARCHAR AS text FROM events WHERE event_id % 2 = 0 "
+    "UNION ALL SELECT event_id, NULL, event_type FROM events WHERE event_id % 2 = 1",
+)
+def decode_json_query(spark, folder):
+    mixed = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.col("event_type"))
+    found = T.table(spark, folder, "events").select("event_id", decode_json(mixed, "k bigint").alias("x"))
+    return found.select("event_id", F.col("x.value.k").alias("k"), F.col("x.text").alias("text"))
+
+
 _STOP_SQL = ("term NOT IN ('the','a','an','is','to','in','of','and','or','for','on','at','by','with','this','that','it','be',"
              "'as','from')")
 
@@ -970,7 +1005,7 @@ def apply_filters(spark, folder):
     return views.apply_filters(T.entries_from_events(spark, folder), SAVED_FILTERS).select(*COLUMNS)
 
 
-@register("apply_filters_any", _hits_sql(" OR ".join(_SAVED_SQL)))
+@register("apply_filters_any", _hits_sql(f"({_SAVED_SQL[0]} OR {_SAVED_SQL[1]}) AND {_SAVED_SQL[2]}"))
 def apply_filters_any(spark, folder):
     return views.apply_filters(T.entries_from_events(spark, folder), SAVED_FILTERS, "or").select(*COLUMNS)
 
