@@ -105,10 +105,11 @@ def _tokens(path: str, memo: int) -> Tokens:
     return _WORKER[path]
 
 
-def best_cuts(positions: np.ndarray, penalties: np.ndarray, size: int) -> list[int]:
+def best_cuts(positions: np.ndarray, penalties: np.ndarray, size: int, last: bool = True) -> list[int]:
     """Indexes of the chosen cuts; ``positions`` rise from 0, no step is over ``size``.
 
-    The last position is always cut; what it leaves unfilled is padding.
+    The last position is cut, and what it leaves unfilled is padding; unless more is to come
+    (not ``last``): then the cheapest of the cuts within ``size`` of it ends them.
     """
     p, pen = positions.tolist(), penalties.tolist()
     best, before = [0.0] * len(p), [0] * len(p)
@@ -123,6 +124,9 @@ def best_cuts(positions: np.ndarray, penalties: np.ndarray, size: int) -> list[i
             queue.pop()
         queue.append(j)
     cuts, j = [], len(p) - 1
+    if not last:
+        near = int(np.searchsorted(positions, p[j] - size))
+        j = min(range(j, near - 1, -1), key=best.__getitem__)
     while j > 0:
         cuts.append(j)
         j = before[j]
@@ -162,9 +166,7 @@ class _Stream:
         flat = np.frombuffer(b"".join([x[3] for x in self.open]), "<u4")
         ends = np.cumsum([len(x[3]) // 4 for x in self.open])
         at, penalties = self._cut_positions(flat, ends)
-        cuts = [0, *at[best_cuts(at, penalties, self.size)].tolist()]
-        if not last:
-            cuts.pop()
+        cuts = [0, *at[best_cuts(at, penalties, self.size, last)].tolist()]
         rows, k, used = [], 0, 0
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             offset = 0
@@ -188,8 +190,8 @@ class _Stream:
 def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, chunk: int = 1 << 18, memo: int = 1_000_000) -> DataFrame:
     """Pieces of the documents (``doc_id``, ``text``) in sequences of at most ``size`` tokens.
 
-    ``tokenizer`` is the file on every worker. ``chunk`` tokens are laid out at a time; the
-    last window of a chunk goes on in the next, so only a partition's last one is open-ended.
+    ``tokenizer`` is the file on every worker. ``chunk`` tokens are laid out at a time; what
+    would not fill a window goes on to the next chunk, so only a partition's last one is open-ended.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
