@@ -1,0 +1,441 @@
+"""The training-data operators: brute force, held-out accuracy, round trips and odd rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter as Bag
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from loglake.llm import decontamination, jaccard, language, packing, pii, quality, secrets, sharding, tokens, toxicity
+from loglake.llm.queries import QUERIES
+from loglake.session import ship_package
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, c string, f string, n long"
+
+
+@pytest.fixture(scope="module", autouse=True)
+def shipped(spark):
+    ship_package(spark)
+
+
+@pytest.fixture(scope="module")
+def texts(spark, sf_dir):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null, empty, blank, very long, repeated and exotic texts, with columns whose names clash."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    long_text = " ".join(rng.choice(vocabulary) for _ in range(30_000))
+    near = [f"v{i}" for i in range(100)]
+    base = " ".join(near)
+    near[50] = "other"
+    rows = [(1, None), (2, ""), (3, " \t\n "), (4, long_text), (5, base), (6, base), (7, " ".join(near)), (8, "one two three"),
+            (9, "ONE two Three"), (10, "日本語 テスト é ́ 😀"), (11, "x" * 20_000), (12, "a b a b a b a b")]
+    rows = [(i, t, "en", "s", 1, 0.5, "c", "f", 3) for i, t in rows]
+    return spark.createDataFrame([*rows, rows[8]], DOCS)
+
+
+def of(rows):
+    return {r.doc_id: r for r in rows}
+
+
+# --- 1 toxicity, 4 language --------------------------------------------------------------
+
+
+def test_folding_and_matching():
+    lexicon = toxicity.Lexicon({"idiot": 5.0, "ioser": 4.0, "stup*": 3.0}, exceptions=["sore ioser"], power=0.0, intercept=0.0, slope=1.0)
+    terms, safe = toxicity.matcher(list(lexicon.weights)), toxicity.matcher([toxicity.fold(e) for e in lexicon.exceptions])
+    weigh = lambda t: toxicity.weigh(t, terms, safe, lexicon)
+    assert weigh("You IDIOT!!") == weigh("1d10t") == weigh("іdіоt$$$") == weigh("i​diot") == 5
+    assert weigh("idiotic") == weigh("xidiot") == weigh("") == weigh(None) == weigh("stup") == 0
+    assert weigh("stupid") == 3 and weigh("a s0re loser") == 0 and weigh("sore loser, loser") == 4
+
+
+def test_toxicity_learns_and_ignores_held_out_labels(spark, odd):
+    words = ["alpha", "beta", "gamma", "delta", "omega"]
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices(words, k=60)) + (" badword " if i % 5 == 0 else " ")) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wrong = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    labels = spark.createDataFrame([(i, int((i % 5 == 0) != wrong(i)), 1) for i, _ in rows] + [(None, 1, 1), (3, None, 1)], "doc_id long, toxic int, quality int")
+    lexicon = toxicity.learn(docs, labels)
+    assert lexicon.weights.keys() >= {"badword"}
+    got = of(toxicity.score_documents(docs, lexicon).collect())
+    assert all(got[i].predicted == (i % 5 == 0) and got[i].held_out == wrong(i) for i, _ in rows)
+    assert {r.predicted for r in toxicity.score_documents(odd, lexicon).collect()} == {0}
+    empty = toxicity.learn(docs.limit(0), labels)
+    assert not empty.weights and toxicity.score_documents(odd, empty).count() == 13
+
+
+def test_language_of_held_out_documents(spark, sf_dir, odd):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    profiles = language.learn(docs)
+    rows = language.predict_documents(docs, profiles).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r.lang_pred == r.lang for r in rows) >= 0.95 * len(rows) > 0
+    got = of(language.predict_documents(odd, profiles).collect())
+    assert [got[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and got[1].score == 0 and got[4].lang_pred != "und"
+    assert language.learn(docs.limit(0)).predict("text") == ("und", 0.0)
+
+
+def test_language_distance_by_hand():
+    text = "the cat sat on the mat"
+    codes, counts = language.grams(text)
+    padded = " the cat sat on the mat "
+    want = Bag(re.findall("[a-z]", text)) + Bag(padded[i:i + 2] for i in range(len(padded) - 1)) + Bag(
+        padded[i:i + 3] for i in range(len(padded) - 2) if padded[i + 1] != " "
+    )
+    assert sorted(counts.tolist()) == sorted(want.values()) and len(codes) == len(want)
+
+
+# --- 2 quality ----------------------------------------------------------------------------
+
+
+def counts_by_hand(text):
+    words = WORD.findall(text or "")
+    windows = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
+    seen = Bag(windows)
+    covered = {j for i, w in enumerate(windows) if seen[w] > 1 for j in (i, i + 1, i + 2)}
+    lines = [line for line in (text or "").split("\n") if WORD.search(line)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_counts_and_verdict(spark, texts, sf_dir, odd):
+    rows = of(quality.judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect())
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert {i: tuple(rows[i][k] for k in names) for i in rows} == {i: counts_by_hand(t) for i, t in texts.items()}
+    assert all(not (r.kept and r.base_failed) for r in rows.values()) and any(r.kept for r in rows.values())
+    got = of(quality.judge(odd).collect())
+    plain = {r.doc_id: r.text for r in odd.collect()}
+    assert {i: tuple(got[i][k] for k in names) for i in got} == {i: counts_by_hand(t) for i, t in plain.items()}
+    assert quality.judge(odd.limit(0)).count() == 0
+
+
+# --- 3 decontamination --------------------------------------------------------------------
+
+
+def test_decontamination_tolerates_substitutions(spark, odd):
+    rng = random.Random(9)
+    fresh = lambda n: [f"t{rng.randrange(10**6)}" for _ in range(n)]
+    item = fresh(40)
+    changed = list(item)
+    for i in (9, 19, 29):
+        changed[i] = "zzz"
+    bench = spark.createDataFrame([(1, " ".join(item), "x"), (2, None, "x"), (3, "too short", "x"), (4, " ".join(fresh(9)), "x")], "item_id long, text string, doc_id string")
+    nine = bench.where("item_id = 4").first().text
+    rows = [(1, " ".join(fresh(80) + item + fresh(80))), (2, " ".join(fresh(50) + changed + fresh(5))), (3, " ".join(fresh(200))),
+            (4, " ".join(item[:10] + fresh(30))), (5, None), (6, f"a {nine.upper()} b"), (1, " ".join(fresh(20)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontamination.overlaps(docs, bench).collect()}
+    assert set(got) == {(1, 1), (2, 1), (6, 4)}
+    assert (got[1, 1].first_word, got[1, 1].end_word, got[1, 1].equal_words) == (80, 120, 40) and got[2, 1].equal_words == 37
+    assert decontamination.overlaps(odd, bench).count() == 0 and decontamination.overlaps(docs, bench.limit(0)).count() == 0
+    left = decontamination.clean(docs.withColumn("item_id", F.lit("mine")), bench)
+    assert sorted(r.doc_id for r in left.collect()) == [3, 4, 5] and left.columns == ["doc_id", "text", "item_id"]
+
+
+def test_decontamination_finds_whole_passages(spark, texts, sf_dir):
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    items = {r.item_id: r.text for r in bench.collect()}
+    got = {(r.doc_id, r.item_id) for r in decontamination.overlaps(spark.read.parquet(f"{sf_dir}/documents.parquet"), bench).collect()}
+    assert got == {(d, i) for d, t in texts.items() for i, x in items.items() if x in t}
+
+
+# --- 5 token counts -------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("scores", ["zipf", "file"])
+def test_token_counts_are_those_of_the_library(texts, scores):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    pieces = tokens.vocabulary(public_tokenizers.path("piece_bpe_32k.model"), scores)
+    library = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=False))
+    library.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always")
+    rng = random.Random(3)
+    made = ["".join(rng.choice("abeést ☃▁☂\n") for _ in range(rng.randrange(40))) for _ in range(400)]
+    counter = tokens.Counter(pieces, 1000)
+    for text in [*made, *list(texts.values())[:60], "", " ", "x" * 5000]:
+        assert counter.text(text) == len(library.encode(text, add_special_tokens=False).ids), text[:50]
+
+
+def test_token_counts_of_odd_rows(odd):
+    got = of(tokens.count_documents(odd, public_tokenizers.path("piece_bpe_32k.model")).collect())
+    assert got[1].n_tokens == got[2].n_tokens == 0 and got[5].n_tokens == got[6].n_tokens > 0 and len(got) == 12
+
+
+# --- 6 secrets --------------------------------------------------------------------------------
+
+
+def secret_rows():
+    rng = random.Random(4)
+    rows = []
+    for i in range(240):
+        filler = [" ".join(rng.choices(["some", "plain", "words", "stand", "here"], k=8)) for _ in range(2)]
+        digest = "".join(rng.choices("0123456789abcdef", k=40))
+        kind = [f'token = "{digest}"', f"mail{rng.randrange(1000)}.x@host{i}.example.com", f"10.20.{i}.{rng.randrange(250)}:80801",
+                "AKIA" + "".join(rng.choices("ABCDEFGHIJ234567", k=16)) + ("" if i > 3 else "9")][i % 4]
+        rows.append((i, f"{filler[0]} {kind} {filler[1]}", "s"))
+    return rows
+
+
+def test_secrets_are_found_and_redacted(spark, odd):
+    docs = spark.createDataFrame(secret_rows(), "doc_id long, text string, source string")
+    found = of(secrets.scan(docs).where("is_secret").collect())
+    assert {i for i in range(240) if i % 4 == 0} <= set(found) and not {i for i in found if i % 4 in (1, 2)}
+    assert {i for i in range(4, 240) if i % 4 == 3 and re.search("AKIA.*[0-9]", dict((r[0], r[1]) for r in secret_rows())[i])} <= set(found)
+    clean = of(secrets.redact(docs.withColumn("value", F.lit("kept"))).collect())
+    assert len(clean) == 240 and "[SECRET]" in clean[0].text and clean[1].text == secret_rows()[1][1] and clean[0].value == "kept"
+    assert secrets.scan(odd).where("is_secret").count() == 0 and secrets.redact(odd).count() == 13
+    assert secrets.report(odd.drop("source").limit(0)).count() == 0
+
+
+# --- 7 near duplicates ------------------------------------------------------------------------
+
+
+def components_by_hand(texts, percent=80):
+    sets = {}
+    for i, t in texts.items():
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = frozenset(tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    places = defaultdict(set)
+    for i, s in sets.items():
+        for x in s:
+            places[x].add(i)
+    for i, s in sets.items():
+        for j, both in Bag(j for x in s for j in places[x] if j < i).items():
+            if 100 * both >= percent * (len(s) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+def test_jaccard_on_documents_and_odd_rows(spark, texts, sf_dir, odd):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
+    assert got == components_by_hand(texts)
+    rows = jaccard.join(odd).collect()
+    assert len(rows) == 13
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == components_by_hand({r.doc_id: r.text for r in odd.collect()})
+    assert jaccard.join(odd.limit(0)).count() == 0
+
+
+def test_jaccard_in_crowded_keys(spark, monkeypatch):
+    """Families around the threshold that share passages; blocks of a few members."""
+    monkeypatch.setattr(jaccard, "FEW", 3)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(30)]
+    made = {}
+    for family in range(4):
+        base = [f"f{family}x{i}" for i in range(80)]
+        for k in range(14):
+            own = list(base)
+            for _ in range(k % 7):
+                own[rng.randrange(80)] = f"r{rng.randrange(10**6)}"
+            made[family * 100 + k] = " ".join(passage + own if k % 3 else own)
+    docs = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()}
+    assert got == components_by_hand(made)
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
+    rows = jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.f: r.c for r in rows} == {**{i: 1 for i in range(1, 61)}, **{i: 100 for i in range(100, 140)}}
+
+
+def test_bit_counts_never_exclude_a_link():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        x = np.unique(rng.integers(0, 10**6, rng.integers(1, 300)).astype(np.uint64))
+        y = np.unique(np.concatenate((x[rng.random(len(x)) < 0.9], rng.integers(0, 10**6, 10).astype(np.uint64))))
+        a, b = jaccard.signature(x), jaccard.signature(y)
+        width = min(len(a), len(b))
+        apart = int(np.bitwise_count(jaccard.folded(a, width) ^ jaccard.folded(b, width)).sum())
+        assert (len(x) + len(y) - apart) // 2 >= len(np.intersect1d(x, y))
+
+
+# --- 8 sharding ---------------------------------------------------------------------------------
+
+
+def check_shards(rows, texts):
+    assert Bag(r.doc_id for r in rows) == Bag(texts)
+    total, most = sum(r.size for r in rows), max(r.size for r in rows)
+    sizes, slots = Bag(), defaultdict(list)
+    for r in rows:
+        sizes[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert all(abs(sizes[k] - total / 8) <= 2 * most for k in range(8))
+
+
+def test_sharding(spark, texts, sf_dir, odd, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = sharding.shards(docs).collect()
+    check_shards(rows, list(texts))
+    assert all(r.size == len(texts[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in rows)
+    assert len(sharding.shards(odd).collect()) == 13 and sharding.shards(odd.limit(0)).count() == 0
+    copies = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same text").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
+    monkeypatch.setattr(sharding, "SAMPLE", 2)
+    check_shards(sharding.shards(copies, range_bytes=500).collect(), list(range(3000)))
+
+
+# --- 9 personal data ------------------------------------------------------------------------------
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+
+
+def test_base_spans_are_the_patterns(texts):
+    rng = random.Random(6)
+    made = ["".join(rng.choice("ab1.@-+ (9") for _ in range(rng.randrange(60))) for _ in range(2000)]
+    for text in [*texts.values(), *made]:
+        spans = pii.base_spans(text)
+        assert [s for s in spans if s[0] == 0] == [(0, *m.span()) for m in EMAIL.finditer(text)], text
+        assert [s for s in spans if s[0] == 3] == [
+            (3, *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+    assert pii.base_spans("at 10.0.0.256 or 10.0.0.25 card 4111 1111 1111 1111 not 4111 1111 1111 1112") == [(1, 17, 26), (2, 32, 51)]
+
+
+def test_tagger_gradient_and_learning():
+    rng = np.random.default_rng(3)
+    tagger = pii.Tagger(1)
+    tagger.p = {k: v.astype(np.float64) for k, v in tagger.p.items()}
+    x, y = rng.integers(0, pii.CLASSES, (7, 3)), rng.integers(0, pii.TAGS, (7, 3))
+    _, g = tagger.gradient(x, y)
+    for name in ("embed", "out", "step", "first", "xf", "hb", "gf"):
+        at = tuple(int(rng.integers(0, n)) for n in tagger.p[name].shape) if name != "embed" else (int(x[2, 1]), 4)
+        values = []
+        for sign in (1, -1):
+            tagger.p[name][at] += sign * 1e-4
+            values.append(tagger.gradient(x, y)[0])
+            tagger.p[name][at] -= sign * 1e-4
+        assert abs((values[0] - values[1]) / 2e-4 - g[name][at]) < 2e-3, name
+    mails = [f"words come a{rng.integers(99)}@b{rng.integers(99)}.cd and go" for _ in range(60)]
+    xs = np.stack([np.pad(pii.encoded(t), (0, 56))[:56] for t in mails])
+    ys = np.stack([pii.tagged(56, pii.base_spans(t)) for t in mails])
+    learner = pii.Tagger()
+    learner.fit(xs, ys, steps=80)
+    tags, sure = learner.decode(xs)
+    assert (tags == ys).all(1).mean() > 0.8 and sure.min() >= -1e-3 and sure.max() <= 1.01
+
+
+def test_personal_data_of_rows(spark, sf_dir, odd):
+    text = "mail x.y@z.example and 10.1.2.3, twice 10.1.2.3"
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    places = [("email", text.index("x.y"), 13), ("ip", text.index("10."), 8), ("ip", text.rindex("10."), 8)]
+    got = of(pii.find(docs, None).collect())
+    assert (got[1].n_email, got[1].n_ip) == (1, 2) and got[1].spans == ",".join(f"{k}:{a}:{a + n}" for k, a, n in places)
+    assert got[1].base_sha256 == hashlib.sha256(got[1].spans.encode()).hexdigest() and got[2].spans == ""
+    assert pii.find(odd, None).count() == 13 and pii.learn(odd) is None and pii.learn(odd.limit(0)) is None
+
+
+def test_windows_are_reconciled():
+    text = "1" * 300
+    starts = pii.window_starts(300)
+    assert starts[0] == 0 and starts[-1] + pii.WINDOW >= 300
+    tags = np.zeros(pii.WINDOW, np.int64)
+    tags[-10:] = [1, *[2] * 9]  # cut by the window's end
+    other = np.zeros(pii.WINDOW, np.int64)
+    other[38:60] = [1, *[2] * 21]
+    sure = np.ones(pii.WINDOW)
+    found = pii.found_spans(text, [(0, tags, sure), (80, other, sure)])
+    assert pii.reconciled(text, found, []) == [(0, 118, 140)] and pii.reconciled(text, found, [(1, 139, 145)]) == []
+
+
+# --- 10 packing -----------------------------------------------------------------------------------
+
+
+def check_packing(rows, texts, size):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    pieces, windows = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append(r)
+        windows[r.sequence_id].append(r)
+    assert set(pieces) == set(texts)
+    for i, text in texts.items():
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        at = 0
+        for r in sorted(pieces[i], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at:at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    for own in windows.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r.offset):
+            assert r.offset == at and r.length > 0
+            at += r.length
+        assert at <= size
+
+
+def test_packing_keeps_every_id_once(spark, texts, sf_dir, odd):
+    rows = packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), WORD_BPE, chunk=20_000).collect()
+    check_packing(rows, texts, 4096)
+    used = sum(r.length for r in rows)
+    assert used > 0.95 * 4096 * (len({r.sequence_id for r in rows}) - 1)
+    plain = {r.doc_id: r.text for r in odd.collect()}
+    check_packing(packing.pack(odd.dropDuplicates(["doc_id"]), WORD_BPE, size=128, chunk=1000).collect(), plain, 128)
+    assert packing.pack(odd.limit(0), WORD_BPE).count() == 0
+
+
+def test_words_met_before_give_the_ids_of_the_text(texts):
+    memo = packing.Tokens(WORD_BPE, 500)
+    made = ["it's I'LL 'S DON'T", "a1b2 ½² ª º µ ß ÿ × Σς İi ﬁ", "<|endoftext|> x<|endoftext|>y <| |>", "é ́a b\tc\x1cd", "", " ", "'Été l'été x³"]
+    some = [*made, *list(texts.values())[:40]]
+    for text, ids in zip(some, memo.ids(some), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == memo.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_best_cuts_against_all_choices():
+    rng = random.Random(7)
+    for _ in range(60):
+        at = np.cumsum([0, *[rng.randint(1, 9) for _ in range(9)]])
+        penalties = np.array([0, *[rng.choice([0, 2, 5]) for _ in range(9)]])
+
+        def cost(cuts, at=at, penalties=penalties):
+            edges = [0, *cuts]
+            if any(at[b] - at[a] > 12 for a, b in zip(edges[:-1], edges[1:], strict=True)):
+                return float("inf")
+            return sum(12 - at[b] + at[a] + penalties[b] for a, b in zip(edges[:-1], edges[1:], strict=True))
+
+        every = [[i for i in range(1, 9) if m >> (i - 1) & 1] + [9] for m in range(256)]
+        assert cost(packing.best_cuts(at, penalties, 12)) == min(map(cost, every))
+
+
+# --- pipeline and queries ---------------------------------------------------------------------------
+
+
+def test_pipeline_stages(spark, sf_dir, texts):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    groups = components_by_hand(texts)
+    first = corpus_pipeline.one_of_each_group(spark, docs, sf_dir)
+    assert first.columns == docs.columns and {r.doc_id for r in first.collect()} == {i for i, (_, c) in groups.items() if i == c}
+    clean = corpus_pipeline.decontaminate(spark, docs, sf_dir)
+    assert clean.columns == docs.columns and clean.count() < docs.count()
+    redacted = corpus_pipeline.redact_secrets(spark, docs, sf_dir)
+    assert redacted.columns == docs.columns and redacted.count() == docs.count()
+    assert redacted.where("n_chars <> length(text)").count() == 0
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "packing"]
+
+
+def test_each_operator_has_a_query():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
