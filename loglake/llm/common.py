@@ -122,6 +122,6 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+def documents(spark: SparkSession, folder: str, *columns: str, table: str = "documents") -> DataFrame:
     ship_package(spark)
-    return spark.read.parquet(f"{folder}/documents.parquet").select(*(columns or ("*",)))
+    return spark.read.parquet(f"{folder}/{table}.parquet").select(*(columns or ("*",)))
