@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loglake.functions.memo import memo
 from loglake.functions.text import is_blank, let, trim_space
 from loglake.operators.formats import FIELD_NAMES, SAMPLE_LINES, FormatSpec, detect_in, formats, resolve_parts
-from loglake.sources.encodings import UTF8, decode_text, detect_encoding
+from loglake.sources.encodings import byte_counts, decode_text, encoding_of
 
 
 # ---- whole texts -------------------------------------------------------------
@@ -250,15 +250,12 @@ def detect_lines(lines: DataFrame) -> DataFrame:
 def encoding_of_lines(lines: DataFrame) -> DataFrame:
     """Encoding of each file (file_id, encoding) from the bytes of its lines.
 
-    A file is UTF-8 when all its lines are; otherwise the lines that are not vote.
+    The counts of the lines are added up in each task before the shuffle, so a file of any
+    size is told by the rule for whole contents.
     """
-    votes = lines.groupBy("file_id", detect_encoding(F.col("value").cast("binary")).alias("encoding")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    weight = F.when(F.col("encoding") == UTF8, F.struct(F.lit(0).alias("a"), F.lit(0).cast("bigint").alias("n"))).otherwise(
-        F.struct(F.lit(1).alias("a"), F.col("n"))
-    )
-    return votes.groupBy("file_id").agg(F.max_by("encoding", weight).alias("encoding"))
+    counts = byte_counts(F.col("value").cast("binary"))
+    summed = lines.groupBy("file_id").agg(*[F.sum(count).alias(name) for name, count in counts.items()])
+    return summed.select("file_id", encoding_of({name: F.col(name) for name in counts}).alias("encoding"))
 
 
 def number_lines(lines: DataFrame) -> DataFrame:

@@ -68,6 +68,9 @@ def _name_key(item):
     return F.concat_ws("\n", F.coalesce(item["path_in_archive"], F.lit("")), item["filename"])
 
 
+# Saved view state that goes with an upload.
+VIEW_TABLES = ("filters", "highlights", "presets", "annotations")
+
 # Tables that go with an upload and the column that names it.
 UPLOAD_TABLES = {
     "uploads": "id", "files": "upload_id", "entries": "upload_id", "filters": "upload_id",

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from loglake.functions.levels import level_or_unknown
+from loglake.schema import MARKERS
 
 # Session markers of each format (start texts, stop texts).
 SESSION_MARKERS = {
@@ -58,6 +59,35 @@ def base_summary(entries: DataFrame) -> DataFrame:
     )
 
 
+def marker_table(spark: SparkSession, markers: DataFrame | dict) -> DataFrame:
+    """Session markers as a table (format, kind, text), ``kind`` being start or stop; other rows are refused."""
+    if isinstance(markers, dict):
+        rows = [(fmt, kind, text) for fmt, pair in markers.items() for kind, texts in zip(("start", "stop"), pair, strict=True) for text in texts]
+        return spark.createDataFrame(rows, MARKERS)
+    checked = F.when(F.col("kind").isin("start", "stop"), F.col("kind")).otherwise(
+        F.raise_error(F.concat(F.lit("a session marker is start or stop, not "), F.coalesce(F.col("kind"), F.lit("nothing")))))
+    return markers.select(F.col("format").cast("string").alias("format"), checked.alias("kind"), F.col("text").cast("string").alias("text"))
+
+
+def _flagged(entries: DataFrame, markers: DataFrame | dict) -> DataFrame:
+    """Entries of formats with markers as (file_id, seq, ts, is_start, is_stop).
+
+    The markers are a rule table, one row for each format once grouped; Catalyst
+    broadcasts it as long as it is small.
+    """
+    text = F.lower(F.concat_ws(" ", F.coalesce("message", F.lit("")), F.coalesce("raw_line", F.lit(""))))
+    table = marker_table(entries.sparkSession, markers).where("text <> ''")
+    words = table.groupBy("format").agg(*[
+        F.collect_set(F.when(F.col("kind") == kind, F.lower("text"))).alias(kind) for kind in ("start", "stop")
+    ])
+
+    def any_of(kind: str) -> Column:
+        return F.exists(kind, lambda word: F.contains(F.col("seen"), word))
+
+    joined = entries.select("file_id", "seq", "ts", "format", text.alias("seen")).join(words, "format")
+    return joined.select("file_id", "seq", "ts", any_of("start").alias("is_start"), any_of("stop").alias("is_stop"))
+
+
 def _has_marker(text: Column, fmt: Column, markers: dict, which: int) -> Column:
     test = F.lit(False)
     for name, pair in markers.items():
@@ -68,18 +98,21 @@ def _has_marker(text: Column, fmt: Column, markers: dict, which: int) -> Column:
     return test
 
 
-def marker_rows(entries: DataFrame, markers: dict) -> DataFrame:
+def marker_rows(entries: DataFrame, markers: DataFrame | dict) -> DataFrame:
     """Rows that can open or close a session, with what they do.
 
     ``const`` 1 opens (has a start text and a time), 0 closes (has a stop text), NULL
     toggles (has both and a time: opens when outside, closes when inside).
     """
-    text = F.lower(F.concat_ws(" ", F.coalesce("message", F.lit("")), F.coalesce("raw_line", F.lit(""))))
-    flagged = entries.where(F.col("format").isin(list(markers))).select(
-        "file_id", "seq", "ts",
-        _has_marker(text, F.col("format"), markers, 0).alias("is_start"),
-        _has_marker(text, F.col("format"), markers, 1).alias("is_stop"),
-    )
+    if isinstance(markers, dict):
+        text = F.lower(F.concat_ws(" ", F.coalesce("message", F.lit("")), F.coalesce("raw_line", F.lit(""))))
+        flagged = entries.where(F.col("format").isin(list(markers))).select(
+            "file_id", "seq", "ts",
+            _has_marker(text, F.col("format"), markers, 0).alias("is_start"),
+            _has_marker(text, F.col("format"), markers, 1).alias("is_stop"),
+        )
+    else:
+        flagged = _flagged(entries, markers)
     timed_start = F.col("is_start") & F.col("ts").isNotNull()
     kept = flagged.where(timed_start | F.col("is_stop"))
     return kept.select(
@@ -90,7 +123,7 @@ def marker_rows(entries: DataFrame, markers: dict) -> DataFrame:
     )
 
 
-def sessions(entries: DataFrame, markers: dict | None = None, chunk: int = SESSION_CHUNK) -> DataFrame:
+def sessions(entries: DataFrame, markers: DataFrame | dict | None = None, chunk: int = SESSION_CHUNK) -> DataFrame:
     """Start/stop sessions of each file in record order.
 
     Outside a session the first start with a time opens one, inside the first stop
@@ -99,7 +132,7 @@ def sessions(entries: DataFrame, markers: dict | None = None, chunk: int = SESSI
     each chunk is solved for both states it can begin in, a window over the small chunk
     table finds the real one, and the chunk's rows then pick their answer.
     """
-    rows = marker_rows(entries, markers or SESSION_MARKERS).withColumn(
+    rows = marker_rows(entries, SESSION_MARKERS if markers is None else markers).withColumn(
         "chunk", F.floor((F.col("seq") - 1) / chunk)
     ).where(F.col("file_id").isNotNull() & F.col("chunk").isNotNull())  # lets both uses below share one shuffle
     in_order = Window.partitionBy("file_id", "chunk").orderBy("seq")
@@ -214,9 +247,10 @@ def summarize(
     entries: DataFrame,
     files: DataFrame,
     uploads: DataFrame,
-    markers: dict | None = None,
+    markers: DataFrame | dict | None = None,
     *,
     nest_sessions: bool = False,
+    found: DataFrame | None = None,
 ) -> DataFrame:
     """The full summary of each file as one struct.
 
@@ -225,10 +259,11 @@ def summarize(
     A format with session markers gets its sessions, any other only the base part.
     Sessions are counted and added up here; as rows they come from ``sessions``. With
     ``nest_sessions`` each file's are also put into the struct as one array, which is for
-    files whose sessions are known to be few.
+    files whose sessions are known to be few. ``found`` are the sessions if they were
+    searched already.
     """
     base = base_summary(entries)
-    found = sessions(entries, markers)
+    found = sessions(entries, markers) if found is None else found
     listed = F.array_sort(F.collect_list(F.struct("start_ts", "stop_ts", "duration_sec", "note")))
     spans = found.groupBy("file_id").agg(
         F.count(F.lit(1)).alias("session_count"), F.sum("duration_sec").alias("session_sec"),

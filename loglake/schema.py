@@ -37,6 +37,12 @@ SESSION = T.StructType([
 
 SESSIONS = T.StructType([T.StructField("file_id", T.StringType()), *SESSION.fields])
 
+MARKERS = T.StructType([
+    T.StructField("format", T.StringType()),
+    T.StructField("kind", T.StringType()),
+    T.StructField("text", T.StringType()),
+])
+
 SUMMARY = T.StructType([
     T.StructField("total_records", T.LongType()),
     T.StructField("file_size", T.LongType()),

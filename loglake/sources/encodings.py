@@ -16,8 +16,6 @@ SINGLE_BYTE = {
     "ISO-8859-5": "iso8859-5",
 }
 
-HEAD_BYTES = 64 * 1024
-
 # The most frequent Russian letters, which tell the Cyrillic encodings apart.
 FREQUENT_LETTERS = "оеаинтсрвл"
 
@@ -34,21 +32,50 @@ def _letters_as_bytes(codec: str) -> str:
     return "".join(chr(b) for b in FREQUENT_LETTERS.encode(codec))
 
 
-def detect_encoding(content: Column) -> Column:
-    """Name of a content's encoding.
+# What is counted of bytes read as ISO-8859-1. No pattern reaches over a line feed, so the
+# counts of a content are the sums of those of its lines.
+BYTE_COUNTS = {
+    # words of high bytes only, as Cyrillic writes them
+    "high_words": r"(?<![A-Za-z\x{80}-\x{FF}])[\x{A1}-\x{FF}]{2,}(?![A-Za-z\x{80}-\x{FF}])",
+    # high bytes next to ASCII letters, as in western words
+    "mixed_pairs": r"[A-Za-z][\x{C0}-\x{FF}]|[\x{C0}-\x{FF}][A-Za-z]",
+    "cp1251_letters": "[" + _letters_as_bytes("cp1251") + "]",
+    "iso5_letters": "[" + _letters_as_bytes("iso8859-5") + "]",
+    # printed by Windows-1252 alone
+    "controls": r"[\x{80}-\x{9F}]",
+}
+
 
-    Valid UTF-8, empty content included, is UTF-8. Otherwise the first bytes decide: words of
-    high bytes only mean Cyrillic, high bytes next to ASCII letters a western encoding.
+def byte_counts(content: Column) -> dict[str, Column]:
+    """Counts that tell the encoding: of a whole content, or of a part that ends at a line feed.
+
+    They are added up over the parts of a file. ``broken`` counts parts that are no UTF-8; the
+    others cost nothing for parts in ASCII.
     """
-    head = F.decode(F.substring(content, 1, HEAD_BYTES), "ISO-8859-1")
-    pure = F.regexp_count(head, F.lit(r"(?<![A-Za-z\x{80}-\x{FF}])[\x{A1}-\x{FF}]{2,}(?![A-Za-z\x{80}-\x{FF}])"))
-    mixed = F.regexp_count(head, F.lit(r"[A-Za-z][\x{C0}-\x{FF}]|[\x{C0}-\x{FF}][A-Za-z]"))
-    cp1251 = F.regexp_count(head, F.lit("[" + _letters_as_bytes("cp1251") + "]"))
-    iso5 = F.regexp_count(head, F.lit("[" + _letters_as_bytes("iso8859-5") + "]"))
-    cyrillic = F.when(cp1251 >= iso5, "Windows-1251").otherwise("ISO-8859-5")
-    western = F.when(head.rlike(r"[\x{80}-\x{9F}]"), "Windows-1252").otherwise("ISO-8859-1")
-    guess = F.when(pure > mixed, cyrillic).otherwise(western)
-    return F.when(F.coalesce(F.is_valid_utf8(content), F.lit(True)), UTF8).otherwise(guess)
+    latin = F.decode(content, "ISO-8859-1")
+    valid = F.is_valid_utf8(content)
+    plain = valid & (F.octet_length(content) == F.char_length(content.cast("string")))
+    counts = {"broken": F.when(valid, 0).otherwise(1)}
+    for name, pattern in BYTE_COUNTS.items():
+        counts[name] = F.when(plain, 0).otherwise(F.regexp_count(latin, F.lit(pattern)))
+    return {name: F.when(content.isNull(), 0).otherwise(count).cast("bigint") for name, count in counts.items()}
+
+
+def encoding_of(counts: dict[str, Column]) -> Column:
+    """Name of the encoding of a content with these counts: the one rule for all files.
+
+    A content without a part that is no UTF-8, an empty one included, is UTF-8. Otherwise words
+    of high bytes only mean Cyrillic, high bytes next to ASCII letters a western encoding.
+    """
+    cyrillic = F.when(counts["cp1251_letters"] >= counts["iso5_letters"], "Windows-1251").otherwise("ISO-8859-5")
+    western = F.when(counts["controls"] > 0, "Windows-1252").otherwise("ISO-8859-1")
+    guess = F.when(counts["high_words"] > counts["mixed_pairs"], cyrillic).otherwise(western)
+    return F.when(counts["broken"] == 0, UTF8).otherwise(guess)
+
+
+def detect_encoding(content: Column) -> Column:
+    """Name of a whole content's encoding; all of its bytes are looked at."""
+    return encoding_of(byte_counts(content))
 
 
 def decode_text(content: Column, encoding: Column) -> Column:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from loglake.operators.assembly import number_lines
-
 # A file up to this size is handled as one row, a bigger one line by line.
 WHOLE_FILE_BYTES = 64 << 20
 # Largest content kept in one row (archives, content hash).
@@ -24,16 +24,36 @@ def _binary(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 def list_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Files below ``paths`` as (path, filename, length); no content is read."""
-    return _binary(spark, paths).select("path", basename(F.col("path")).alias("filename"), "length")
+    """Files below ``paths`` as (path, filename, length), empty ones too; no content is read."""
+    read = _binary(spark, paths).select("path", "length")
+    every = read.unionByName(empty_files(spark, paths).select("path", F.lit(0).cast("bigint").alias("length")))
+    return every.select("path", basename(F.col("path")).alias("filename"), "length")
 
 
-def read_blobs(spark: SparkSession, paths: str | Sequence[str], max_bytes: int = ROW_BYTES) -> DataFrame:
-    """Whole files as (path, filename, length, content, md5).
+def empty_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Paths of the empty files, which Spark's file sources know but make no row of.
 
-    The length test is pushed into the source, so a bigger file is never opened.
+    They are what a source's index holds beyond its rows. The names go from the index to a
+    DataFrame inside the JVM, and only if there are any more than rows.
+    """
+    found = _binary(spark, paths)
+    names = found._jdf.inputFiles()
+    if len(names) == found.select("path").count():
+        return spark.createDataFrame([], "path string")
+    sequence = spark._jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(names)
+    index = DataFrame(spark._jsparkSession.createDataset(sequence, spark._jvm.org.apache.spark.sql.Encoders.STRING()).toDF(), spark)
+    plain = F.url_decode(F.replace(F.regexp_replace("value", "^file:/+", "file:/"), F.lit("+"), F.lit("%2B")))
+    return index.select(plain.alias("path")).distinct().join(found.select("path"), "path", "left_anti")
+
+
+def read_blobs(
+    spark: SparkSession, paths: str | Sequence[str], max_bytes: int = ROW_BYTES, over: int = 0
+) -> DataFrame:
+    """Whole files as (path, filename, length, content, md5), of more than ``over`` bytes up to ``max_bytes``.
+
+    The length test is pushed into the source, so other files are never opened.
     """
-    blobs = _binary(spark, paths).where(F.col("length") <= max_bytes)
+    blobs = _binary(spark, paths).where((F.col("length") <= max_bytes) & (F.col("length") > over))
     return blobs.select("path", basename(F.col("path")).alias("filename"), "length", "content",
                         F.md5("content").alias("md5"))
 
@@ -48,30 +68,34 @@ def basename(path: Column) -> Column:
 
 
 def literal_paths(rows: DataFrame) -> list[str]:
-    """The paths of a listing for a reader, with nothing in them taken as a pattern.
+    """The paths of a chunk of files for a reader, with nothing in them taken as a pattern.
 
-    The file index of any Spark source holds these on the driver anyway; contents never
-    come here.
+    Callers hand in at most a chunk of files; contents never come here.
     """
     return [re.sub(r"([\[\]{}*?\\])", r"\\\1", row["path"]) for row in rows.select("path").collect()]
 
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Lines as (file_id, block, pos, value); ``file_id`` is the path.
-
-    Only U+000A ends a line. A file is split into blocks, so it is read in parallel;
-    ``block`` is the byte offset of the block and ``pos`` grows along a block.
-    """
+def _raw_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     paths = [paths] if isinstance(paths, str) else list(paths)
     text = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(paths)
     return text.select(
         plain_path().alias("file_id"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"),
-        F.rtrim("value", F.lit("\r")).alias("value"),
+        "value",
+        F.col("_metadata.file_size").alias("size"),
     )
 
 
+def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Lines as (file_id, block, pos, value); ``file_id`` is the path.
+
+    Only U+000A ends a line. A file is split into blocks, so it is read in parallel;
+    ``block`` is the byte offset of the block and ``pos`` grows along a block.
+    """
+    return _raw_lines(spark, paths).select("file_id", "block", "pos", F.rtrim("value", F.lit("\r")).alias("value"))
+
+
 def is_zip(filename: Column, content: Column | None = None) -> Column:
     """An archive by its name or, given the content, by its first bytes."""
     named = F.lower(filename).endswith(".zip")
@@ -80,14 +104,77 @@ def is_zip(filename: Column, content: Column | None = None) -> Column:
     return named | F.coalesce(F.substring(content, 1, 4) == F.lit(ZIP_MAGIC), F.lit(False))
 
 
-def line_fingerprint(lines: DataFrame) -> DataFrame:
-    """A content key (file_id, md5) for files too big to be hashed in one row.
+# Bytes of a file that travel as one row when the file is hashed.
+PIECE_BYTES = 4 << 20
+
+_BOM = b"\xef\xbb\xbf"
+_PIECE = "file_id string, block bigint, pos bigint, size bigint, lines bigint, data binary"
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines in reading order joined to pieces; a piece never goes beyond a block."""
+    key, first, size, lines, held = None, 0, 0, [], 0
+
+    def piece() -> pa.RecordBatch:
+        row = [[key[0]], [key[1]], [first], [size], [len(lines)], [b"\n".join(lines)]]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, _TYPES, strict=True)], _PIECE_NAMES)
+
+    for batch in batches:
+        for file_id, block, pos, length, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if lines and (key != (file_id, block) or held >= PIECE_BYTES):
+                yield piece()
+                lines, held = [], 0
+            if not lines:
+                key, first, size = (file_id, block), pos, length
+            lines.append(data)
+            held += len(data)
+    if lines:
+        yield piece()
+
+
+_PIECE_NAMES = [field.split()[0] for field in _PIECE.split(", ")]
+_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+
+def _md5_of_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """MD5 of each file from its sorted pieces; what the line reader left out comes from ``missing``."""
+    current, digest, missing = None, None, 0
+
+    def done() -> pa.RecordBatch:
+        if missing in (1, 4):
+            digest.update(b"\n")
+        return pa.RecordBatch.from_arrays([pa.array([current]), pa.array([digest.hexdigest()])], ["file_id", "md5"])
+
+    for batch in batches:
+        for file_id, lacking, data in zip(*(batch.column(c) for c in ("file_id", "missing", "data")), strict=True):
+            if file_id.as_py() != current:
+                if digest:
+                    yield done()
+                current, digest, missing = file_id.as_py(), hashlib.md5(), lacking.as_py()
+                digest.update(_BOM if missing >= 3 else b"")
+            else:
+                digest.update(b"\n")
+            digest.update(data.as_buffer())
+    if digest:
+        yield done()
+
+
+def content_keys(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(path, md5, zip) of files of any size: the MD5 of their bytes, and whether they begin as an archive.
 
-    Each line is hashed with its number, so the key depends on order, and the hashes are
-    folded by sum and xor, so no task holds a file.
+    Files are read in blocks whose lines travel as pieces of a few MB. MD5 goes along a
+    file from front to end, so the pieces of one file meet, sorted, in one task, which
+    holds one piece at a time. The line reader leaves out a byte-order mark and doesn't tell
+    if the last line is ended; the file's size does.
     """
-    hashed = number_lines(lines).select("file_id", F.xxhash64("line_no", "value").alias("h"))
-    folded = hashed.groupBy("file_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"), F.bit_xor("h").alias("x")
+    raw = _raw_lines(spark, paths).select("file_id", "block", "pos", "size", F.col("value").cast("binary").alias("data"))
+    pieces = raw.mapInArrow(_pieces, _PIECE)
+    # all bytes but those that are missing are in the pieces, with one line feed between any two
+    whole = pieces.groupBy("file_id").agg(
+        (F.max("size") - F.sum(F.octet_length("data") + F.lit(1)) + 1).alias("missing"),
+        F.min_by(F.substring("data", 1, 4), F.struct("block", "pos")).alias("magic"),
     )
-    return folded.select("file_id", F.concat(F.lit("lines:"), F.md5(F.concat_ws("|", "n", "s", "x"))).alias("md5"))
+    in_order = pieces.join(whole.select("file_id", "missing"), "file_id").repartition("file_id").sortWithinPartitions("file_id", "block", "pos")
+    hashed = in_order.select("file_id", "missing", "data").mapInArrow(_md5_of_pieces, "file_id string, md5 string")
+    return hashed.join(whole, "file_id").select(
+        F.col("file_id").alias("path"), "md5", (F.col("magic") == F.lit(ZIP_MAGIC)).alias("zip"))

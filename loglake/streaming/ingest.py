@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loglake.plans.catalog import MAX_FILE_BYTES, ingest
-from loglake.sources.files import literal_paths
+from loglake.plans.catalog import MAX_FILE_BYTES, Catalog, ingest
+from loglake.sources.files import basename, empty_files, literal_paths
 
 FILES_PER_TRIGGER = 1000
 
@@ -23,27 +23,35 @@ def ingest_stream(
     default_tz: str = "UTC",
     max_bytes: int = MAX_FILE_BYTES,
     files_per_trigger: int = FILES_PER_TRIGGER,
+    bytes_per_trigger: int | None = None,
     available_now: bool = False,
 ) -> StreamingQuery:
     """Ingest files as they appear below ``folder_in``; each micro-batch is a catalogue batch.
 
-    The stream carries file names only; the batch pipeline reads the contents. A replayed
-    micro-batch has the same batch id and replaces what it wrote before.
+    The stream carries file names only; the batch pipeline reads the contents. A micro-batch
+    admits at most ``files_per_trigger`` files, or about ``bytes_per_trigger`` bytes if that
+    is given, so neither names nor plan grow with the folder. A replayed micro-batch has the
+    same batch id and replaces what it wrote before. Spark gives no row for an empty file:
+    the first one met becomes an upload, as further ones are duplicates of it.
     """
+    admitted = ("maxFilesPerTrigger", files_per_trigger) if bytes_per_trigger is None else ("maxBytesPerTrigger", bytes_per_trigger)
     names = (
         spark.readStream.format("binaryFile")
         .schema(BINARY_FILE_SCHEMA)
         .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", files_per_trigger)
+        .option(*admitted)
         .load(folder_in)
         .select("path")
     )
 
     def take(batch: DataFrame, epoch: int) -> None:
+        session, batch_id = batch.sparkSession, f"stream-{epoch:012d}"
         paths = literal_paths(batch)
+        earlier = Catalog(session, catalog_folder).uploads().where(F.col("batch_id") != batch_id)
+        if not earlier.where("size_bytes = 0").limit(1).count():
+            paths += literal_paths(empty_files(session, folder_in).orderBy(basename(F.col("path")), "path").limit(1))
         if paths:
-            ingest(batch.sparkSession, paths, catalog_folder, f"stream-{epoch:012d}",
-                   default_tz=default_tz, max_bytes=max_bytes)
+            ingest(session, paths, catalog_folder, batch_id, default_tz=default_tz, max_bytes=max_bytes)
 
     writer = names.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
