@@ -44,16 +44,29 @@ SENTENCE_CUT, FORCED_CUT = 24, 4096
 
 #: Words of these characters need no normalisation besides lower case.
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
-#: How the tokenizer divides a lower-case word (fixed by its file), and its runs of letters.
-_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zµºªÀ-ÖØ-öø-ÿ]+|[0-9]|[^a-z0-9À-ÖØ-öø-ÿ]+")
+_PLAIN_TEXT = re.compile(r"[\x20-\x7eÀ-ÖØ-öø-ÿ\n]*")
+#: How the tokenizer divides lower-case words (fixed by its file), and its runs of letters.
+_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zµºªÀ-ÖØ-öø-ÿ]+|[0-9]|[^a-z0-9À-ÖØ-öø-ÿ \n]+")
 _LETTERS = re.compile(r"[a-zà-öø-ÿ]+")
 #: Byte-level vocabularies write bytes that are no printable character as 256 + their rank.
 _BYTE_SIGNS = {b: 256 + i for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 _WORKER: dict[str, Tokens] = {}
 
 
+class _Runs(dict):
+    """The ids of each part that the tokenizer divides words into, worked out when it is first met."""
+
+    def __init__(self, ids_of):
+        super().__init__()
+        self.ids_of = ids_of
+
+    def __missing__(self, run: str) -> bytes:
+        self[run] = found = self.ids_of(run)
+        return found
+
+
 class Tokens:
-    """The ids of texts, by words met before."""
+    """The ids of texts, by parts of words met before; words of uncommon characters are kept whole."""
 
     def __init__(self, path: str, memo: int):
         from tokenizers import Tokenizer
@@ -62,7 +75,7 @@ class Tokens:
         self.model = self.tokenizer.model
         self.memo = memo
         self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.runs = _Runs(self._run)
         vocabulary = self.tokenizer.get_vocab()
         self.sentence_end = np.zeros(max(vocabulary.values()) + 1, bool)
         for piece, i in vocabulary.items():
@@ -73,30 +86,30 @@ class Tokens:
 
     def _run(self, run: str) -> bytes:
         """The ids of a run of letters: the merges alone, on the run's bytes as the file writes them."""
+        if not _LETTERS.fullmatch(run):
+            return self._encode(run).tobytes()
         if not run.isascii():
             run = run.encode().decode("latin-1").translate(_BYTE_SIGNS)
         return array("I", [piece.id for piece in self.model.tokenize(run)]).tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        plain = {w: _SPLIT.findall(w.lower()) for w in words if _PLAIN.fullmatch(w) and "<|" not in w}
-        missing = {p for parts in plain.values() for p in parts} - self.runs.keys()
-        for p in missing:
-            self.runs[p] = self._run(p) if _LETTERS.fullmatch(p) else self._encode(p).tobytes()
-        for word in words:
-            parts = plain.get(word)
-            self.words[word] = b"".join([self.runs[p] for p in parts]) if parts is not None else self._encode(word).tobytes()
+    def _word(self, word: str) -> bytes:
+        if word not in self.words:
+            plain = _PLAIN.fullmatch(word) and "<|" not in word
+            self.words[word] = self._plain(word) if plain else self._encode(word).tobytes()
+        return self.words[word]
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.runs.__getitem__, _SPLIT.findall(text.lower())))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
         for known in (self.words, self.runs):
             if len(known) > self.memo:
                 known.clear()
-        self.words[""] = b""
-        if missing := set().union(*split) - self.words.keys():
-            self.learn(missing)
-        get = self.words.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        return [
+            self._plain(t) if _PLAIN_TEXT.fullmatch(t) and "<|" not in t
+            else b"".join([self._word(w) for w in t.replace("\n", " ").split(" ")]) for t in texts
+        ]
 
 
 def _tokens(path: str, memo: int) -> Tokens:
