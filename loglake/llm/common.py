@@ -6,8 +6,10 @@ import re
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +95,20 @@ def shingle_hashes(words: np.ndarray, k: int = 5) -> np.ndarray:
     return mix(total)
 
 
+#: Characters of text that a task works on at a time.
+SLICE = 8 << 20
+
+
+def slices(batches: Iterator[pd.DataFrame], column: str = "text", size: int = SLICE) -> Iterator[pd.DataFrame]:
+    """The rows of the batches in parts of about ``size`` characters, so what is made of them stays small."""
+    for batch in batches:
+        ends = np.cumsum(batch[column].str.len().fillna(0).to_numpy(np.int64) + 1)
+        cuts = np.unique(np.searchsorted(ends, np.arange(size, ends[-1] if len(ends) else 0, size)) + 1)
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
+            if b > a:
+                yield batch.iloc[a:b]
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the rows that no classifier learns from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
