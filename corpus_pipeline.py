@@ -1,8 +1,9 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again.
 
 Each stage takes (spark, docs, folder of the tables) and works on all rows its predecessor
-kept. All but the last return the columns of ``docs``. Rows without a doc_id end at the
-near-duplicate stage; a null text passes every filter and is packed as an empty one.
+kept. All but the last return the columns of ``docs``. Rows without a doc_id pass the
+near-duplicate stage, where they can't be told from each other; a null text passes every
+filter and is packed as an empty one.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
+    """The document with the smallest id of each group of near duplicates, and all rows without an id."""
     ship_package(spark)
-    first = jaccard.join(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    others = jaccard.join(docs).filter("doc_id != component_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
