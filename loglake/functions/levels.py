@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from loglake.functions.text import let, trim_space
+from loglake.functions.text import trim_space
 
 # Severity words and the normalised level each one means.
 SEVERITY_WORDS = {
@@ -34,24 +34,34 @@ def _has_any(text: Column, words: list[str]) -> Column:
     return reduce(lambda acc, word: acc | word, [text.contains(w) for w in words])
 
 
-def normalize_level(raw: Column) -> Column:
-    """Map a severity word to its normalised level, NULL when it means none."""
+def level_of_word(word: Column) -> Column:
+    """Level of a severity word that is trimmed and in lower case."""
     known = F.create_map(*[F.lit(x) for pair in SEVERITY_WORDS.items() for x in pair])
-    return let(F.lower(trim_space(raw)), lambda word: F.coalesce(
+    return F.coalesce(
         F.try_element_at(known, word),
         F.when(_has_any(word, ["critical", "emergency"]), "critical")
         .when(_has_any(word, ["ora-", "error"]), "error")
         .when(word.contains("warn"), "warning"),
-    ))
+    )
 
 
-def level_by_content(text: Column) -> Column:
-    """Guess a level from free text; the singular "error" alone means nothing."""
-    return let(F.lower(text), lambda low: (
+def level_in_text(low: Column) -> Column:
+    """Level told by free text in lower case; the singular "error" alone means nothing."""
+    return (
         F.when(_has_any(low, ["critical", "emergency", "fatal"]), "critical")
         .when(_has_any(low, ["ora-", "errors"]), "error")
         .when(low.contains("warn"), "warning")
-    ))
+    )
+
+
+def normalize_level(raw: Column) -> Column:
+    """Map a severity word to its normalised level, NULL when it means none."""
+    return level_of_word(F.lower(trim_space(raw)))
+
+
+def level_by_content(text: Column) -> Column:
+    """Guess a level from free text."""
+    return level_in_text(F.lower(text))
 
 
 def level_from_http_status(status: Column) -> Column:

@@ -47,13 +47,39 @@ POSIX_CLASSES = {
     "alnum": "Alnum", "alpha": "Alpha", "ascii": "ASCII", "blank": "Blank", "cntrl": "Cntrl", "digit": "Digit", "graph": "Graph",
     "lower": "Lower", "print": "Print", "punct": "Punct", "upper": "Upper", "xdigit": "XDigit",
 }
-SAME_ESCAPES = set("AzbBdDwWtnrfaSx")
-OTHER_ESCAPES = {"v": r"\x0B", "C": "(?s:.)"}
+SAME_ESCAPES = set("AzdDwWtnrfa")
+OTHER_ESCAPES = {
+    "v": r"\x0B", "C": "(?s:.)",
+    # words are made of ASCII letters, digits and "_"; what Java takes for a boundary depends on its version
+    "b": r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))", "B": r"(?:(?<=\w)(?=\w)|(?<!\w)(?!\w))",
+}
 RE2_SPACE = r"\t\n\f\r "
+RE2_NO_SPACE = r"\x{0}-\x{8}\x{B}\x{E}-\x{1F}\x{21}-\x{10FFFF}"
+# Escapes without a meaning inside a class.
+NOT_IN_CLASS = set("AzbBC")
+
+# Classes that grow when case is folded, as code points: under folding RE2 counts the two
+# letters that fold to an ASCII one, while Java's shorthands stay as they are.
+FOLDED_CLASSES = {
+    "word": ((0x30, 0x39), (0x41, 0x5A), (0x5F, 0x5F), (0x61, 0x7A)), "alnum": ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A)),
+    "alpha": ((0x41, 0x5A), (0x61, 0x7A)), "lower": ((0x41, 0x5A), (0x61, 0x7A)), "upper": ((0x41, 0x5A), (0x61, 0x7A)),
+}
+LONG_S_AND_KELVIN = ((0x17F, 0x17F), (0x212A, 0x212A))
+
+_CODE_POINT = re.compile(r"x\{([0-9A-Fa-f]+)\}|x([0-9A-Fa-f]{2})|(0[0-7]{0,2}|[1-7][0-7]{1,2})")
 
 
-def _escape(pattern: str, i: int, in_class: bool) -> tuple[str, int]:
-    """The escape at ``i`` for Java, and the place behind it."""
+def _folded_class(name: str, negated: bool) -> str:
+    """The inside of a Java class for a shorthand under case folding."""
+    spans = [*FOLDED_CLASSES[name], *LONG_S_AND_KELVIN]
+    if negated:
+        edges = [0, *[x for low, high in spans for x in (low - 1, high + 1)], 0x10FFFF]
+        spans = list(zip(edges[::2], edges[1::2], strict=True))
+    return "".join(f"\\x{{{low:X}}}-\\x{{{high:X}}}" for low, high in spans if low <= high)
+
+
+def _escape(pattern: str, i: int, in_class: bool, fold: bool) -> tuple[str, int]:
+    """The escape at ``i`` for Java, and the place behind it; ``fold`` is set where case is folded."""
     if i + 1 >= len(pattern):
         raise ValueError(f"bad regular expression {pattern!r}: trailing backslash")
     char = pattern[i + 1]
@@ -68,8 +94,20 @@ def _escape(pattern: str, i: int, in_class: bool) -> tuple[str, int]:
         end = pattern.find(r"\E", i + 2)
         text = pattern[i + 2:] if end < 0 else pattern[i + 2:end]
         return "".join(re.escape(c) for c in text), len(pattern) if end < 0 else end + 2
-    if char == "s":
-        return (RE2_SPACE if in_class else f"[{RE2_SPACE}]"), i + 2
+    code = _CODE_POINT.match(pattern, i + 1)
+    if code:
+        value = int(code[3], 8) if code[3] else int(code[1] or code[2], 16)
+        if value > 0x10FFFF:
+            raise ValueError(f"bad regular expression {pattern!r}: \\{code[0]} is no character")
+        return f"\\x{{{value:X}}}", code.end()
+    if fold and char in "wW":
+        codes = _folded_class("word", char == "W")
+        return (codes if in_class else f"[{codes}]"), i + 2
+    if char in "sS":
+        codes = RE2_SPACE if char == "s" else RE2_NO_SPACE
+        return (codes if in_class else f"[{codes}]"), i + 2
+    if in_class and char in NOT_IN_CLASS:
+        raise ValueError(f"bad regular expression {pattern!r}: \\{char} in a class")
     if char in OTHER_ESCAPES:
         return OTHER_ESCAPES[char], i + 2
     if char in SAME_ESCAPES or not char.isalnum():
@@ -77,7 +115,7 @@ def _escape(pattern: str, i: int, in_class: bool) -> tuple[str, int]:
     raise ValueError(f"bad regular expression {pattern!r}: \\{char} is not supported")
 
 
-def _character_class(pattern: str, i: int) -> tuple[str, int]:
+def _character_class(pattern: str, i: int, fold: bool) -> tuple[str, int]:
     """The class that opens at ``i`` for Java, where ``[`` and ``&&`` inside it would have a meaning."""
     out, i = "[", i + 1
     if pattern[i:i + 1] == "^":
@@ -89,10 +127,13 @@ def _character_class(pattern: str, i: int) -> tuple[str, int]:
             if posix[2] not in POSIX_CLASSES and posix[2] not in ("space", "word"):
                 raise ValueError(f"bad regular expression {pattern!r}: {posix[0]}")
             short = {"space": "sS", "word": "wW"}.get(posix[2])
-            out += f"\\{short[bool(posix[1])]}" if short else f"\\{'P' if posix[1] else 'p'}{{{POSIX_CLASSES[posix[2]]}}}"
+            if fold and posix[2] in FOLDED_CLASSES:
+                out += _folded_class(posix[2], bool(posix[1]))
+            else:
+                out += f"\\{short[bool(posix[1])]}" if short else f"\\{'P' if posix[1] else 'p'}{{{POSIX_CLASSES[posix[2]]}}}"
             i = posix.end()
         elif pattern[i] == "\\":
-            part, i = _escape(pattern, i, True)
+            part, i = _escape(pattern, i, True, fold)
             out += part
         else:
             out += "\\" + pattern[i] if pattern[i] in "[]&^" else pattern[i]
@@ -111,19 +152,19 @@ def java_pattern(pattern: str) -> str:
     POSIX classes are translated. What RE2 lacks (look-around, back-references,
     possessive and atomic groups) raises ``ValueError``.
     """
-    out, i, multi, outer, folds = [], 0, False, [], False
+    out, i, multi, fold, outer, folds = [], 0, False, False, [], False
     while i < len(pattern):
         char = pattern[i]
         if char == "\\":
-            part, i = _escape(pattern, i, False)
+            part, i = _escape(pattern, i, False, fold)
             out.append(part)
             continue
         if char == "[":
-            part, i = _character_class(pattern, i)
+            part, i = _character_class(pattern, i, fold)
             out.append(part)
             continue
         if char == "(":
-            outer.append(multi)
+            outer.append((multi, fold))
             group = re.compile(r"\(\?(?:P?<(\w+)>|([imsU]*)(?:-([imsU]+))?([:)]))").match(pattern, i)
             if pattern.startswith("(?", i) and not group:
                 raise ValueError(f"bad regular expression {pattern!r}: {pattern[i:i + 4]} is not supported")
@@ -131,6 +172,7 @@ def java_pattern(pattern: str) -> str:
                 raise ValueError(f"bad regular expression {pattern!r}: the flag U is not supported")
             if group and group[1] is None:
                 multi = (multi or "m" in group[2]) and "m" not in (group[3] or "")
+                fold = (fold or "i" in group[2]) and "i" not in (group[3] or "")
                 folds = folds or "i" in group[2]
                 if group[4] == ")":
                     outer.pop()
@@ -148,14 +190,14 @@ def java_pattern(pattern: str) -> str:
             i += len(part)
             if pattern[i:i + 1] == "?":
                 part, i = part + "?", i + 1
-            if pattern[i:i + 1] and pattern[i] in "*+?":
+            if re.compile(r"[*+?]|\{\d+(,\d*)?\}").match(pattern, i):
                 raise ValueError(f"bad regular expression {pattern!r}: nested repetition")
             out.append(part)
             continue
         if char == ")":
             if not outer:
                 raise ValueError(f"bad regular expression {pattern!r}: unexpected )")
-            multi = outer.pop()
+            multi, fold = outer.pop()
         out.append({
             "$": r"(?=\n|\z)" if multi else r"\z", "^": r"(?<![^\n])" if multi else r"\A", "{": r"\{", "}": r"\}", "]": r"\]",
         }.get(char, char))

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from loglake.functions.memo import memo
 from loglake.functions.text import let, trim_space
 
 # English month names, in order.
@@ -75,16 +76,17 @@ def _local_time(p: Column) -> Column:
     return text.try_cast("timestamp_ntz")
 
 
-def _offset_text(zone: Column) -> Column:
-    """``GMT+3``, ``GMT-03:30`` or ``+0400`` as ``+03:00``; NULL for an abbreviation or none."""
-    def build(digits):
-        short = F.length(digits) % 2 == 0  # a sign and one hour digit, or with two minute digits
-        filled = F.when(short, F.concat(F.substring(digits, 1, 1), F.lit("0"), F.substring(digits, 2, 3))).otherwise(digits)
-        minutes = F.rpad(F.substring(filled, 4, 2), 2, "0")
-        signed = F.substring(digits, 1, 1).isin("+", "-")
-        return F.when(signed, F.concat(F.substring(filled, 1, 3), F.lit(":"), minutes))
+def _zone_digits(zone: Column) -> Column:
+    return F.replace(F.replace(zone, F.lit("GMT"), F.lit("")), F.lit(":"), F.lit(""))
 
-    return let(F.replace(F.replace(zone, F.lit("GMT"), F.lit("")), F.lit(":"), F.lit("")), build)
+
+def _offset_of(digits: Column) -> Column:
+    """``+3``, ``-0330`` or ``+0400`` as ``+03:00``; NULL for an abbreviation or none."""
+    short = F.length(digits) % 2 == 0  # a sign and one hour digit, or with two minute digits
+    filled = F.when(short, F.concat(F.substring(digits, 1, 1), F.lit("0"), F.substring(digits, 2, 3))).otherwise(digits)
+    minutes = F.rpad(F.substring(filled, 4, 2), 2, "0")
+    signed = F.substring(digits, 1, 1).isin("+", "-")
+    return F.when(signed, F.concat(F.substring(filled, 1, 3), F.lit(":"), minutes))
 
 
 def shift_to_utc(local: Column, offset: Column) -> Column:
@@ -99,36 +101,59 @@ def format_offset(offset: Column) -> Column:
     return F.when(F.substring(offset, 2, 5) == "00:00", "Z").otherwise(offset)
 
 
+def _resolved(local: Column, offset: Column, s: Column, zone: str) -> dict[str, Column]:
+    explicit = offset.isNotNull()
+    inferred = local if zone == "UTC" else F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
+    # the layout with the offset after the day prints a zero offset in digits
+    shown = F.when(F.substring(s, 11, 1) == " ", offset).otherwise(format_offset(offset))
+    return {
+        "ts": F.when(explicit, shift_to_utc(local, offset)).otherwise(inferred),
+        "ts_raw": s,
+        "tz_offset": F.when(local.isNotNull() & explicit, shown).otherwise(""),
+        "tz_inferred": local.isNotNull() & ~explicit,
+    }
+
+
 def parse_datetime(text: Column, default_tz: str = "UTC") -> Column:
     """Struct (ts, ts_raw, tz_offset, tz_inferred) of a date-time text.
 
     An explicit offset gives the UTC time directly; without one, or with a zone
     abbreviation, the time is read in ``default_tz`` and flagged as inferred.
-    Text in no known layout gives a NULL ts and keeps ts_raw.
+    Text in no known layout gives a NULL ts and keeps ts_raw. For whole tables of
+    records ``with_datetime`` does the same by plain projections, which compile.
     """
     zone = resolve_zone(default_tz)
 
-    def resolve(local, offset, s):
-        explicit = offset.isNotNull()
-        inferred = local if zone == "UTC" else F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
-        # the layout with the offset after the day prints a zero offset in digits
-        shown = F.when(F.substring(s, 11, 1) == " ", offset).otherwise(format_offset(offset))
-        return F.struct(
-            F.when(explicit, shift_to_utc(local, offset)).otherwise(inferred).alias("ts"),
-            s.alias("ts_raw"),
-            F.when(local.isNotNull() & explicit, shown).otherwise("").alias("tz_offset"),
-            (local.isNotNull() & ~explicit).alias("tz_inferred"),
-        )
+    def resolve(t, s):
+        return F.struct(*[c.alias(n) for n, c in _resolved(t["local"], t["offset"], s, zone).items()])
 
     def parse(s):
         return let(_date_parts(s), lambda p: let(
-            F.struct(_local_time(p).alias("local"), _offset_text(p[7]).alias("offset")),
-            lambda t: resolve(t["local"], t["offset"], s),
+            F.struct(_local_time(p).alias("local"), let(_zone_digits(p[7]), _offset_of).alias("offset")),
+            lambda t: resolve(t, s),
         ))
 
     return let(trim_space(text), parse)
 
 
+def with_datetime(rows: DataFrame, text: str, default_tz: str = "UTC") -> DataFrame:
+    """Rows with ``time_ts``, ``time_offset`` and ``time_inferred`` parsed from the column ``text``.
+
+    Every value that is used twice is a column of a projection of its own, so nothing is
+    worked out twice and all of it is compiled.
+    """
+    kept = rows.columns
+    trimmed = rows.select("*", trim_space(F.col(text)).alias("_date"))
+    taken = trimmed.select("*", memo(("date parts",), lambda: _date_parts(F.col("_date"))).alias("_parts"))
+    part = [F.get(F.col("_parts"), F.lit(i)) for i in range(8)]
+    split = taken.select(
+        *kept, "_date", memo(("local time",), lambda: _local_time(part)).alias("_local"), _zone_digits(part[7]).alias("_digits"))
+    local = split.select(*kept, "_date", "_local", _offset_of(F.col("_digits")).alias("_offset"))
+    done = _resolved(F.col("_local"), F.col("_offset"), F.col("_date"), resolve_zone(default_tz))
+    return local.select(
+        *kept, done["ts"].alias("time_ts"), done["tz_offset"].alias("time_offset"), done["tz_inferred"].alias("time_inferred"))
+
+
 def first_date(text: Column) -> Column:
     """The first part of a text that looks like a date-time, else NULL.
 

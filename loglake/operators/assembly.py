@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loglake.functions.memo import memo
 from loglake.functions.text import is_blank, let, trim_space
-from loglake.operators.formats import FIELD_NAMES, SAMPLE_LINES, FormatSpec, detect_in, formats, resolve_parts
+from loglake.operators.formats import FIELD_NAMES, SAMPLE_LINES, FormatSpec, detect_in, formats, parse_batches, parse_fields
+from loglake.session import compile_in_parts
 from loglake.sources.encodings import byte_counts, decode_text, encoding_of
 
 
@@ -274,25 +275,18 @@ def number_lines(lines: DataFrame) -> DataFrame:
 def parse_records(records: DataFrame, default_tz: str = "UTC") -> DataFrame:
     """Records (..., format, raw_line) with the fields their format has.
 
-    All built-in formats are read in one pass; a format that brings its own frame
-    function is taken out, run on its own records and added back.
+    All formats described by Columns are read in one pass; records of a format that brings
+    its own function are taken out, run through it and added back.
     """
+    compile_in_parts(records.sparkSession)
     columns = [c for c in records.columns if c not in FIELD_NAMES]
-    own = [spec for spec in formats() if spec.frame_fields is not None]
-    specs = tuple(spec for spec in formats() if spec.frame_fields is None)
-
-    def branches() -> Column:
-        chain = F
-        for spec in specs:
-            chain = chain.when(F.col("format") == spec.name, spec.fields(F.col("raw_line")))
-        return chain
-
-    common = records.where(~F.col("format").isin([s.name for s in own])) if own else records
-    parsed = resolve_parts(
-        common.select(*columns, memo(("parts", specs), branches).alias("parts")), "parts", default_tz
-    )
-    framed = [
-        spec.frame_fields(records.where(F.col("format") == spec.name), default_tz).select(*columns, *FIELD_NAMES)
-        for spec in own
-    ]
-    return reduce(lambda a, b: a.unionByName(b), framed, parsed)
+    own = [spec for spec in formats() if spec.frame_fields or spec.parse_batch]
+    common = records.where(~F.coalesce(F.col("format").isin([s.name for s in own]), F.lit(False))) if own else records
+    parsed = parse_fields(common, [spec for spec in formats() if spec not in own], default_tz)
+
+    def alone(spec: FormatSpec) -> DataFrame:
+        rows = records.where(F.col("format") == spec.name)
+        done = parse_batches(rows, spec, default_tz) if spec.parse_batch else spec.frame_fields(rows, default_tz)
+        return done.select(*columns, *FIELD_NAMES)
+
+    return reduce(lambda a, b: a.unionByName(b), [alone(spec) for spec in own], parsed)

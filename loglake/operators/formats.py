@@ -5,15 +5,16 @@ A format is a plain description; all of its work is done by Column expressions.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loglake.functions.levels import level_by_content, level_from_http_status, normalize_level
+from loglake.functions.levels import level_from_http_status, level_in_text, level_of_word
 from loglake.functions.memo import memo
 from loglake.functions.text import SPACE_CLASS, is_blank, let, trim_space
-from loglake.functions.times import first_date, millis_to_ts, parse_datetime
+from loglake.functions.times import first_date, millis_to_ts, with_datetime
 
 SAMPLE_LINES = 20
 
@@ -28,6 +29,9 @@ JAVA_HEAD = r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}[\t\f\r ]+(?:INFO|WARN|ER
 ACCESS_HEAD = r'\S+ \S+ \S+ \[\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2} [-+]\d{4}\] "'
 ODL_HEAD = r"\[\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d+[+-]\d{2}:\d{2}\]"
 
+# Fixed pattern: time, code and message at the end of a head with the separator inside the message.
+WEBLOGIC_TAIL = r".*?> <(\d+)> <([^<>\[\]]*)> <(.*)"
+
 # Fixed pattern: lines that go on with a record in the java format.
 JAVA_CONTINUATION = r"^(?:\s+at |Caused by:|\t|\s+\.\.\. )"
 
@@ -45,6 +49,30 @@ ODL_FIELDS = (
 FIELD_NAMES = ("ts", "ts_raw", "tz_offset", "tz_inferred", "level", "component", "message", "attrs")
 
 
+@dataclass(frozen=True)
+class Record:
+    """Columns of a record on its way to its fields. Each is made by a projection of its own.
+
+    ``head`` is the first line, trimmed; ``rest`` what follows the first line feed, or NULL;
+    ``groups`` and ``more`` are what a format's ``groups`` and ``more`` gave, NULL for a
+    record without a head.
+    """
+
+    raw: Column
+    head: Column
+    rest: Column
+    groups: Column
+    more: Column
+
+    def group(self, i: int) -> Column:
+        return F.get(self.groups, F.lit(i))
+
+    def with_rest(self, message: Column) -> Column:
+        """The head's message followed by the record's other lines."""
+        joined = F.when(message != "", F.concat(message, F.lit("\n"), self.rest)).otherwise(self.rest)
+        return F.when(self.rest.isNotNull(), joined).otherwise(message)
+
+
 @dataclass(frozen=True)
 class FormatSpec:
     """A named log format.
@@ -53,11 +81,19 @@ class FormatSpec:
     ``whole_line``    the head pattern must cover the whole trimmed line
     ``continuation``  pattern of the lines that go on with a record (None: every line does)
     ``keep_blank``    for line formats: blank lines are records too
-    ``fields``        function raw record -> struct of parts (see ``parts``)
-    ``frame_fields``  instead of ``fields``, for work Columns cannot do: a function that takes
-                      records and the default zone and returns the records with FIELD_NAMES
     ``detects``       False for a format that is never chosen by content
     ``multiline``     False for a format with a head pattern whose records are single lines
+
+    How a record is taken apart, one of:
+
+    ``groups``, ``more``, ``take``  functions of a Record: the head's texts as an array, further
+                      ones that need those, and the parts (see ``PART_TYPES``) by name
+    ``fields``        function raw record -> struct of parts (see ``parts``)
+    ``parse_batch``   for work Columns cannot do: a function that takes a pandas Series of raw
+                      records and the default zone and returns a pandas frame with any of
+                      ``BATCH_COLUMNS``; it gets Arrow batches, the other fields are filled in
+    ``frame_fields``  the same with whole frames: a function that takes records and the default
+                      zone and returns the records with FIELD_NAMES
     """
 
     name: str
@@ -69,6 +105,10 @@ class FormatSpec:
     multiline: bool = True
     detects: bool = True
     frame_fields: Callable[[DataFrame, str], DataFrame] | None = None
+    groups: Callable[[Record], Column] | None = None
+    more: Callable[[Record], Column] | None = None
+    take: Callable[[Record], dict[str, Column]] | None = None
+    parse_batch: Callable[[pd.Series, str], pd.DataFrame] | None = None
 
     @property
     def line_pattern(self) -> str | None:
@@ -118,6 +158,9 @@ PART_TYPES = {
 }
 
 
+PART_STRUCT = "struct<" + ",".join(f"{name}:{kind}" for name, kind in PART_TYPES.items()) + ">"
+
+
 def parts(**values: Column) -> Column:
     """A struct of the given parts, the others NULL."""
     return F.struct(*[
@@ -125,50 +168,139 @@ def parts(**values: Column) -> Column:
     ])
 
 
-def resolve_parts(records: DataFrame, column: str, default_tz: str) -> DataFrame:
-    """Records with a ``parts`` struct turned into records with FIELD_NAMES."""
-    kept = [c for c in records.columns if c != column]
-    part = F.col(column)
-    time = memo(("time", column, default_tz), lambda: parse_datetime(part["ts_text"], default_tz))
-    timed = records.select("*", time.alias("_time")).select(
-        "*", F.coalesce(F.col("_time.ts"), millis_to_ts(part["millis"])).alias("ts")
+def _by_format(specs: Sequence[FormatSpec], value: Callable[[FormatSpec], Column | None], kind: str) -> Column:
+    """``value`` of the record's format, told by its number."""
+    chain = F
+    for number, spec in enumerate(specs):
+        column = value(spec)
+        if column is not None:
+            chain = chain.when(F.col("_number") == number, column.cast(kind))
+    return F.lit(None).cast(kind) if chain is F else chain
+
+
+def parse_fields(records: DataFrame, specs: Sequence[FormatSpec], default_tz: str) -> DataFrame:
+    """Records (..., format, raw_line) of formats described by Columns, with FIELD_NAMES.
+
+    All formats go through the same few projections: number of the format and first line,
+    groups of the head, parts, time, fields. What a stage makes is a column for the next
+    one, so no pattern is matched twice and every stage is compiled.
+    """
+    kept = [c for c in records.columns if c not in FIELD_NAMES]
+    specs, key = tuple(specs), tuple(specs)
+    raw = F.col("raw_line")
+    record = Record(raw, F.col("_head"), F.col("_rest"), F.col("_groups"), F.col("_more"))
+
+    def number() -> Column:
+        chain = F
+        for i, spec in enumerate(specs):
+            chain = chain.when(F.col("format") == spec.name, i)
+        return chain.otherwise(len(specs))
+
+    def grouped(spec: FormatSpec) -> Column | None:
+        if spec.groups is None:
+            return None
+        groups = spec.groups(record)
+        return groups if spec.head is None or not spec.multiline else F.when(spec.is_head(record.head), groups)
+
+    def part(name: str, kind: str) -> Column:
+        taken = {spec: spec.take(record) for spec in specs if spec.take}
+
+        def value(spec: FormatSpec) -> Column | None:
+            if spec.fields:
+                return F.col(f"_own.{name}")
+            return taken[spec].get(name) if spec in taken else None
+
+        return _by_format(specs, value, kind)
+
+    end = F.instr(raw, "\n")
+    staged = records.select(
+        *kept, memo(("number", key), number).alias("_number"), trim_space(F.substring_index(raw, "\n", 1)).alias("_head"),
+        F.when(end > 0, F.substr(raw, end + 1)).alias("_rest"),
     )
-    has_ts = F.col("ts").isNotNull()
+    own = F.lit(None) if not any(s.fields for s in specs) else memo(
+        ("own", key), lambda: _by_format(specs, lambda s: s.fields(raw) if s.fields else None, PART_STRUCT))
+    staged = staged.select("*", memo(("groups", key), lambda: _by_format(specs, grouped, "array<string>")).alias("_groups"), own.alias("_own"))
+    staged = staged.select("*", memo(
+        ("more", key), lambda: _by_format(specs, lambda s: s.more(record) if s.more else None, "array<string>")).alias("_more"))
+    staged = staged.select(*kept, *[
+        memo(("part", name, key), lambda name=name, kind=kind: part(name, kind)).alias(f"_{name}") for name, kind in PART_TYPES.items()
+    ])
+    return resolve_parts(staged, kept, default_tz)
+
 
+def resolve_parts(records: DataFrame, kept: Sequence[str], default_tz: str) -> DataFrame:
+    """Rows with the columns ``kept`` and the parts, each after an underscore, turned into fields."""
     def text(value: Column) -> Column:
         return F.nullif(value, F.lit(""))
 
-    level = memo(("level", column), lambda: F.coalesce(
-        normalize_level(part["level_word"]),
-        level_by_content(part["level_content"]),
-        F.when(part["status"].isNotNull(), level_from_http_status(part["status"])),
-    ))
+    timed = with_datetime(records, "_ts_text", default_tz).withColumns({
+        "ts": F.coalesce(F.col("time_ts"), millis_to_ts(F.col("_millis"))),
+        "_word": F.lower(trim_space(F.col("_level_word"))), "_low": F.lower(F.col("_level_content")),
+    })
+    has_ts = F.col("ts").isNotNull()
+    level = F.coalesce(
+        level_of_word(F.col("_word")), level_in_text(F.col("_low")),
+        F.when(F.col("_status").isNotNull(), level_from_http_status(F.col("_status"))),
+    )
     return timed.select(
         *kept,
         "ts",
-        F.coalesce(F.when(has_ts | part["keep_ts_raw"], part["ts_raw"]), F.lit("")).alias("ts_raw"),
-        F.when(has_ts & part["millis"].isNotNull(), "Z").otherwise(F.col("_time.tz_offset")).alias("tz_offset"),
-        F.col("_time.tz_inferred").alias("tz_inferred"),
+        F.coalesce(F.when(has_ts | F.col("_keep_ts_raw"), F.col("_ts_raw")), F.lit("")).alias("ts_raw"),
+        F.when(has_ts & F.col("_millis").isNotNull(), "Z").otherwise(F.coalesce("time_offset", F.lit(""))).alias("tz_offset"),
+        F.coalesce("time_inferred", F.lit(False)).alias("tz_inferred"),
         level.alias("level"),
-        text(part["component"]).alias("component"),
-        text(part["message"]).alias("message"),
-        F.coalesce(part["attrs"], F.create_map().cast("map<string,string>")).alias("attrs"),
+        text(F.col("_component")).alias("component"),
+        text(F.col("_message")).alias("message"),
+        F.coalesce("_attrs", F.create_map().cast("map<string,string>")).alias("attrs"),
     )
 
 
-def attr_map(**values: Column) -> Column:
-    return F.create_map(*[x for name, value in values.items() for x in (F.lit(name), value)])
+# What ``parse_batch`` may return. ``ts`` is a time in UTC; or ``ts_text`` a text in a known
+# layout; ``level`` is a severity word; ``attrs`` holds dicts of texts.
+BATCH_COLUMNS = {
+    "ts": "timestamp_ntz", "ts_text": "string", "ts_raw": "string", "level": "string", "component": "string", "message": "string",
+    "attrs": "map<string,string>",
+}
 
 
-def _lines(raw: Column) -> Column:
-    return F.split(raw, "\n")
+def parse_batches(records: DataFrame, spec: FormatSpec, default_tz: str) -> DataFrame:
+    """Records of a format whose parser is a function over batches, with FIELD_NAMES.
+
+    Only the raw record goes to the function and back with its fields beside the other
+    columns, so one Arrow pass does it. What it leaves out is NULL; a time given as text is
+    read as in any other format.
+    """
+    kept = [f for f in records.schema.fields if f.name not in FIELD_NAMES]
+    names = [f.name for f in kept]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`_b_{n}` {t}" for n, t in BATCH_COLUMNS.items()])
+    parse = spec.parse_batch
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = parse(batch["raw_line"], default_tz).reset_index(drop=True)
+            if len(made) != len(batch):
+                raise ValueError(f"the parser of {spec.name} returned {len(made)} rows for {len(batch)} records")
+            columns = {f"_b_{n}": made[n] if n in made else pd.Series([None] * len(made), dtype=object) for n in BATCH_COLUMNS}
+            yield pd.concat([batch[names].reset_index(drop=True), pd.DataFrame(columns)], axis=1)
+
+    parsed = records.select(*names).mapInPandas(run, schema)
+    given = F.col("_b_ts").isNotNull()
+    found = with_datetime(parsed, "_b_ts_text", default_tz)
+    raw_ts = F.coalesce(F.col("_b_ts_raw"), F.col("_b_ts_text"), F.lit(""))
+    nothing = F.lit("")
+    return found.select(
+        *names,
+        F.coalesce("_b_ts", "time_ts").alias("ts"), raw_ts.alias("ts_raw"),
+        F.when(given, "Z").otherwise(F.coalesce("time_offset", nothing)).alias("tz_offset"),
+        (~given & F.coalesce("time_inferred", F.lit(False))).alias("tz_inferred"),
+        level_of_word(F.lower(trim_space(F.col("_b_level")))).alias("level"),
+        F.nullif("_b_component", nothing).alias("component"), F.nullif("_b_message", nothing).alias("message"),
+        F.coalesce("_b_attrs", F.create_map().cast("map<string,string>")).alias("attrs"),
+    )
 
 
-def _with_extra(message: Column, lines: Column) -> Column:
-    """The head's message followed by the record's other lines."""
-    extra = F.array_join(F.slice(lines, 2, F.size(lines)), "\n")
-    joined = F.when(message != "", F.concat(message, F.lit("\n"), extra)).otherwise(extra)
-    return F.when(F.size(lines) > 1, joined).otherwise(message)
+def attr_map(**values: Column) -> Column:
+    return F.create_map(*[x for name, value in values.items() for x in (F.lit(name), value)])
 
 
 def groups(head: Column, pattern: str, count: int) -> Column:
@@ -180,26 +312,27 @@ def groups(head: Column, pattern: str, count: int) -> Column:
     return F.split(F.regexp_replace(head, rf"(?s)^(?:{pattern})\z", replacement), "\n")
 
 
-def _plain(raw: Column) -> Column:
-    """A record without a head: its text is the message, nothing else is known."""
-    return parts(message=trim_space(raw))
-
+def _headed(r: Record, **values: Column) -> dict[str, Column]:
+    """Parts of a record with a head; without one its text is the message and nothing else is known."""
+    known = r.groups.isNotNull()
+    out = {name: F.when(known, value) for name, value in values.items() if name != "message"}
+    return {**out, "message": F.when(known, values["message"]).otherwise(trim_space(r.raw))}
 
-def _unmatched(lines: Column) -> Column:
-    """A record whose head is not as expected: only the lines after it are kept as message."""
-    return parts(message=_with_extra(F.lit(""), lines))
 
+def _matched(r: Record, count: int, **values: Column) -> dict[str, Column]:
+    """The same where the head may not be as expected: then only the lines after it are the message."""
+    full = F.size(r.groups) == count
+    out = {name: F.when(full, value) for name, value in values.items() if name != "message"}
+    message = F.when(r.groups.isNull(), trim_space(r.raw)).when(full, r.with_rest(values["message"])).otherwise(r.rest)
+    return {**out, "message": message}
 
-def oracle_fields(raw: Column) -> Column:
-    def record(lines):
-        body = F.filter(F.transform(F.slice(lines, 2, F.size(lines)), trim_space), lambda s: s != "")
-        head = trim_space(lines[0])
-        return parts(
-            ts_raw=head, ts_text=head, keep_ts_raw=F.lit(True), level_content=raw,
-            message=F.coalesce(F.get(body, 0), head),
-        )
 
-    return F.when(ORACLE.is_head(F.substring_index(raw, "\n", 1)), let(_lines(raw), record)).otherwise(_plain(raw))
+def oracle_parts(r: Record) -> dict[str, Column]:
+    body = trim_space(F.substring_index(trim_space(r.rest), "\n", 1))
+    return _headed(
+        r, ts_raw=r.head, ts_text=r.head, keep_ts_raw=F.lit(True), level_content=r.raw,
+        message=F.coalesce(F.nullif(body, F.lit("")), r.head),
+    )
 
 
 def _inside(head: Column, prefix: str) -> Column:
@@ -208,121 +341,92 @@ def _inside(head: Column, prefix: str) -> Column:
     return F.substr(head, F.lit(len(prefix) + 1), size - F.when(head.endswith(">"), 1).otherwise(0))
 
 
-def _split_fields(inner: Column) -> Column:
+def weblogic_groups(r: Record) -> Column:
     """Fields between ``> <``; a head holds no line feed, so that can stand for it."""
-    return F.split(F.replace(inner, F.lit("> <"), F.lit("\n")), "\n")
-
-
-def weblogic_fields(raw: Column) -> Column:
-    def record(lines):
-        inner = _inside(trim_space(lines[0]), "####<")
-        return let(F.struct(lines.alias("lines"), inner.alias("inner")), lambda s: let(
-            F.struct(s["lines"].alias("lines"), _split_fields(s["inner"]).alias("f"), s["inner"].alias("inner")), split_head
-        ))
-
-    def split_head(s):
-        f, n = s["f"], F.size(s["f"])
-        last3 = F.array(F.get(f, n - 3), F.get(f, n - 2), F.get(f, n - 1))
-        regular = trim_space(F.get(f, n - 3)).rlike(r"^[+-]?\d+\z")
-        # a message with the separator in it: look for the time and code in front of it
-        found = groups(s["inner"], r".*?> <(\d+)> <([^<>\[\]]*)> <(.*)", 3)
-        tail = F.when((n < 3) | regular, last3).when(F.size(found) == 3, found).otherwise(last3)
-        return let(F.struct(s["lines"].alias("lines"), f.alias("f"), tail.alias("tail")), finish)
-
-    def finish(s):
-        f, n, tail = s["f"], F.size(s["f"]), s["tail"]
-        located = attr_map(machine=F.get(f, 3), server=F.get(f, 4), thread=F.get(f, 5))
-        coded = attr_map(millis=tail[0], code=tail[1])
-        attrs = F.when(n >= 6, F.map_concat(located, coded)).when(n >= 3, coded)
-        return parts(
-            ts_raw=f[0], keep_ts_raw=F.lit(True),
-            millis=F.when(n >= 3, trim_space(tail[0]).try_cast("bigint")),
-            level_word=F.get(f, 1), component=F.when(n >= 3, F.get(f, 2)),
-            message=_with_extra(trim_space(tail[2]), s["lines"]), attrs=attrs,
-        )
-
-    return F.when(WEBLOGIC.is_head(raw), let(_lines(raw), record)).otherwise(_plain(raw))
-
-
-def wls_stdout_fields(raw: Column) -> Column:
-    def record(lines):
-        inner = _inside(trim_space(lines[0]), "<")
-        return let(F.struct(lines.alias("lines"), F.split(inner, "> <", 4).alias("f")), finish)
-
-    def finish(s):
-        f = s["f"]
-        moment = trim_space(f[0])
-        return parts(
-            ts_raw=moment, ts_text=moment, keep_ts_raw=F.lit(True),
-            level_word=F.get(f, 1), component=F.get(f, 2),
-            message=_with_extra(F.coalesce(trim_space(F.get(f, 3)), F.lit("")), s["lines"]),
-        )
-
-    return F.when(WLS_STDOUT.is_head(raw), let(_lines(raw), record)).otherwise(_plain(raw))
-
-
-def _grouped(spec: FormatSpec, raw: Column, pattern: str, count: int, finish) -> Column:
-    """Take the head apart with one pattern and hand (groups, lines) to ``finish``."""
-    def record(lines):
-        found = groups(trim_space(lines[0]), pattern, count)
-        return let(F.struct(lines.alias("lines"), found.alias("g")), lambda s: F.when(
-            F.size(s["g"]) == count, finish(s["g"], s["lines"])
-        ).otherwise(_unmatched(s["lines"])))
-
-    return F.when(spec.is_head(raw), let(_lines(raw), record)).otherwise(_plain(raw))
-
-
-def java_fields(raw: Column) -> Column:
-    return _grouped(JAVA, raw, JAVA_FIELDS, 5, lambda g, lines: parts(
-        ts_raw=g[0], ts_text=g[0], keep_ts_raw=F.lit(True), level_word=g[1],
-        attrs=F.when(g[2] != "", attr_map(thread=g[2])), component=g[3],
-        message=_with_extra(trim_space(g[4]), lines),
-    ))
+    return F.split(F.replace(_inside(r.head, "####<"), F.lit("> <"), F.lit("\n")), "\n")
+
+
+def weblogic_tail(r: Record) -> Column:
+    """Time, code and message; a message with the separator in it is found by the time and code before it."""
+    n = F.size(r.groups)
+    last3 = F.slice(r.groups, F.greatest(n - 2, F.lit(1)), F.lit(3))
+    regular = (n < 3) | trim_space(F.get(r.groups, n - 3)).rlike(r"^[+-]?\d+\z")
+    shifted = _inside(r.head, "####<").rlike(rf"(?s)^(?:{WEBLOGIC_TAIL})\z")
+    return F.when(regular | ~shifted, last3).otherwise(groups(_inside(r.head, "####<"), WEBLOGIC_TAIL, 3))
+
+
+def weblogic_parts(r: Record) -> dict[str, Column]:
+    n, k = F.size(r.groups), F.size(r.more)
+    tail = [F.get(r.more, k - 3 + i) for i in range(3)]
+    located = attr_map(machine=r.group(3), server=r.group(4), thread=r.group(5))
+    coded = attr_map(millis=tail[0], code=tail[1])
+    return _headed(
+        r, ts_raw=r.group(0), keep_ts_raw=F.lit(True), millis=F.when(n >= 3, trim_space(tail[0]).try_cast("bigint")),
+        level_word=r.group(1), component=F.when(n >= 3, r.group(2)), message=r.with_rest(trim_space(tail[2])),
+        attrs=F.when(n >= 6, F.map_concat(located, coded)).when(n >= 3, coded),
+    )
 
 
-def access_fields(raw: Column) -> Column:
-    return let(groups(trim_space(raw), ACCESS_FIELDS, 7), lambda g: F.when(F.size(g) == 7, parts(
-        ts_raw=trim_space(g[1]), ts_text=g[1], keep_ts_raw=F.lit(True),
-        status=F.coalesce(g[5].try_cast("bigint"), F.lit(0)),
-        component=F.concat_ws(" ", g[2], g[3]), message=F.concat_ws(" ", g[2], g[3], g[4]),
-        attrs=attr_map(
-            host=g[0], method=g[2], path=g[3], proto=g[4],
-            status=F.coalesce(g[5].try_cast("bigint"), F.lit(0)).cast("string"), size=g[6],
-        ),
-    )).otherwise(_plain(raw)))
+def wls_stdout_parts(r: Record) -> dict[str, Column]:
+    moment = trim_space(r.group(0))
+    return _headed(
+        r, ts_raw=moment, ts_text=moment, keep_ts_raw=F.lit(True), level_word=r.group(1), component=r.group(2),
+        message=r.with_rest(F.coalesce(trim_space(r.group(3)), F.lit(""))),
+    )
 
 
-def odl_fields(raw: Column) -> Column:
-    return _grouped(ODL, raw, ODL_FIELDS, 8, lambda g, lines: parts(
-        ts_raw=trim_space(g[0]), ts_text=g[0], keep_ts_raw=F.lit(True), component=g[1], level_word=g[2],
-        attrs=attr_map(module=g[3], tid=g[4], userId=g[5], ecid=g[6]),
-        message=_with_extra(trim_space(g[7]), lines),
-    ))
+def java_parts(r: Record) -> dict[str, Column]:
+    thread = r.group(2)
+    return _matched(
+        r, 5, ts_raw=r.group(0), ts_text=r.group(0), keep_ts_raw=F.lit(True), level_word=r.group(1),
+        attrs=F.when(thread != "", attr_map(thread=thread)), component=r.group(3), message=trim_space(r.group(4)),
+    )
 
 
-def text_fields(raw: Column) -> Column:
-    def record(s):
-        return let(first_date(s), lambda date: parts(
-            ts_raw=date, ts_text=date, keep_ts_raw=F.lit(False), level_content=s, message=s,
-        ))
+def access_parts(r: Record) -> dict[str, Column]:
+    g = [r.group(i) for i in range(7)]
+    full = F.size(r.groups) == 7
+    status = F.coalesce(g[5].try_cast("bigint"), F.lit(0))
+    found = dict(
+        ts_raw=trim_space(g[1]), ts_text=g[1], keep_ts_raw=F.lit(True), status=status, component=F.concat_ws(" ", g[2], g[3]),
+        attrs=attr_map(host=g[0], method=g[2], path=g[3], proto=g[4], status=status.cast("string"), size=g[6]),
+    )
+    message = F.when(full, F.concat_ws(" ", g[2], g[3], g[4])).otherwise(trim_space(r.raw))
+    return {**{name: F.when(full, value) for name, value in found.items()}, "message": message}
 
-    return let(trim_space(raw), record)
+
+def odl_parts(r: Record) -> dict[str, Column]:
+    return _matched(
+        r, 8, ts_raw=trim_space(r.group(0)), ts_text=r.group(0), keep_ts_raw=F.lit(True), component=r.group(1), level_word=r.group(2),
+        attrs=attr_map(module=r.group(3), tid=r.group(4), userId=r.group(5), ecid=r.group(6)), message=trim_space(r.group(7)),
+    )
+
+
+def text_parts(r: Record) -> dict[str, Column]:
+    """``groups`` holds the trimmed text, ``more`` the date in it."""
+    date = F.get(r.more, F.lit(0))
+    return dict(ts_raw=date, ts_text=date, keep_ts_raw=F.lit(False), level_content=r.group(0), message=r.group(0))
 
 
 # ---- registry ----------------------------------------------------------------
 
-ORACLE = FormatSpec("oracle", oracle_fields, head=ORACLE_HEAD, whole_line=True)
-WEBLOGIC = FormatSpec("weblogic", weblogic_fields, head=WEBLOGIC_HEAD)
-WLS_STDOUT = FormatSpec("wls_stdout", wls_stdout_fields, head=WLS_STDOUT_HEAD)
-JAVA = FormatSpec("java", java_fields, head=JAVA_HEAD, continuation=JAVA_CONTINUATION)
-ACCESS = FormatSpec("access", access_fields, head=ACCESS_HEAD, multiline=False, keep_blank=True)
-ODL = FormatSpec("odl", odl_fields, head=ODL_HEAD)
-TEXT = FormatSpec("text", text_fields, detects=False)
+ORACLE = FormatSpec("oracle", head=ORACLE_HEAD, whole_line=True, groups=lambda r: F.array(r.head), take=oracle_parts)
+WEBLOGIC = FormatSpec("weblogic", head=WEBLOGIC_HEAD, groups=weblogic_groups, more=weblogic_tail, take=weblogic_parts)
+WLS_STDOUT = FormatSpec(
+    "wls_stdout", head=WLS_STDOUT_HEAD, groups=lambda r: F.split(_inside(r.head, "<"), "> <", 4), take=wls_stdout_parts)
+JAVA = FormatSpec(
+    "java", head=JAVA_HEAD, continuation=JAVA_CONTINUATION, groups=lambda r: groups(r.head, JAVA_FIELDS, 5), take=java_parts)
+ACCESS = FormatSpec(
+    "access", head=ACCESS_HEAD, multiline=False, keep_blank=True, groups=lambda r: groups(trim_space(r.raw), ACCESS_FIELDS, 7),
+    take=access_parts)
+ODL = FormatSpec("odl", head=ODL_HEAD, groups=lambda r: groups(r.head, ODL_FIELDS, 8), take=odl_parts)
+TEXT = FormatSpec(
+    "text", detects=False, groups=lambda r: F.array(trim_space(r.raw)), more=lambda r: F.array(first_date(r.group(0))), take=text_parts)
 
+BUILTIN_FORMATS = (ORACLE, WEBLOGIC, WLS_STDOUT, JAVA, ACCESS, ODL, TEXT)
 # Order in which formats are tried; any other name ranks 50.
 DETECTION_ORDER = {"oracle": 0, "weblogic": 1, "wls_stdout": 2, "java": 3, "access": 4, "odl": 5, "text": 100}
 
-BUILTIN_FORMATS = (ORACLE, WEBLOGIC, WLS_STDOUT, JAVA, ACCESS, ODL, TEXT)
 _FORMATS: dict[str, FormatSpec] = {spec.name: spec for spec in BUILTIN_FORMATS}
 
 

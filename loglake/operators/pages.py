@@ -67,10 +67,11 @@ def search(
     *,
     limit: int | None = None,
     offset: int | None = None,
+    cap: int | None = PAGE_CAP,
     **filters,
 ) -> DataFrame:
-    """Matching entries of an upload ordered by file and record."""
-    limit, offset = page_bounds(limit, offset)
+    """Matching entries of an upload ordered by file and record; ``cap`` as in ``correlate``."""
+    limit, offset = page_bounds(limit, offset, cap)
     hits = scope(entries, files, upload_id, filters.get("files")).where(entry_filter(**filters))
     return cut(hits.select(*ENTRY_COLUMNS).orderBy("file_id", "seq"), limit, offset)
 
@@ -107,6 +108,7 @@ def correlate(
     limit: int | None = None,
     offset: int | None = None,
     after: tuple | None = None,
+    cap: int | None = PAGE_CAP,
     **filters,
 ) -> Page:
     """One time-ordered stream over the selected files.
@@ -114,21 +116,17 @@ def correlate(
     ``after=(ts, seq, file_id)`` continues behind a known row without skipping over
     all rows before it: use it instead of ``offset`` for deep pages.
 
-    The page is cut on (ts, seq, file_id) alone; its rows, at most ``PAGE_CAP``, are then
-    broadcast to fetch the other columns, so wide columns of other rows never move.
+    The entries are scanned once: a semi-join with the file ids keeps what belongs to
+    known files, each task sends on at most the rows of the page, and names are joined to
+    the page alone. ``cap`` bounds the page; ``None`` gives as many rows as asked for.
     """
-    limit, offset = page_bounds(limit, offset)
+    limit, offset = page_bounds(limit, offset, cap)
     hits, names = _correlated(entries, files, upload_id, filters)
-    known = hits.select("ts", "seq", "file_id").join(names.select("file_id"), "file_id", "left_semi")
+    known = hits.join(names.select("file_id"), "file_id", "left_semi").select(*ENTRY_COLUMNS)
     order = [F.col("ts").asc_nulls_last(), "seq", "file_id"]
-    rest = known.where(after_key(*after)) if after else known
-    if 0 <= limit <= PAGE_CAP:
-        page = cut(rest.orderBy(*order), limit, offset).select("file_id", "seq")
-        found = hits.join(F.broadcast(page), ["file_id", "seq"]).join(names, "file_id").select(*ENTRY_COLUMNS, "filename").orderBy(*order)
-    else:
-        named = hits.join(names, "file_id").select(*ENTRY_COLUMNS, "filename")
-        found = cut((named.where(after_key(*after)) if after else named).orderBy(*order), limit, offset)
-    return Page(found, count_rows(known), limit, offset)
+    page = cut((known.where(after_key(*after)) if after else known).orderBy(*order), limit, offset)
+    items = page.join(names, "file_id").select(*ENTRY_COLUMNS, "filename").orderBy(*order)
+    return Page(items, count_rows(known), limit, offset)
 
 
 def file_entries(
@@ -141,9 +139,10 @@ def file_entries(
     ts_from=None,
     ts_to=None,
     q: str | None = None,
+    cap: int | None = PAGE_CAP,
 ) -> Page:
     """Entries of one file in record order; text is looked for in three fields."""
-    limit, offset = page_bounds(limit, offset)
+    limit, offset = page_bounds(limit, offset, cap)
     hits = entries.where(
         entry_filter(files=[file_id], level=level, ts_from=ts_from, ts_to=ts_to, q=q, fields="file")
     ).select(*ENTRY_COLUMNS)

@@ -8,20 +8,25 @@ from __future__ import annotations
 
 import io
 import json
+import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loglake.functions.levels import level_by_content, level_from_http_status, normalize_level
 from loglake.functions.text import SPACE_CODES, attr, contains_like, decode_json, encode_json, json_attr, regexp_match, tokenize
 from loglake.functions.times import parse_datetime, time_bucket
 from loglake.operators import aggregates, assembly, intake, pages, summaries, views
-from loglake.operators.formats import FormatSpec
+from loglake.operators.formats import FormatSpec, register_format, unregister_format
 from loglake.operators.predicates import entry_filter
+from loglake.plans import catalog
+from loglake.session import ensure_checkpoint_dir, ship_package
 from loglake.sources import tables as T
 from loglake.sources.archives import expand_archives
-from loglake.sources.encodings import decode_text, detect_encoding
+from loglake.sources.encodings import SINGLE_BYTE, decode_text, detect_encoding
 from loglake.sources.files import is_zip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -480,6 +485,12 @@ def sessions_events(spark, folder):
     return summaries.sessions(T.entries_from_events(spark, folder), EVENT_MARKERS)
 
 
+@register("sessions_marker_table", f"WITH {ENTRIES_SQL}, {_SESSIONS_SQL} SELECT *, 'start-stop' AS note FROM spans")
+def sessions_marker_table(spark, folder):
+    """The same markers as a rule table, joined to the entries."""
+    return summaries.sessions(T.entries_from_events(spark, folder), summaries.marker_table(spark, EVENT_MARKERS))
+
+
 @register(
     "session_stats",
     f"WITH {ENTRIES_SQL}, {_SESSIONS_SQL} SELECT file_id, count(*) AS session_count, CAST(sum(duration_sec) AS BIGINT) AS total_sec, "
@@ -830,6 +841,85 @@ def decode_latin1(spark, folder):
     return named.select("doc_id", decode_text(F.col("content"), F.col("encoding")).alias("text"))
 
 
+_LATIN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопчрстувшьюя"
+_TWO_CASES = (_LATIN + _LATIN.upper(), _CYRILLIC + _CYRILLIC.upper())
+
+
+@register(
+    "decode_cyrillic",
+    f"""SELECT doc_id, e.encoding, CASE WHEN regexp_matches(text, '[A-Za-z]') THEN e.encoding ELSE 'UTF-8' END AS detected,
+    translate(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), '{_TWO_CASES[0]}', '{_TWO_CASES[1]}') AS text
+    FROM documents, (VALUES ('Windows-1251'), ('ISO-8859-5')) AS e(encoding)""",
+)
+def decode_cyrillic(spark, folder):
+    """Documents in Cyrillic letters, written in two single-byte encodings, detected and decoded again."""
+    ascii_text = F.regexp_replace("text", r"[^\x{00}-\x{7F}]", "")
+    written = []
+    for name in ("Windows-1251", "ISO-8859-5"):
+        high = _TWO_CASES[1].encode(SINGLE_BYTE[name]).decode("latin-1")
+        content = F.encode(F.translate(ascii_text, _TWO_CASES[0], high), "ISO-8859-1")
+        written.append(T.table(spark, folder, "documents").select("doc_id", F.lit(name).alias("encoding"), content.alias("content")))
+    named = written[0].unionByName(written[1]).withColumn("detected", detect_encoding(F.col("content")))
+    return named.select("doc_id", "encoding", "detected", decode_text(F.col("content"), F.col("detected")).alias("text"))
+
+
+def _text_files(spark, folder):
+    """Each document as a file of its own; the folder that holds them, on storage all executors reach."""
+    root = f"{ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix='run-'))}/{uuid.uuid4().hex}"
+    T.table(spark, folder, "documents").select("doc_id", "text").write.option("lineSep", "\n").partitionBy("doc_id").text(f"{root}/in")
+    return root
+
+
+@register(
+    "ingest_documents",
+    f"""WITH distinct_texts AS (SELECT DISTINCT text FROM documents),
+    lines AS (SELECT md5(text || chr(10)) AS md5, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n
+              FROM distinct_texts),
+    clean AS (SELECT md5, n, rtrim(line, chr(13)) AS line FROM lines)
+    SELECT md5, row_number() OVER (PARTITION BY md5 ORDER BY n) AS seq, {trimmed('line')} AS message, {_CONTENT_SQL.format('line')} AS level
+    FROM clean WHERE {trimmed('line')} <> ''""",
+)
+def ingest_documents(spark, folder):
+    """Documents written as files, ingested, and read from the catalogue; copies are refused as duplicates."""
+    root = _text_files(spark, folder)
+    catalog.ingest(spark, f"{root}/in", f"{root}/catalog", "b1")
+    stored = catalog.Catalog(spark, f"{root}/catalog")
+    keys = stored.files().select(F.col("id").alias("file_id"), "md5")
+    return stored.entries().join(keys, "file_id").select("md5", "seq", "message", "level")
+
+
+def _semicolon_batch(raw, default_tz):
+    """A format no Column takes apart: key=value texts in any order."""
+    rows = [dict(item.split("=", 1) for item in line[3:].split(";")) for line in raw]
+    return pd.DataFrame({
+        "ts_text": [r.pop("at") for r in rows], "level": [r.pop("sev") for r in rows], "component": [r.pop("who") for r in rows],
+        "message": [" ".join(sorted(r.values())) for r in rows], "attrs": rows,
+    })
+
+
+@register(
+    "custom_format",
+    f"""WITH {ENTRIES_SQL} SELECT event_id, date_trunc('milliseconds', ts) AS ts, 'Z' AS tz_offset,
+    CASE event_type WHEN 'error' THEN 'critical' ELSE 'info' END AS level, 'p' || CAST(user_id AS VARCHAR) AS component,
+    least('a' || CAST(event_id AS VARCHAR), event_type) || ' ' || greatest('a' || CAST(event_id AS VARCHAR), event_type) AS message,
+    event_type AS kind FROM entries""",
+)
+def custom_format(spark, folder):
+    """Records of a registered format with a parser over Arrow batches."""
+    ship_package(spark)
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'+00:00'")
+    raw = F.concat(
+        F.lit("kv "), F.lit("kind="), "event_type", F.lit(";who=p"), "user_id", F.lit(";at="), at, F.lit(";id=a"), "event_id", F.lit(";sev="),
+        F.when(F.col("event_type") == "error", "FATAL").otherwise("notice"))
+    records = T.table(spark, folder, "events").select("event_id", F.lit("kv").alias("format"), raw.alias("raw_line"))
+    register_format(FormatSpec("kv", head="kv ", parse_batch=_semicolon_batch))
+    try:
+        parsed = assembly.parse_records(records)
+    finally:
+        unregister_format("kv")
+    return parsed.select("event_id", "ts", "tz_offset", "level", "component", "message", attr(F.col("attrs"), "kind").alias("kind"))
+
+
 def _zipped(batches):
     """Each text as an archive of its own with one log and one other member."""
     for batch in batches:
@@ -849,7 +939,8 @@ def _zipped(batches):
 )
 def zip_members(spark, folder):
     archives = T.table(spark, folder, "documents").select("doc_id", "text").mapInPandas(_zipped, "doc_id bigint, content binary")
-    members = expand_archives(archives)
+    archives = archives.select(F.col("doc_id").cast("string").alias("key"), "content")
+    members = expand_archives(archives, "key").withColumn("doc_id", F.col("key").cast("bigint"))
     text = decode_text(F.col("content"), detect_encoding(F.col("content")))
     return members.select("doc_id", "path_in_archive", "member_name", text.alias("text"))
 

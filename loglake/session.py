@@ -19,6 +19,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # the JVM never compiles a method of over 8000 bytes: such stages run faster in parts
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # large expressions are built in Python: do not record a call site for each part
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -39,6 +41,17 @@ def build_session(app_name: str = "loglake", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def compile_in_parts(spark: SparkSession) -> None:
+    """Let big projections be generated as several methods in a session that ``build_session`` did not make.
+
+    Parsing all formats is one long expression. As a single generated method it is over the
+    size the JVM compiles and would be interpreted, at half the speed; results are the same.
+    """
+    name = "spark.sql.codegen.hugeMethodLimit"
+    if int(spark.conf.get(name)) > int(DEFAULT_CONF[name]):
+        spark.conf.set(name, DEFAULT_CONF[name])
+
+
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder the cluster names.
 

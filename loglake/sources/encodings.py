@@ -16,8 +16,8 @@ SINGLE_BYTE = {
     "ISO-8859-5": "iso8859-5",
 }
 
-# The most frequent Russian letters, which tell the Cyrillic encodings apart.
-FREQUENT_LETTERS = "оеаинтсрвл"
+# The most frequent Russian letters in both cases, which tell the Cyrillic encodings apart.
+FREQUENT_LETTERS = "оеаинтсрвлОЕАИНТСРВЛ"
 
 _HIGH = "".join(chr(code) for code in range(0x80, 0x100))
 
@@ -32,6 +32,9 @@ def _letters_as_bytes(codec: str) -> str:
     return "".join(chr(b) for b in FREQUENT_LETTERS.encode(codec))
 
 
+# Frequent letters that a break outweighs.
+BREAK_WEIGHT = 3
+
 # What is counted of bytes read as ISO-8859-1. No pattern reaches over a line feed, so the
 # counts of a content are the sums of those of its lines.
 BYTE_COUNTS = {
@@ -41,6 +44,9 @@ BYTE_COUNTS = {
     "mixed_pairs": r"[A-Za-z][\x{C0}-\x{FF}]|[\x{C0}-\x{FF}][A-Za-z]",
     "cp1251_letters": "[" + _letters_as_bytes("cp1251") + "]",
     "iso5_letters": "[" + _letters_as_bytes("iso8859-5") + "]",
+    # a capital right after a small letter, as the wrong one of the two shows them
+    "cp1251_breaks": r"[\x{E0}-\x{FF}](?=[\x{C0}-\x{DF}])",
+    "iso5_breaks": r"[\x{D0}-\x{EF}](?=[\x{B0}-\x{CF}])",
     # printed by Windows-1252 alone
     "controls": r"[\x{80}-\x{9F}]",
 }
@@ -67,7 +73,8 @@ def encoding_of(counts: dict[str, Column]) -> Column:
     A content without a part that is no UTF-8, an empty one included, is UTF-8. Otherwise words
     of high bytes only mean Cyrillic, high bytes next to ASCII letters a western encoding.
     """
-    cyrillic = F.when(counts["cp1251_letters"] >= counts["iso5_letters"], "Windows-1251").otherwise("ISO-8859-5")
+    likely = {name: counts[f"{name}_letters"] - BREAK_WEIGHT * counts[f"{name}_breaks"] for name in ("cp1251", "iso5")}
+    cyrillic = F.when(likely["cp1251"] >= likely["iso5"], "Windows-1251").otherwise("ISO-8859-5")
     western = F.when(counts["controls"] > 0, "Windows-1252").otherwise("ISO-8859-1")
     guess = F.when(counts["high_words"] > counts["mixed_pairs"], cyrillic).otherwise(western)
     return F.when(counts["broken"] == 0, UTF8).otherwise(guess)

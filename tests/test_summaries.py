@@ -43,6 +43,14 @@ def test_base_summary(three):
     assert {(r.file_id, r.level): r["count"] for r in level_counts(three).collect()}[("g", "unknown")] == 1
 
 
+def test_durations_know_no_clock_change(spark):
+    """The session zone puts its clock forward between these times, which are in UTC."""
+    early, late = datetime(2018, 3, 10, 20, 0, 0, 500000), datetime(2018, 3, 12, 3)
+    rows = [entry("f", 1, early, None, "Server state changed to STARTING"), entry("f", 2, late, None, "Server state changed to FAILED")]
+    entries = spark.createDataFrame(rows, ENTRIES)
+    assert base_summary(entries).first().duration_sec == sessions(entries).first().duration_sec == 31 * 3600 - 1
+
+
 def test_one_session(three):
     found = sessions(three).collect()
     assert [(r.file_id, r.duration_sec, r.note) for r in found] == [("f", 3600, "start-stop")]
