@@ -95,6 +95,17 @@ def shingle_hashes(words: np.ndarray, k: int = 5) -> np.ndarray:
     return mix(total)
 
 
+#: Bytes of a batch between the JVM and a Python worker where many steps share the workers.
+BATCH_BYTES = 8 << 20
+
+
+def ready(spark: SparkSession) -> None:
+    """Send the package to the workers and keep batches of texts small; results don't depend on batches."""
+    ship_package(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, str(BATCH_BYTES))
+
+
 #: Characters of text that a task works on at a time.
 SLICE = 8 << 20
 
@@ -102,7 +113,7 @@ SLICE = 8 << 20
 def slices(batches: Iterator[pd.DataFrame], column: str = "text", size: int = SLICE) -> Iterator[pd.DataFrame]:
     """The rows of the batches in parts of about ``size`` characters, so what is made of them stays small."""
     for batch in batches:
-        ends = np.cumsum(batch[column].str.len().fillna(0).to_numpy(np.int64) + 1)
+        ends = np.cumsum([len(text or "") + 1 for text in batch[column]])
         cuts = np.unique(np.searchsorted(ends, np.arange(size, ends[-1] if len(ends) else 0, size)) + 1)
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
             if b > a:

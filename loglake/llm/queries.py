@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loglake.llm import (
     decontamination, hard_negatives, jaccard, language, line_dedup, pii, quality, ranked_search, secrets, sharding, tokens, toxicity,
 )
-from loglake.llm.common import documents
+from loglake.llm.common import documents, ready
 from loglake.llm.packing import pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,7 @@ def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op7_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    ready(spark)
     return jaccard.join(documents(spark, folder, "doc_id", "text"))
 
 
