@@ -14,33 +14,33 @@ from pyspark.sql import functions as F
 
 from loglake.llm import decontamination as bench
 from loglake.llm import jaccard, secrets, toxicity
-from loglake.llm.common import saved
+from loglake.llm.common import ready, saved
 from loglake.llm.packing import pack
-from loglake.session import ship_package
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The documents whose toxicity score is under the threshold."""
-    ship_package(spark)
+    ready(spark)
     lexicon = toxicity.learn(docs, spark.read.parquet(f"{folder}/labels.parquet"))
     return docs.filter(toxicity.toxicity(lexicon)(F.col("text")) < toxicity.THRESHOLD)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates, and all rows without an id."""
-    ship_package(spark)
+    ready(spark)
     others = jaccard.join(docs).filter("doc_id != component_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The documents without a passage of the benchmark."""
-    ship_package(spark)
+    ready(spark)
     return bench.clean(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """All documents, secrets in their texts replaced."""
+    ready(spark)
     redacted = secrets.redact(docs)
     if "n_chars" not in docs.columns:
         return redacted
@@ -49,7 +49,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 
 def packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Pieces of documents in sequences of at most 4096 tokens."""
-    ship_package(spark)
+    ready(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
