@@ -14,7 +14,7 @@ import zipfile
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loglake.functions.levels import level_by_content, level_from_http_status, normalize_level
 from loglake.functions.text import SPACE_CODES, attr, contains_like, decode_json, encode_json, json_attr, regexp_match, tokenize
@@ -28,6 +28,7 @@ from loglake.sources import tables as T
 from loglake.sources.archives import expand_archives
 from loglake.sources.encodings import SINGLE_BYTE, decode_text, detect_encoding
 from loglake.sources.files import is_zip
+from loglake.streaming.ingest import ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -227,27 +228,34 @@ def correlate_after(spark, folder):
     return page.items.select(*COLUMNS, "filename")
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """Rows of a short list with their place in the order they come out, for SQL to see the order."""
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
+
+
 @register(
     "uploads_sorted",
-    "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS filename, p_size AS size_bytes FROM part WHERE p_name ILIKE '%an%'",
+    "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS filename, p_size AS size_bytes, "
+    "row_number() OVER (ORDER BY p_size DESC, CAST(p_partkey AS VARCHAR))::INTEGER AS place FROM part WHERE p_name ILIKE '%an%'",
 )
 def uploads_sorted(spark, folder):
     uploads = T.table(spark, folder, "part").select(
         F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("filename"), F.col("p_size").alias("size_bytes")
     )
-    return pages.uploads_list(uploads, "size_bytes", "desc", filter_text="an")
+    return _placed(pages.uploads_list(uploads, "size_bytes", "desc", filter_text="an"))
 
 
 @register(
     "files_sorted",
-    "SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS filename, CAST(s_nationkey AS VARCHAR) AS upload_id FROM supplier",
+    "SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS filename, CAST(s_nationkey AS VARCHAR) AS upload_id, "
+    "row_number() OVER (ORDER BY s_name, CAST(s_suppkey AS VARCHAR))::INTEGER AS place FROM supplier",
 )
 def files_sorted(spark, folder):
     files = T.table(spark, folder, "supplier").select(
         F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("filename"),
         F.col("s_nationkey").cast("string").alias("upload_id"),
     )
-    return pages.files_list(files)
+    return _placed(pages.files_list(files))
 
 
 # ---- aggregates (G) ----------------------------------------------------------
@@ -870,22 +878,71 @@ def _text_files(spark, folder):
     return root
 
 
-@register(
-    "ingest_documents",
-    f"""WITH distinct_texts AS (SELECT DISTINCT text FROM documents),
+_STORED_SQL = f"""distinct_texts AS (SELECT DISTINCT text FROM documents),
     lines AS (SELECT md5(text || chr(10)) AS md5, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n
               FROM distinct_texts),
-    clean AS (SELECT md5, n, rtrim(line, chr(13)) AS line FROM lines)
-    SELECT md5, row_number() OVER (PARTITION BY md5 ORDER BY n) AS seq, {trimmed('line')} AS message, {_CONTENT_SQL.format('line')} AS level
-    FROM clean WHERE {trimmed('line')} <> ''""",
-)
+    stored AS (SELECT md5, row_number() OVER (PARTITION BY md5 ORDER BY n) AS seq, {trimmed('line')} AS message,
+               {_CONTENT_SQL.format('rtrim(line, chr(13))')} AS level FROM lines WHERE {trimmed('line')} <> '')"""
+
+
+def _stored_entries(stored: catalog.Catalog) -> DataFrame:
+    keys = stored.files().select(F.col("id").alias("file_id"), "md5")
+    return stored.entries().join(keys, "file_id").select("md5", "seq", "message", "level")
+
+
+@register("ingest_documents", f"WITH {_STORED_SQL} SELECT * FROM stored")
 def ingest_documents(spark, folder):
     """Documents written as files, ingested, and read from the catalogue; copies are refused as duplicates."""
     root = _text_files(spark, folder)
     catalog.ingest(spark, f"{root}/in", f"{root}/catalog", "b1")
+    return _stored_entries(catalog.Catalog(spark, f"{root}/catalog"))
+
+
+@register("ingest_stream_documents", f"WITH {_STORED_SQL} SELECT * FROM stored")
+def ingest_stream_documents(spark, folder):
+    """The same through a stream that admits some megabytes of files at a time."""
+    root = _text_files(spark, folder)
+    size = max(1 << 20, T.table(spark, folder, "documents").agg(F.sum(F.octet_length("text"))).first()[0] // 2)
+    ingest_stream(spark, f"{root}/in", f"{root}/catalog", f"{root}/check", bytes_per_trigger=size, available_now=True).awaitTermination()
+    return _stored_entries(catalog.Catalog(spark, f"{root}/catalog"))
+
+
+@register(
+    "ingest_report",
+    """WITH kept AS (SELECT text, count(*) AS copies FROM documents GROUP BY text)
+    SELECT md5(text || chr(10)) AS md5, copies, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS file_size, 'parsed' AS status, 'UTF-8' AS encoding,
+    copies - 1 AS refused FROM kept""",
+)
+def ingest_report(spark, folder):
+    """What the report of a batch and the rows of its files say of each content."""
+    root = _text_files(spark, folder)
+    report = catalog.ingest(spark, f"{root}/in", f"{root}/catalog", "b1")
+    by_key = report.groupBy("md5").agg(
+        F.count(F.lit(1)).alias("copies"), F.count(F.when((F.col("status") == "duplicate") & F.col("existing_upload_id").isNotNull(), 1)).alias("refused"))
+    files = catalog.Catalog(spark, f"{root}/catalog").files()
+    return files.join(by_key, "md5").select("md5", "copies", F.col("summary.file_size").alias("file_size"), "status", "encoding", "refused")
+
+
+@register(
+    "resummarize_documents",
+    f"""WITH {_STORED_SQL}, counted AS (SELECT md5, coalesce(level, 'unknown') AS level, count(*) AS n FROM stored GROUP BY ALL)
+    SELECT md5, CAST(sum(n) AS BIGINT) AS record_count, CAST(sum(n) AS BIGINT) AS total_records,
+    CAST(coalesce(sum(n) FILTER (WHERE level = 'unknown'), 0) AS BIGINT) AS unknown, 'seen again' AS note FROM counted GROUP BY md5""",
+)
+def resummarize_documents(spark, folder):
+    """Stored entries summarised again with a summariser that was not there when they were ingested."""
+    root = _text_files(spark, folder)
+    catalog.ingest(spark, f"{root}/in", f"{root}/catalog", "b1")
     stored = catalog.Catalog(spark, f"{root}/catalog")
-    keys = stored.files().select(F.col("id").alias("file_id"), "md5")
-    return stored.entries().join(keys, "file_id").select("md5", "seq", "message", "level")
+    summaries.register_summarizer("text", lambda entries: entries.select("file_id").distinct().withColumn(
+        "extras", F.create_map(F.lit("note"), F.lit("seen again"))))
+    try:
+        files = stored.resummarize("r1")
+    finally:
+        summaries.unregister_summarizer("text")
+    return files.where("record_count > 0").select(
+        "md5", "record_count", F.col("summary.total_records").alias("total_records"),
+        F.coalesce(F.col("summary.level_counts")["unknown"], F.lit(0)).alias("unknown"), F.col("summary.extras")["note"].alias("note"))
 
 
 def _semicolon_batch(raw, default_tz):
