@@ -7,12 +7,15 @@ unigram tokenizer of the tokenizers library does (``Metaspace``, one before the
 a text's count is the sum over its words, and a word is worked out once per worker.
 
 Tie rules are those of that tokenizer: of paths with equal scores the one whose last
-piece starts first wins; a character that no piece covers is an unknown piece with a score of
-the lowest score less 10, and neighbouring unknown characters are one piece.
+piece starts first wins; a character that no piece covers is unknown, with a score of the
+lowest score less 10. Unknown characters count as their UTF-8 bytes where the file has a piece for
+each byte, as its byte fallback does; else neighbouring ones are one piece.
 
-The vocabulary is the pieces of a SentencePiece file, without control and byte pieces;
-``scores`` says whether a piece's score is the file's, or the logarithm of its share by Zipf's
-law of its rank.
+The vocabulary is the pieces of a SentencePiece file, without control and byte pieces, with
+the file's own scores (``scores="file"``), or the logarithm of a piece's share by Zipf's law
+of its rank (``"zipf"``). The file at hand holds merges in order of rank, no unigram model: its
+scores are minus the rank. Counts are those of the unigram model with these pieces and
+scores, which is not how the file's own tokenizer cuts.
 
 Edge cases: a null or empty text has no token; a very long text is counted word by word; a
 very long word costs time in proportion to its length; repeated rows get equal counts; an
@@ -32,7 +35,7 @@ METASPACE = "▁"
 _WORKER: dict[tuple, Counter] = {}
 
 
-def vocabulary(path: str, scores: str = "zipf") -> list[tuple[str, float]]:
+def vocabulary(path: str, scores: str = "file") -> list[tuple[str, float]]:
     """(piece, score) of the usable pieces of a SentencePiece file, in its order; the first is the unknown piece."""
     import sentencepiece
 
@@ -44,12 +47,21 @@ def vocabulary(path: str, scores: str = "zipf") -> list[tuple[str, float]]:
     return found
 
 
+def has_byte_pieces(path: str) -> bool:
+    """Whether the file has a piece for each byte, so that no character is unknown to it."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return sum(model.is_byte(i) for i in range(model.get_piece_size())) == 256
+
+
 class Counter:
     """Numbers of pieces, by words met before."""
 
-    def __init__(self, pieces: list[tuple[str, float]], memo: int):
+    def __init__(self, pieces: list[tuple[str, float]], memo: int, byte_fallback: bool = False):
         import ahocorasick
 
+        self.byte_fallback = byte_fallback
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces[1:]:
             self.automaton.add_word(piece, (len(piece), score))
@@ -89,7 +101,8 @@ class Counter:
         score = best[place - 1] + self.unknown
         if text[place - 1] not in self.single and score > best[place]:
             best[place], open_unknown[place] = score, True
-            count[place] = count[place - 1] + (not open_unknown[place - 1])
+            pieces = len(text[place - 1].encode("utf-8", "surrogatepass")) if self.byte_fallback else not open_unknown[place - 1]
+            count[place] = count[place - 1] + pieces
 
     def text(self, text: str | None) -> int:
         if not text:
@@ -106,13 +119,13 @@ class Counter:
         return sum(counts)
 
 
-def token_count(pieces: list[tuple[str, float]], memo: int = 1_000_000) -> Callable[[Column], Column]:
+def token_count(pieces: list[tuple[str, float]], byte_fallback: bool = False, memo: int = 1_000_000) -> Callable[[Column], Column]:
     """A function of a text column: its number of pieces."""
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        key = (len(pieces), hash(tuple(pieces)), memo)
-        counter = _WORKER.setdefault(key, None) or Counter(pieces, memo)
+        key = (len(pieces), hash(tuple(pieces)), byte_fallback, memo)
+        counter = _WORKER.setdefault(key, None) or Counter(pieces, memo, byte_fallback)
         _WORKER[key] = counter
         for texts in batches:
             yield pd.Series([counter.text(t) for t in texts], dtype="int64")
@@ -120,6 +133,7 @@ def token_count(pieces: list[tuple[str, float]], memo: int = 1_000_000) -> Calla
     return count
 
 
-def count_documents(docs: DataFrame, path: str, scores: str = "zipf") -> DataFrame:
+def count_documents(docs: DataFrame, path: str, scores: str = "file") -> DataFrame:
     """doc_id and n_tokens of every row of ``docs`` (doc_id, text)."""
-    return docs.select("doc_id", token_count(vocabulary(path, scores))(F.col("text").cast("string")).alias("n_tokens"))
+    count = token_count(vocabulary(path, scores), has_byte_pieces(path))
+    return docs.select("doc_id", count(F.col("text").cast("string")).alias("n_tokens"))

@@ -155,20 +155,28 @@ def test_decontamination_finds_whole_passages(spark, texts, sf_dir):
 # --- 5 token counts -------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("scores", ["zipf", "file"])
-def test_token_counts_are_those_of_the_library(texts, scores):
+@pytest.mark.parametrize("scores,byte_fallback", [("zipf", False), ("file", False), ("file", True)])
+def test_token_counts_are_those_of_the_library(texts, scores, byte_fallback):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
     pieces = tokens.vocabulary(public_tokenizers.path("piece_bpe_32k.model"), scores)
-    library = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=False))
+    byte_pieces = [(f"<0x{b:02X}>", 0.0) for b in range(256)] if byte_fallback else []
+    library = Tokenizer(models.Unigram([*pieces, *byte_pieces], unk_id=0, byte_fallback=byte_fallback))
     library.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always")
     rng = random.Random(3)
     made = ["".join(rng.choice("abeést ☃▁☂\n") for _ in range(rng.randrange(40))) for _ in range(400)]
-    counter = tokens.Counter(pieces, 1000)
+    made += ["ꦗꦮ" * 50, "𝒜ab𝒵 c", "".join(rng.choice("ꦗa😀 é𝒜") for _ in range(300))]
+    counter = tokens.Counter(pieces, 1000, byte_fallback)
     for text in [*made, *list(texts.values())[:60], "", " ", "x" * 5000]:
         assert counter.text(text) == len(library.encode(text, add_special_tokens=False).ids), text[:50]
 
 
+def test_characters_outside_the_vocabulary_count_as_bytes(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = spark.createDataFrame([(1, "ꦗ" * 100)], "doc_id long, text string")
+    assert tokens.has_byte_pieces(path) and tokens.count_documents(docs, path).first().n_tokens == 301
+
+
 def test_token_counts_of_odd_rows(odd):
     got = of(tokens.count_documents(odd, public_tokenizers.path("piece_bpe_32k.model")).collect())
     assert got[1].n_tokens == got[2].n_tokens == 0 and got[5].n_tokens == got[6].n_tokens > 0 and len(got) == 12
