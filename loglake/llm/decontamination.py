@@ -1,21 +1,25 @@
 """Operator 3, benchmark decontamination: spaced-seed hashing.
 
-Words are runs of letters, digits and characters beyond ASCII, lower-cased. A seed is a window of 12 to 15 words of
-which a fixed mask ignores some, so a hit survives a substitution at an ignored place.
+Words are runs of letters, digits and characters beyond ASCII, lower-cased. A seed is a window of 6 to 11 words of
+which a fixed mask keeps six, so a hit survives substitutions at ignored places. The four
+masks hit every stretch of 16 words with 3 differing ones, of 20 with 4 and of any length
+with every fifth word replaced, so what the defaults below accept is found.
 Benchmark and training seeds are joined by hash. Around each hit the two texts are
 laid side by side and the longest stretch is found in which at most ``tolerance`` of
 the words differ; it is an overlap if it has ``least`` equal words, or all words of a shorter
 benchmark text.
 
 The training side is reduced before any row is made: a bitmap of the benchmark's seed
-hashes (at most 2**26 bits, 8 MB) tells which windows can hit. Those go out with the words
-around them, so the text is read once and never shuffled. Everything else is joined by
+hashes (at most 2**26 bits, 8 MB) tells which windows can hit. Runs of such windows go out
+with the words they span and ``AROUND`` more on each side, so a passage of any length is seen whole,
+and the text is read once and never shuffled. Everything else is joined by
 hash, whatever the size of the benchmark.
 
 Benchmark texts shorter than a mask get one seed of all their words. Texts with fewer than
 ``shortest`` words can't be told from chance and are left out.
 
-Edge cases: null or empty texts on either side have no overlaps; repeated rows of either
+Edge cases: very long texts are hashed whole, one at a time; of stretches with equally many
+equal words the first one counts; null or empty texts on either side have no overlaps; repeated rows of either
 table change nothing; an empty benchmark gives no overlap; further columns are ignored
 and, in :func:`clean`, kept.
 """
@@ -32,9 +36,9 @@ from pyspark.sql import functions as F
 from loglake.llm.common import mix, saved, token_hashes
 
 # 1 keeps a word, 0 ignores it.
-MASKS = ("111101101111", "1101110011101011", "1110101011110111")
+MASKS = ("1111011", "11000010111", "1110111", "111111")
 LEAST, TOLERANCE, SHORTEST = 13, 0.2, 8
-#: Words on each side of a hit that are looked at.
+#: Words on each side of a run of hits that are looked at; hits nearer to each other are one run.
 AROUND = 64
 MOST_BITS = 26
 
@@ -80,10 +84,12 @@ def longest_overlap(train: np.ndarray, bench: np.ndarray, shift: int, at: int, t
     starts = np.flatnonzero(same[:at + 1])
     if not len(ends) or not len(starts):
         return best
-    fits = sums[ends][None, :] - sums[starts][:, None] >= -1e-9
-    equal = np.where(fits, counts[ends][None, :] - counts[starts][:, None], 0)
-    i, j = np.unravel_index(int(equal.argmax()), equal.shape)
-    return low + int(starts[i]), low + int(ends[j]), int(equal[i, j])
+    # the last end at which the value is not less than at the start: equal words only grow with the end
+    most = np.maximum.accumulate(sums[ends][::-1])[::-1]
+    last = np.searchsorted(-most, 1e-9 - sums[starts], side="right") - 1
+    equal = np.where(last >= 0, counts[ends[last]] - counts[starts], 0)
+    i = int(equal.argmax())
+    return (low + int(starts[i]), low + int(ends[last[i]]), int(equal[i])) if equal[i] else best
 
 
 def _lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,9 +161,9 @@ def _train_seeds(masks: tuple[str, ...], flags):
                 hits.sort()
                 group: list[tuple[int, int, int]] = []
                 for hit in [*hits, None]:
-                    if group and (hit is None or hit[0] - group[0][0] > AROUND):
+                    if group and (hit is None or hit[0] - group[-1][0] > AROUND):
                         low = max(0, group[0][0] - AROUND)
-                        high = min(len(tokens), group[-1][0] + len(MASKS[-1]) + AROUND)
+                        high = min(len(tokens), group[-1][0] + max(map(len, masks)) + AROUND)
                         rows.append((doc_id, low, tokens[low:high].tobytes(), [(s, k, p - low) for p, k, s in group]))
                         group = []
                     if hit:

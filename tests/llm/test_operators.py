@@ -1,6 +1,7 @@
 """The training-data operators: brute force, held-out accuracy, round trips and odd rows."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -152,6 +153,57 @@ def test_decontamination_finds_whole_passages(spark, texts, sf_dir):
     assert got == {(d, i) for d, t in texts.items() for i, x in items.items() if x in t}
 
 
+def test_masks_hit_whatever_is_accepted():
+    """Every way to differ in 3 of 16 words or 4 of 20, with equal words at both ends, and regular spacings."""
+    def hit(same):
+        return any(all(same[i + j] for j, c in enumerate(mask) if c == "1") for mask in decontamination.MASKS for i in range(len(same) - len(mask) + 1))
+
+    for size, wrong in ((13, 0), (14, 1), (15, 2), (16, 3), (18, 3), (20, 4)):
+        for gone in itertools.combinations(range(1, size - 1), wrong):
+            assert hit([i not in gone for i in range(size)]), (size, gone)
+    assert all(hit([(i - phase) % k != 0 for i in range(20)]) for k in range(5, 12) for phase in range(k))
+
+
+def test_longest_overlap_by_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n, shift = int(rng.integers(1, 30)), int(rng.integers(-4, 5))
+        bench, train = rng.integers(0, 3, n).astype(np.uint64), rng.integers(0, 3, n + 3).astype(np.uint64)
+        same = [0 <= i + shift < len(train) and bench[i] == train[i + shift] for i in range(n)]
+        inside = [i for i in range(n) if 0 <= i + shift < len(train)]
+        if not inside:
+            continue
+        at = int(rng.choice(inside))
+        best = max((sum(same[a:b]) for a in range(at + 1) for b in range(at + 1, n + 1) if a in inside and b - 1 in inside and same[a] and same[b - 1]
+                    and (b - a - sum(same[a:b])) <= 0.2 * (b - a) + 1e-9), default=0)
+        start, end, equal = decontamination.longest_overlap(train, bench, shift, at, 0.2)
+        assert equal == best == sum(same[start:end])
+
+
+def test_passages_with_substitutions_are_found_whole(spark):
+    """Benchmark texts of 13 to 500 words, copied into documents with random and regular substitutions."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    items, docs, want = [], [], {}
+    for i in range(150):
+        size = rng.choice([13, 16, 20, 30, 100, 300, 500])
+        item = [word() for _ in range(size)]
+        if i % 3 == 0 and size >= 20:
+            gone = set(range(rng.randrange(1, 5), size - 1, rng.choice([5, 6, 7])))
+        else:
+            gone = set(rng.sample(range(1, size - 1), rng.randint(0, size // 5 if size > 16 else size - 13)))
+        copy = [word() if j in gone else w for j, w in enumerate(item)]
+        before = [word() for _ in range(rng.randint(0, 200))]
+        items.append((i, " ".join(item)))
+        docs.append((i, " ".join(before + copy + [word() for _ in range(rng.randint(0, 200))])))
+        if len(gone) <= 0.2 * size and size - len(gone) >= 13:
+            want[i] = (len(before), len(before) + size, 0, size - len(gone))
+    found = decontamination.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {r.doc_id: (r.first_word, r.end_word, r.item_word, r.equal_words) for r in found}
+    assert len(found) == len(got) and len(want) > 120
+    assert {i: got.get(i) for i in want} == want
+
+
 # --- 5 token counts -------------------------------------------------------------------------
 
 
