@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -146,7 +147,24 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``saved`` wrote once all that was made of them is written itself.
+
+    Shuffle files of finished steps go with them: Spark deletes those when the JVM has
+    collected their last reference.
+    """
+    spark = tables[0].sparkSession
+    jvm = spark._jvm
+    for table in tables:
+        path = jvm.org.apache.hadoop.fs.Path(table.saved_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def documents(spark: SparkSession, folder: str, *columns: str, table: str = "documents") -> DataFrame:
