@@ -152,19 +152,20 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(*tables: DataFrame) -> None:
+def discard(*tables: DataFrame, shuffles: bool = True) -> None:
     """Delete tables that ``saved`` wrote once all that was made of them is written itself.
 
-    Shuffle files of finished steps go with them: Spark deletes those when the JVM has
-    collected their last reference.
+    With ``shuffles``, the shuffle files of finished steps go, too: Spark deletes those when
+    the JVM has collected their last reference.
     """
     spark = tables[0].sparkSession
     jvm = spark._jvm
     for table in tables:
         path = jvm.org.apache.hadoop.fs.Path(table.saved_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
+    if shuffles:
+        gc.collect()
+        jvm.System.gc()
 
 
 def documents(spark: SparkSession, folder: str, *columns: str, table: str = "documents") -> DataFrame:

@@ -1,12 +1,14 @@
 """Operator 9, personal data: a character-level bidirectional LSTM with CRF transitions.
 
 Fixed patterns give the base spans (email, ip, card, phone). A tagger trained in numpy on
-windows of labelled spans adds what the patterns miss. It reads characters by class (lower,
+windows of labelled spans adds what the patterns miss. Its windows hold the base spans as they
+are and the same ones disguised: blanks around signs, other signs between digits, ``00``
+for ``+``; a disguised span keeps its label, so the tagger learns what no pattern says. It reads characters by class (lower,
 upper and other letters, digits, every ASCII sign by itself) in windows of ``WINDOW``
-characters that overlap by ``OVERLAP``. Windows are decoded together, then reconciled over the
-whole text: a span counts from the window in which it lies farthest from the border, spans
-cut by a border are left to the neighbour, and of overlapping ones the surer stays. A
-span is added if each of its characters is surely (``SURE``) tagged and it meets no base span.
+characters that overlap by ``OVERLAP``. Each character's tag comes from the window in which it lies
+farthest from the border, so spans run on over windows, however long. A
+span is added if each of its characters is surely (``SURE``) tagged, it is possible (a card's digits pass
+the Luhn test, an address has four numbers up to 255) and it meets no base span; of overlapping ones the surer stays.
 
 All four kinds hold a digit or an ``@``. A span without either is never added, so windows
 without either need no decoding; nothing else is skipped.
@@ -14,9 +16,10 @@ without either need no decoding; nothing else is skipped.
 Labelled spans are those of at most ``ROWS`` documents with a digit or ``@``, the ones with the
 smallest hashes of their id; training takes fixed seeds and steps.
 
-Edge cases: a null text counts as empty and has no span; without labelled spans nothing
-is added; repeated rows get equal spans; an empty table gives no row; further columns are
-ignored.
+Edge cases: a null text counts as empty and has no span; a very long text is tagged whole, window by window;
+without labelled spans nothing
+is added; of equally sure spans the first one stays; repeated rows get equal spans; rows without doc_id
+are kept; an empty table gives no row; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +37,11 @@ from loglake.llm.common import saved
 
 KINDS = ("email", "ip", "card", "phone")
 ROWS, WINDOW, OVERLAP, SURE, SHORTEST = 1_500, 128, 48, 0.9, 7
-TRAIN_WINDOW, STEPS, BATCH, EMBEDDED, HIDDEN = 56, 320, 24, 10, 16
+TRAIN_WINDOW, STEPS, BATCH, EMBEDDED, HIDDEN = 56, 480, 24, 10, 16
+#: Windows of a learning document: around its spans, and around other digits or ``@``.
+SPANS_EACH, OTHERS_EACH = 4, 3
+#: Windows decoded at a time.
+DECODED = 512
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -251,33 +258,49 @@ def window_starts(length: int) -> list[int]:
     return list(range(0, max(1, length - OVERLAP), step))
 
 
-def found_spans(text: str, windows: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[float, int, Span]]:
-    """(sureness, distance from the border, span) of each span of the decoded windows (start, tags, sure)."""
-    out = []
-    for start, tags, sure in windows:
-        length = min(WINDOW, len(text) - start)
-        t = 0
-        while t < length:
-            if tags[t] % 2 == 0:
-                t += 1
-                continue
-            kind, end = (int(tags[t]) - 1) // 2, t + 1
-            while end < length and tags[end] == 2 + 2 * kind:
-                end += 1
-            left = t if start else WINDOW
-            right = length - end if start + length < len(text) else WINDOW
-            if min(left, right) > 0:
-                out.append((float(sure[t:end].min()), min(left, right), (kind, start + t, start + end)))
-            t = end
+def joined_tags(length: int, windows: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One tag and how sure it is for each character, from decoded windows (start, tags, sure)."""
+    tags, sure = np.zeros(length, np.int8), np.zeros(length, np.float32)
+    for edge in (0, OVERLAP // 2):  # all that a window covers first, then what it is the best one for
+        for start, t, s in windows:
+            a = start + (edge if start else 0)
+            b = min(length, start + WINDOW - (edge if start + WINDOW < length else 0))
+            tags[a:b], sure[a:b] = t[a - start:b - start], s[a - start:b - start]
+    return tags, sure
+
+
+def found_spans(tags: np.ndarray, sure: np.ndarray) -> list[tuple[float, Span]]:
+    """(sureness, span) of each run of tags of one kind; a run begins at a first tag or where another one ends."""
+    out, t, marked = [], 0, np.flatnonzero(tags)
+    for i in marked.tolist():
+        if i < t:
+            continue
+        kind, t = (int(tags[i]) - 1) // 2, i + 1
+        while t < len(tags) and tags[t] == 2 + 2 * kind:
+            t += 1
+        out.append((float(sure[i:t].min()), (kind, i, t)))
     return out
 
 
-def reconciled(text: str, found: list[tuple[float, int, Span]], base: list[Span], sure: float = SURE) -> list[Span]:
+def possible(kind: int, piece: str) -> bool:
+    """Whether a span can be what it is tagged as."""
+    digits = _digits(piece)
+    if kind == 0:
+        return "@" in piece and "." in piece[piece.index("@"):]
+    if kind == 1:
+        numbers = re.findall("[0-9]+", piece)
+        return len(numbers) == 4 and all(len(n) <= 3 and int(n) <= 255 for n in numbers)
+    if kind == 2:
+        return 13 <= len(digits) <= 19 and _luhn(digits)
+    return 9 <= len(digits) <= 15 and piece.startswith(("+", "00"))
+
+
+def reconciled(text: str, found: list[tuple[float, Span]], base: list[Span], sure: float = SURE) -> list[Span]:
     """The spans to add to the base ones, without overlaps."""
     taken = sorted((a, b) for _, a, b in base)
     added: list[Span] = []
-    for surety, _, (kind, a, b) in sorted(found, key=lambda x: (-min(x[1], OVERLAP // 2), -x[0], x[2])):
-        if surety < sure or b - a < SHORTEST or not _TRIGGER.search(text, a, b):
+    for surety, (kind, a, b) in sorted(found, key=lambda x: (-x[0], x[1])):
+        if surety < sure or b - a < SHORTEST or not possible(kind, text[a:b]):
             continue
         if all(b <= c or d <= a for c, d in taken):
             taken.append((a, b))
@@ -285,6 +308,23 @@ def reconciled(text: str, found: list[tuple[float, int, Span]], base: list[Span]
     return added
 
 
+# Ways to write each kind that the patterns don't know, as (what, instead).
+DISGUISES = (
+    ((r"@", " @ "), (r"\.(?=[^@]*$)", " . "), (r"(@)|\.(?=[^@]*$)", lambda m: " @ " if m[1] else " . ")),
+    ((r"\.", " . "), (r"\.", ","), (r"\.", " ")),
+    ((r"[ -]?([0-9]{4})(?=[0-9 -])", r"\1."), (r"[ -]?([0-9]{4})(?=[0-9 -])", r"\1/"), (r"[ -]?([0-9]{4})(?=[0-9 -])", r"\1  ")),
+    ((r"^\+", "00"), (r"[ .-]", "/"), (r"^\+", "00 ")),
+)
+
+
+def disguised(text: str, span: Span, way: int) -> tuple[str, Span]:
+    """The text with one of its spans written another way, and the span there."""
+    kind, a, b = span
+    what, instead = DISGUISES[kind][way % len(DISGUISES[kind])]
+    piece = re.sub(what, instead, text[a:b])
+    return text[:a] + piece + text[b:], (kind, a, a + len(piece))
+
+
 def _joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
@@ -299,15 +339,26 @@ def learn(docs: DataFrame, rows: int = ROWS) -> Tagger | None:
         half = TRAIN_WINDOW // 2
         for batch in batches:
             out = []
+
+            def add(doc_id: int, k: int, x: np.ndarray, y: np.ndarray, middle: int, out: list = out) -> None:
+                start = max(0, min(middle - half + (k * 11) % 23 - 11, len(x) - TRAIN_WINDOW))
+                if not start or y[start] % 2 or y[start] == 0:  # no span is cut at the left
+                    pad = (0, max(0, TRAIN_WINDOW - len(x)))
+                    out.append((doc_id, k, np.pad(x, pad)[start:start + TRAIN_WINDOW].tolist(), np.pad(y, pad)[start:start + TRAIN_WINDOW].tolist()))
+
             for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
                 x, spans = encoded(text), base_spans(text)
                 y = tagged(len(x), spans)
-                middles = [(a + b) // 2 for _, a, b in spans][:4] + [m.start() for m in _TRIGGER.finditer(text)][:: max(1, len(text) // 200)][:3]
+                middles = [(a + b) // 2 for _, a, b in spans][:SPANS_EACH]
+                middles += [m.start() for m in _TRIGGER.finditer(text)][:: max(1, len(text) // 200)][:OTHERS_EACH]
                 for k, middle in enumerate(middles):
-                    start = max(0, min(middle - half + (k * 11) % 23 - 11, len(x) - TRAIN_WINDOW))
-                    if not start or y[start] % 2 or y[start] == 0:  # no span is cut at the left
-                        pad = (0, max(0, TRAIN_WINDOW - len(x)))
-                        out.append((doc_id, k, np.pad(x, pad)[start:start + TRAIN_WINDOW].tolist(), np.pad(y, pad)[start:start + TRAIN_WINDOW].tolist()))
+                    add(doc_id, k, x, y, middle)
+                for k, span in enumerate(spans[:SPANS_EACH], len(middles)):
+                    # only the neighbourhood is needed
+                    low = max(0, span[1] - WINDOW)
+                    near, own = disguised(text[low:span[2] + WINDOW], (span[0], span[1] - low, span[2] - low), k + doc_id)
+                    others = [(kind, a, b) for kind, a, b in base_spans(near) if b <= own[1] or a >= own[2]]
+                    add(doc_id, k, encoded(near), tagged(len(near), [own, *others]), (own[1] + own[2]) // 2)
             yield pd.DataFrame(out, columns=["doc_id", "k", "x", "y"])
 
     found = saved(sample.mapInPandas(cut, "doc_id long, k int, x array<int>, y array<int>"), "pii-windows").orderBy(F.xxhash64("doc_id"), "doc_id", "k").toPandas()
@@ -327,33 +378,50 @@ SPANS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_s
 def find(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
     """The counts of base spans, their digest and all spans of ``docs`` (doc_id, text)."""
 
+    def added_spans(texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
+        added: list[list[Span]] = [[] for _ in texts]
+        decoded: dict[int, list] = {}
+        places: list[tuple[int, int]] = []
+        codes: list[np.ndarray] = []
+
+        def settle(up_to: int) -> None:
+            """Decode what waits; rows before ``up_to`` have all their windows then."""
+            if codes:
+                tags, sure = tagger.decode(np.stack(codes))
+                for (row, start), t, s in zip(places, tags.astype(np.int8), sure.astype(np.float32), strict=True):
+                    decoded.setdefault(row, []).append((start, t, s))
+                places.clear()
+                codes.clear()
+            for row in [r for r in decoded if r < up_to]:
+                added[row] = reconciled(texts[row], found_spans(*joined_tags(len(texts[row]), decoded.pop(row))), base[row])
+
+        for row, text in enumerate(texts):
+            if not _TRIGGER.search(text):
+                continue
+            x = encoded(text).astype(np.uint8)
+            marks = np.unique([m.start() for m in _TRIGGER.finditer(text)])
+            for start in window_starts(len(x)):
+                at = np.searchsorted(marks, start)
+                if at < len(marks) and marks[at] < start + WINDOW:
+                    places.append((row, start))
+                    codes.append(np.pad(x[start:start + WINDOW], (0, max(0, start + WINDOW - len(x)))))
+                    if len(codes) == DECODED:
+                        settle(row)
+        settle(len(texts))
+        return added
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            doc_ids, texts = batch["doc_id"], batch["text"].tolist()
+            texts = batch["text"].tolist()
             base = [base_spans(t) for t in texts]
-            added: list[list[Span]] = [[] for _ in texts]
-            places, codes = [], []
-            for row, text in enumerate(texts):
-                if tagger and _TRIGGER.search(text):
-                    x = encoded(text)
-                    marks = np.unique([m.start() for m in _TRIGGER.finditer(text)])
-                    for start in window_starts(len(x)):
-                        at = np.searchsorted(marks, start)
-                        if at < len(marks) and marks[at] < start + WINDOW:
-                            places.append((row, start))
-                            codes.append(np.pad(x[start:start + WINDOW], (0, max(0, start + WINDOW - len(x)))))
-            decoded: dict[int, list] = {}
-            for k in range(0, len(codes), 512):
-                tags, sure = tagger.decode(np.stack(codes[k:k + 512]))
-                for (row, start), t, s in zip(places[k:k + 512], tags, sure, strict=True):
-                    decoded.setdefault(row, []).append((start, t, s))
-            for row, windows in decoded.items():
-                added[row] = reconciled(texts[row], found_spans(texts[row], windows), base[row])
+            added = added_spans(texts, base) if tagger else [[] for _ in texts]
             yield pd.DataFrame({
-                "doc_id": doc_ids, **{f"n_{k}": [sum(s[0] == i for s in b) for b in base] for i, k in enumerate(KINDS)},
+                "doc_id": batch["doc_id"], **{f"n_{k}": [sum(s[0] == i for s in b) for b in base] for i, k in enumerate(KINDS)},
                 "base_sha256": [hashlib.sha256(_joined(b).encode()).hexdigest() for b in base],
                 "spans": [_joined(b + a) for b, a in zip(base, added, strict=True)],
             })
 
+    # ids go as text, which has room for a missing one
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    return docs.select(F.col("doc_id").cast("long"), text).filter("doc_id is not null").mapInPandas(run, SPANS)
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), text)
+    return rows.mapInPandas(run, SPANS.replace("doc_id long", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -460,17 +460,56 @@ def test_personal_data_of_rows(spark, sf_dir, odd):
     assert pii.find(odd, None).count() == 13 and pii.learn(odd) is None and pii.learn(odd.limit(0)) is None
 
 
-def test_windows_are_reconciled():
-    text = "1" * 300
-    starts = pii.window_starts(300)
-    assert starts[0] == 0 and starts[-1] + pii.WINDOW >= 300
-    tags = np.zeros(pii.WINDOW, np.int64)
-    tags[-10:] = [1, *[2] * 9]  # cut by the window's end
-    other = np.zeros(pii.WINDOW, np.int64)
-    other[38:60] = [1, *[2] * 21]
-    sure = np.ones(pii.WINDOW)
-    found = pii.found_spans(text, [(0, tags, sure), (80, other, sure)])
-    assert pii.reconciled(text, found, []) == [(0, 118, 140)] and pii.reconciled(text, found, [(1, 139, 145)]) == []
+def test_windows_are_joined():
+    length = 300
+    starts = pii.window_starts(length)
+    assert starts[0] == 0 and starts[-1] + pii.WINDOW >= length
+    for a, b in ((118, 140), (10, 300), (75, 85), (0, 7), (290, 300)):  # over borders, longer than a window, at the ends
+        want = pii.tagged(length, [(1, a, b)])
+        windows = [(s, np.pad(want[s:s + pii.WINDOW], (0, max(0, s + pii.WINDOW - length))), np.ones(pii.WINDOW)) for s in starts]
+        tags, sure = pii.joined_tags(length, windows)
+        assert (tags == want).all() and pii.found_spans(tags, sure) == [(1.0, (1, a, b))]
+    text = "x 10 . 20 . 30 . 40 y 4111.1111.1111.1111 z 4111.1111.1111.1112"
+    spans = [(1, 2, 19), (2, 22, 41), (2, 44, 63)]
+    assert pii.reconciled(text, [(0.99, s) for s in spans], []) == spans[:2]
+    assert pii.reconciled(text, [(0.99, s) for s in spans], [(1, 18, 25)]) == [] and pii.reconciled(text, [(0.5, spans[0])], []) == []
+
+
+def personal(rng, hidden):
+    """A text with one item of personal data, or with a number that is none; where it is."""
+    word = lambda: "".join(rng.choice("abcdefghilmnoprstuv") for _ in range(rng.randint(2, 9)))
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    kind = rng.randrange(4)
+    if kind == 2:
+        head = "4" + number(14)
+        digits = next(head + d for d in "0123456789" if pii._luhn(pii._digits(head + d)))
+    plain = [f"{word()}.{word()}@{word()}.com", ".".join(str(rng.randrange(256)) for _ in range(4)),
+             " ".join(digits[i:i + 4] for i in range(0, 16, 4)) if kind == 2 else "", f"+{rng.randint(1, 99)} {number(3)} {number(3)} {number(4)}"][kind]
+    before = " ".join(word() for _ in range(rng.randint(3, 40))) + " "
+    after = " " + " ".join(word() for _ in range(rng.randint(3, 40))) + rng.choice(["", f" order {number(6)}", f" in {number(4)}"])
+    text, span = before + plain + after, (kind, len(before), len(before) + len(plain))
+    return pii.disguised(text, span, rng.randrange(3)) if hidden else (text, span)
+
+
+def test_tagger_finds_what_patterns_miss_in_documents_it_has_not_seen(spark):
+    """Held-out texts: most disguised items are found, hardly anything else is."""
+    rng = random.Random(14)
+    seen = spark.createDataFrame([(i, personal(rng, False)[0]) for i in range(900)], "doc_id long, text string")
+    tagger = pii.learn(seen)
+    made = {i: personal(rng, i % 2 == 0) for i in range(400)}
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in made.items()] + [(None, made[1][0]), (None, None)], "doc_id long, text string")
+    rows = pii.find(docs, tagger).collect()
+    got = of(rows)
+    assert len(rows) == 402 and sum(r.doc_id is None for r in rows) == 2
+    name = lambda s: f"{pii.KINDS[s[0]]}:{s[1]}:{s[2]}"
+    base = {i: {name(s) for s in pii.base_spans(t)} for i, (t, _) in made.items()}
+    added = {i: set(filter(None, got[i].spans.split(","))) - base[i] for i in made}
+    assert all(base[i] <= set(got[i].spans.split(",")) for i in made if base[i])
+    hidden = [i for i in made if name(made[i][1]) not in base[i]]
+    hit = [i for i in hidden if name(made[i][1]) in added[i]]
+    wrong = sum(len(added[i] - {name(made[i][1])}) for i in made)
+    assert len(hidden) > 120 and len(hit) >= 0.6 * len(hidden), (len(hit), len(hidden))
+    assert wrong <= 0.15 * len(hit), (wrong, len(hit))
 
 
 # --- 10 packing -----------------------------------------------------------------------------------
