@@ -38,12 +38,16 @@ def empty_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """
     found = _binary(spark, paths)
     names = found._jdf.inputFiles()
-    if len(names) == found.select("path").count():
+    missing = len(names) - found.select("path").count()
+    if missing == 0:
         return spark.createDataFrame([], "path string")
     sequence = spark._jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(names)
     index = DataFrame(spark._jsparkSession.createDataset(sequence, spark._jvm.org.apache.spark.sql.Encoders.STRING()).toDF(), spark)
     plain = F.url_decode(F.replace(F.regexp_replace("value", "^file:/+", "file:/"), F.lit("+"), F.lit("%2B")))
-    return index.select(plain.alias("path")).distinct().join(found.select("path"), "path", "left_anti")
+    empty = index.select(plain.alias("path")).distinct().join(found.select("path"), "path", "left_anti")
+    if empty.count() != missing:  # never take a file for an empty one because it is spelt another way
+        raise ValueError(f"{missing} files have no row, but not so by their names: are files still being written below {paths}?")
+    return empty
 
 
 def read_blobs(

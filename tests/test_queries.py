@@ -57,6 +57,19 @@ def test_correlate_keyset_equals_offset(entries, files):
         assert ids(rest) == [(r.file_id, r.seq) for r in every[i + 1:]]
 
 
+def test_correlate_scans_the_entries_once(spark, entries, files, tmp_path):
+    entries.write.parquet(str(tmp_path / "e"))
+    files.write.parquet(str(tmp_path / "f"))
+    stored, names = spark.read.schema(ENTRIES).parquet(str(tmp_path / "e")), spark.read.parquet(str(tmp_path / "f"))
+    page = pages.correlate(stored, names, "u", q="alice", limit=2)
+    plan = page.items._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("raw_line") > 0 and sum("FileScan" in line and "raw_line" in line for line in plan.split("\n")) == 1
+    assert "TakeOrderedAndProject" in plan and ids(pages.correlate(stored, names, "u", limit=2).items) == [(A, 1), (B, 1)]
+    wide = pages.correlate(stored, names, limit=5000, cap=None)
+    assert wide.limit == 5000 and wide.items.count() == 5 and pages.correlate(stored, names, limit=5000).limit == 1000
+    assert pages.search(stored, limit=-1, cap=None).count() == 5
+
+
 def test_search_modes(entries, files):
     def found(**filters):
         return ids(pages.search(entries, files, "u", **filters))
