@@ -67,11 +67,6 @@ class Record:
     def group(self, i: int) -> Column:
         return F.get(self.groups, F.lit(i))
 
-    def with_rest(self, message: Column) -> Column:
-        """The head's message followed by the record's other lines."""
-        joined = F.when(message != "", F.concat(message, F.lit("\n"), self.rest)).otherwise(self.rest)
-        return F.when(self.rest.isNotNull(), joined).otherwise(message)
-
 
 @dataclass(frozen=True)
 class FormatSpec:
@@ -87,7 +82,8 @@ class FormatSpec:
     How a record is taken apart, one of:
 
     ``groups``, ``more``, ``take``  functions of a Record: the head's texts as an array, further
-                      ones that need those, and the parts (see ``PART_TYPES``) by name
+                      ones that need those, and the parts (see ``PART_TYPES``) by name; ``message`` is trimmed
+                      afterwards and, where ``adds_rest``, followed by the record's other lines
     ``fields``        function raw record -> struct of parts (see ``parts``)
     ``parse_batch``   for work Columns cannot do: a function that takes a pandas Series of raw
                       records and the default zone and returns a pandas frame with any of
@@ -207,7 +203,7 @@ def parse_fields(records: DataFrame, specs: Sequence[FormatSpec], default_tz: st
 
         def value(spec: FormatSpec) -> Column | None:
             if spec.fields:
-                return F.col(f"_own.{name}")
+                return F.col(f"_own.{name}") if name in PART_TYPES else None
             return taken[spec].get(name) if spec in taken else None
 
         return _by_format(specs, value, kind)
@@ -222,9 +218,17 @@ def parse_fields(records: DataFrame, specs: Sequence[FormatSpec], default_tz: st
     staged = staged.select("*", memo(("groups", key), lambda: _by_format(specs, grouped, "array<string>")).alias("_groups"), own.alias("_own"))
     staged = staged.select("*", memo(
         ("more", key), lambda: _by_format(specs, lambda s: s.more(record) if s.more else None, "array<string>")).alias("_more"))
-    staged = staged.select(*kept, *[
-        memo(("part", name, key), lambda name=name, kind=kind: part(name, kind)).alias(f"_{name}") for name, kind in PART_TYPES.items()
+    built = [i for i, spec in enumerate(specs) if spec.take]
+    staged = staged.select(*kept, "_rest", F.col("_number").isin(built).alias("_built"), *[
+        memo(("part", name, key), lambda name=name, kind=kind: part(name, kind)).alias(f"_{name}")
+        for name, kind in {**PART_TYPES, "adds_rest": "boolean"}.items() if name != "adds_rest" or built
     ])
+    text = F.when(F.col("_built"), trim_space(F.col("_message"))).otherwise(F.col("_message"))
+    others = [c for c in staged.columns if c not in ("_message", "_built", "_rest", "_adds_rest")]
+    adds = F.coalesce("_adds_rest", F.lit(False)) & F.col("_rest").isNotNull() if built else F.lit(False)
+    staged = staged.select(*[c for c in others], "_rest", adds.alias("_adds"), text.alias("_message"))
+    first = F.when(F.col("_message") != "", F.concat("_message", F.lit("\n"), "_rest")).otherwise(F.col("_rest"))
+    staged = staged.select(*others, F.when(F.col("_adds"), first).otherwise(F.col("_message")).alias("_message"))
     return resolve_parts(staged, kept, default_tz)
 
 
@@ -316,19 +320,20 @@ def _headed(r: Record, **values: Column) -> dict[str, Column]:
     """Parts of a record with a head; without one its text is the message and nothing else is known."""
     known = r.groups.isNotNull()
     out = {name: F.when(known, value) for name, value in values.items() if name != "message"}
-    return {**out, "message": F.when(known, values["message"]).otherwise(trim_space(r.raw))}
+    return {**out, "message": F.when(known, values["message"]).otherwise(r.raw)}
 
 
 def _matched(r: Record, count: int, **values: Column) -> dict[str, Column]:
     """The same where the head may not be as expected: then only the lines after it are the message."""
     full = F.size(r.groups) == count
     out = {name: F.when(full, value) for name, value in values.items() if name != "message"}
-    message = F.when(r.groups.isNull(), trim_space(r.raw)).when(full, r.with_rest(values["message"])).otherwise(r.rest)
-    return {**out, "message": message}
+    message = F.when(r.groups.isNull(), r.raw).when(full, values["message"]).otherwise("")
+    return {**out, "message": message, "adds_rest": r.groups.isNotNull()}
 
 
 def oracle_parts(r: Record) -> dict[str, Column]:
-    body = trim_space(F.substring_index(trim_space(r.rest), "\n", 1))
+    """``more`` holds the other lines, trimmed: they begin with the first one that is not blank."""
+    body = F.substring_index(F.get(r.more, F.lit(0)), "\n", 1)
     return _headed(
         r, ts_raw=r.head, ts_text=r.head, keep_ts_raw=F.lit(True), level_content=r.raw,
         message=F.coalesce(F.nullif(body, F.lit("")), r.head),
@@ -362,7 +367,7 @@ def weblogic_parts(r: Record) -> dict[str, Column]:
     coded = attr_map(millis=tail[0], code=tail[1])
     return _headed(
         r, ts_raw=r.group(0), keep_ts_raw=F.lit(True), millis=F.when(n >= 3, trim_space(tail[0]).try_cast("bigint")),
-        level_word=r.group(1), component=F.when(n >= 3, r.group(2)), message=r.with_rest(trim_space(tail[2])),
+        level_word=r.group(1), component=F.when(n >= 3, r.group(2)), message=tail[2], adds_rest=F.lit(True),
         attrs=F.when(n >= 6, F.map_concat(located, coded)).when(n >= 3, coded),
     )
 
@@ -371,7 +376,7 @@ def wls_stdout_parts(r: Record) -> dict[str, Column]:
     moment = trim_space(r.group(0))
     return _headed(
         r, ts_raw=moment, ts_text=moment, keep_ts_raw=F.lit(True), level_word=r.group(1), component=r.group(2),
-        message=r.with_rest(F.coalesce(trim_space(r.group(3)), F.lit(""))),
+        message=F.coalesce(r.group(3), F.lit("")), adds_rest=F.lit(True),
     )
 
 
@@ -379,7 +384,7 @@ def java_parts(r: Record) -> dict[str, Column]:
     thread = r.group(2)
     return _matched(
         r, 5, ts_raw=r.group(0), ts_text=r.group(0), keep_ts_raw=F.lit(True), level_word=r.group(1),
-        attrs=F.when(thread != "", attr_map(thread=thread)), component=r.group(3), message=trim_space(r.group(4)),
+        attrs=F.when(thread != "", attr_map(thread=thread)), component=r.group(3), message=r.group(4),
     )
 
 
@@ -391,14 +396,14 @@ def access_parts(r: Record) -> dict[str, Column]:
         ts_raw=trim_space(g[1]), ts_text=g[1], keep_ts_raw=F.lit(True), status=status, component=F.concat_ws(" ", g[2], g[3]),
         attrs=attr_map(host=g[0], method=g[2], path=g[3], proto=g[4], status=status.cast("string"), size=g[6]),
     )
-    message = F.when(full, F.concat_ws(" ", g[2], g[3], g[4])).otherwise(trim_space(r.raw))
+    message = F.when(full, F.concat_ws(" ", g[2], g[3], g[4])).otherwise(r.raw)
     return {**{name: F.when(full, value) for name, value in found.items()}, "message": message}
 
 
 def odl_parts(r: Record) -> dict[str, Column]:
     return _matched(
         r, 8, ts_raw=trim_space(r.group(0)), ts_text=r.group(0), keep_ts_raw=F.lit(True), component=r.group(1), level_word=r.group(2),
-        attrs=attr_map(module=r.group(3), tid=r.group(4), userId=r.group(5), ecid=r.group(6)), message=trim_space(r.group(7)),
+        attrs=attr_map(module=r.group(3), tid=r.group(4), userId=r.group(5), ecid=r.group(6)), message=r.group(7),
     )
 
 
@@ -410,7 +415,8 @@ def text_parts(r: Record) -> dict[str, Column]:
 
 # ---- registry ----------------------------------------------------------------
 
-ORACLE = FormatSpec("oracle", head=ORACLE_HEAD, whole_line=True, groups=lambda r: F.array(r.head), take=oracle_parts)
+ORACLE = FormatSpec("oracle", head=ORACLE_HEAD, whole_line=True, groups=lambda r: F.array(r.head), more=lambda r: F.array(trim_space(r.rest)),
+                    take=oracle_parts)
 WEBLOGIC = FormatSpec("weblogic", head=WEBLOGIC_HEAD, groups=weblogic_groups, more=weblogic_tail, take=weblogic_parts)
 WLS_STDOUT = FormatSpec(
     "wls_stdout", head=WLS_STDOUT_HEAD, groups=lambda r: F.split(_inside(r.head, "<"), "> <", 4), take=wls_stdout_parts)
