@@ -64,6 +64,26 @@ def test_folding_and_matching():
     assert weigh("stupid") == 3 and weigh("a s0re loser") == 0 and weigh("sore loser, loser") == 4
 
 
+def test_weights_by_brute_force():
+    """Every place of every term looked at by itself."""
+    rng = random.Random(21)
+    lexicon = toxicity.Lexicon({"ab": 2.0, "aba": 3.0, "bi*": 5.0, "i": 7.0, "ii*": 11.0}, exceptions=["ab i", "b ab", "bib"], power=0.0)
+    terms, safe = toxicity.matcher(list(lexicon.weights)), toxicity.matcher([toxicity.fold(e) for e in lexicon.exceptions])
+
+    def places(text, term):
+        folded, solid, body = toxicity.fold(text), text.translate(toxicity.SOLID), term.removesuffix("*")
+        for i in range(len(folded) - len(body) + 1):
+            end = i + len(body)
+            if folded[i:end] == body and solid[max(0, i - 1):i] != "a" and (solid[end:end + 1] == "a") == term.endswith("*"):
+                yield i, end
+
+    for _ in range(3000):
+        text = "".join(rng.choice("abAB1!l4 8 .\u200bа") for _ in range(rng.randrange(14)))
+        kept = [x for e in lexicon.exceptions for x in places(text, toxicity.fold(e))]
+        want = sum(w for term, w in lexicon.weights.items() for a, b in places(text, term) if not any(c <= a and b <= d for c, d in kept))
+        assert toxicity.weigh(text, terms, safe, lexicon) == want, text
+
+
 def test_toxicity_learns_and_ignores_held_out_labels(spark, odd):
     words = ["alpha", "beta", "gamma", "delta", "omega"]
     rng = random.Random(2)
@@ -123,6 +143,15 @@ def test_quality_counts_and_verdict(spark, texts, sf_dir, odd):
     assert quality.judge(odd.limit(0)).count() == 0
 
 
+def test_quality_verdict_against_labels(spark):
+    """The rules are not told the labels; their verdict must fit them."""
+    folder = "/root/testdata/sf0.01"
+    kept = quality.judge(spark.read.parquet(f"{folder}/documents.parquet")).select("doc_id", "kept")
+    rows = kept.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("quality is not null").collect()
+    good, bad = ([r.kept for r in rows if r.quality == q] for q in (1, 0))
+    assert sum(good) >= 0.85 * len(good) > 0 and sum(bad) <= 0.3 * len(bad)
+
+
 # --- 3 decontamination --------------------------------------------------------------------
 
 
