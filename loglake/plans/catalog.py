@@ -25,7 +25,7 @@ from loglake.operators.intake import TOO_LARGE, VIEW_TABLES, duplicate_report, m
 from loglake.operators.summaries import marker_table, sessions, summarize
 from loglake.operators.views import validate_annotations, validate_rules
 from loglake.schema import ANNOTATIONS, ENTRIES, ENTRY_COLUMNS, FILES, FILTERS, HIGHLIGHTS, MARKERS, PRESETS, SESSIONS, UPLOADS
-from loglake.session import ship_package
+from loglake.session import many_small_files, ship_package
 from loglake.sources.archives import expand_archives, member_lines
 from loglake.sources.encodings import UTF8, decode_text, detect_encoding
 from loglake.sources.files import (
@@ -35,13 +35,14 @@ from loglake.sources.files import (
     is_zip,
     list_files,
     literal_paths,
+    open_files,
     read_blobs,
     read_lines,
 )
 
 MAX_FILE_BYTES = 10 << 30
 # Files whose names are handed to a reader at a time.
-CHUNK_FILES = 10_000
+CHUNK_FILES = 50_000
 
 _DELETED = "kind string, id string"
 _SUMMARIES = T.StructType([ENTRIES["file_id"], FILES["summary"]])
@@ -263,12 +264,16 @@ def intake(spark: SparkSession, paths, batch_id: str, catalog: Catalog, max_byte
     )
     empty = listed.where("size_bytes = 0").select(
         "path", F.md5(F.lit(b"")).alias("md5"), F.lit(False).alias("zip"), F.lit(UTF8).alias("encoding"), F.lit("text").alias("format"))
-    large = read_blobs(spark, paths, min(ROW_BYTES, max_bytes), WHOLE_FILE_BYTES).select(
-        "path", "md5", is_zip(F.col("filename"), F.col("content")).alias("zip"), none.alias("encoding"), none.alias("format"))
-    keyed = [whole, empty, large]
-    for chunk in _chunks(listed.where((F.col("size_bytes") <= max_bytes) & (F.col("size_bytes") > ROW_BYTES)), CHUNK_FILES):
+    keyed = [whole, empty]
+    sizes = F.col("size_bytes")
+    for chunk in _chunks(listed.where((sizes > WHOLE_FILE_BYTES) & (sizes <= min(ROW_BYTES, max_bytes))), CHUNK_FILES):
+        keyed.append(read_blobs(spark, literal_paths(chunk)).select(
+            "path", "md5", is_zip(F.col("filename"), F.col("content")).alias("zip"), none.alias("encoding"), none.alias("format")))
+    for chunk in _chunks(listed.where((sizes <= max_bytes) & (sizes > ROW_BYTES)), CHUNK_FILES):
         keyed.append(content_keys(spark, literal_paths(chunk)).select("*", none.alias("encoding"), none.alias("format")))
-    known = reduce(lambda a, b: a.unionByName(b), keyed)
+    # stored, as the search for copies takes them twice and would read the contents each time
+    catalog._write(reduce(lambda a, b: a.unionByName(b), keyed), "keyed", batch_id)
+    known = spark.read.parquet(catalog.path("keyed", batch_id))
     batch = listed.join(known, "path", "left").withColumn(
         "kind", F.when(F.coalesce("zip", F.lit(False)) | is_zip(F.col("filename")), "zip").otherwise("file")
     ).drop("zip")
@@ -373,7 +378,14 @@ def ingest(
     markers. The report has a row for each file, or with ``nest`` for each upload.
     """
     ship_package(spark)
-    catalog = Catalog(spark, folder)
+    with many_small_files(spark):
+        return _ingest(spark, open_files(spark, paths), Catalog(spark, folder), batch_id, default_tz, max_bytes, max_files, markers, nest)
+
+
+def _ingest(
+    spark: SparkSession, paths: DataFrame, catalog: Catalog, batch_id: str, default_tz: str, max_bytes: int,
+    max_files: int | None, markers: DataFrame | dict | None, nest: bool,
+) -> DataFrame:
     if max_files is not None:
         count = list_files(spark, paths).count()
         if count > max_files:

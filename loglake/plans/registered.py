@@ -874,7 +874,7 @@ def decode_cyrillic(spark, folder):
 def _text_files(spark, folder):
     """Each document as a file of its own; the folder that holds them, on storage all executors reach."""
     root = f"{ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix='run-'))}/{uuid.uuid4().hex}"
-    T.table(spark, folder, "documents").select("doc_id", "text").write.option("lineSep", "\n").partitionBy("doc_id").text(f"{root}/in")
+    T.write_documents(spark, folder, f"{root}/in")
     return root
 
 

@@ -17,26 +17,34 @@ ROW_BYTES = 1 << 30
 ZIP_MAGIC = b"PK\x03\x04"
 
 
-def _binary(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+# Names of files and folders, or what ``open_files`` made of them.
+Paths = str | Sequence[str] | DataFrame
+
+
+def open_files(spark: SparkSession, paths: Paths) -> DataFrame:
+    """Files below ``paths`` as (path, length, content); all that is made of it shares one listing of the folders."""
+    if isinstance(paths, DataFrame):
+        return paths
     paths = [paths] if isinstance(paths, str) else list(paths)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
     return files.select(plain_path().alias("path"), "length", "content")
 
 
-def list_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def list_files(spark: SparkSession, paths: Paths) -> DataFrame:
     """Files below ``paths`` as (path, filename, length), empty ones too; no content is read."""
-    read = _binary(spark, paths).select("path", "length")
-    every = read.unionByName(empty_files(spark, paths).select("path", F.lit(0).cast("bigint").alias("length")))
+    found = open_files(spark, paths)
+    read = found.select("path", "length")
+    every = read.unionByName(empty_files(spark, found).select("path", F.lit(0).cast("bigint").alias("length")))
     return every.select("path", basename(F.col("path")).alias("filename"), "length")
 
 
-def empty_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def empty_files(spark: SparkSession, paths: Paths) -> DataFrame:
     """Paths of the empty files, which Spark's file sources know but make no row of.
 
     They are what a source's index holds beyond its rows. The names go from the index to a
     DataFrame inside the JVM, and only if there are any more than rows.
     """
-    found = _binary(spark, paths)
+    found = open_files(spark, paths)
     names = found._jdf.inputFiles()
     missing = len(names) - found.select("path").count()
     if missing == 0:
@@ -46,18 +54,18 @@ def empty_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     plain = F.url_decode(F.replace(F.regexp_replace("value", "^file:/+", "file:/"), F.lit("+"), F.lit("%2B")))
     empty = index.select(plain.alias("path")).distinct().join(found.select("path"), "path", "left_anti")
     if empty.count() != missing:  # never take a file for an empty one because it is spelt another way
-        raise ValueError(f"{missing} files have no row, but not so by their names: are files still being written below {paths}?")
+        raise ValueError(f"{missing} files have no row, but not so by their names: are files still being written below {names[0]}?")
     return empty
 
 
 def read_blobs(
-    spark: SparkSession, paths: str | Sequence[str], max_bytes: int = ROW_BYTES, over: int = 0
+    spark: SparkSession, paths: Paths, max_bytes: int = ROW_BYTES, over: int = 0
 ) -> DataFrame:
     """Whole files as (path, filename, length, content, md5), of more than ``over`` bytes up to ``max_bytes``.
 
     The length test is pushed into the source, so other files are never opened.
     """
-    blobs = _binary(spark, paths).where((F.col("length") <= max_bytes) & (F.col("length") > over))
+    blobs = open_files(spark, paths).where((F.col("length") <= max_bytes) & (F.col("length") > over))
     return blobs.select("path", basename(F.col("path")).alias("filename"), "length", "content",
                         F.md5("content").alias("md5"))
 

@@ -6,9 +6,16 @@ one), so a query over it does work in proportion to the table.
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from urllib.parse import unquote, urlsplit
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loglake.operators.assembly import clean_text
+from loglake.session import ship_package
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -91,6 +98,51 @@ def entries_from_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Files that a task puts in one folder.
+FOLDER_FILES = 1000
+
+
+def _file_of_each(folder: str):
+    """Rows (doc_id, text) sorted by doc_id: those of one doc_id are lines of one file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, written, current, file = TaskContext.get().partitionId(), 0, None, None
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if file is None or doc_id != current:
+                    if file:
+                        file.close()
+                    below = f"{folder}/{part:06d}-{written // FOLDER_FILES:06d}"
+                    if written % FOLDER_FILES == 0:
+                        os.makedirs(below, exist_ok=True)
+                    current, file = doc_id, open(f"{below}/{doc_id}.txt", "wb")  # noqa: SIM115
+                    written += 1
+                file.write((text.as_buffer() if text.is_valid else b""))
+                file.write(b"\n")
+        if file:
+            file.close()
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], ["files"])
+
+    return run
+
+
+def write_documents(spark: SparkSession, folder: str, target: str) -> None:
+    """Each document as a file below ``target``.
+
+    Hadoop's client starts processes to set the rights of each file of a mounted folder, at
+    some ms each, so tasks write the files there themselves; elsewhere Spark's writer does.
+    """
+    rows = table(spark, folder, "documents").select("doc_id", "text")
+    at = urlsplit(target)
+    if at.scheme not in ("", "file"):
+        rows.write.option("lineSep", "\n").partitionBy("doc_id").text(target)
+        return
+    ship_package(spark)
+    path = unquote(at.path) if at.scheme else target
+    os.makedirs(path, exist_ok=True)
+    rows.sortWithinPartitions("doc_id").mapInArrow(_file_of_each(path), "files long").agg(F.sum("files")).collect()
+
+
 # ---- events written as log lines ---------------------------------------------
 
 # Which format the log of a user is written in, by user number.

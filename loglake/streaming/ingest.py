@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loglake.plans.catalog import MAX_FILE_BYTES, Catalog, ingest
+from loglake.session import list_in_few_tasks, many_small_files
 from loglake.sources.files import basename, empty_files, literal_paths
 
 FILES_PER_TRIGGER = 1000
@@ -55,4 +56,6 @@ def ingest_stream(
 
     writer = names.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
-    return writer.start()
+    list_in_few_tasks(spark)  # the source lists in the caller's session for as long as the stream runs
+    with many_small_files(spark):  # the batches keep the settings the stream starts with
+        return writer.start()

@@ -12,10 +12,11 @@ import loglake.sources.files as files_module
 from loglake.operators.assembly import encoding_of_lines
 from loglake.operators.intake import delete_files, delete_uploads, duplicate_report
 from loglake.plans.catalog import Catalog, ingest
-from loglake.sources import archives
+from loglake.session import many_small_files
+from loglake.sources import archives, tables
 from loglake.sources.archives import expand_archives, is_text_member, member_lines
 from loglake.sources.encodings import decode_text, detect_encoding
-from loglake.sources.files import content_keys, empty_files, list_files, read_blobs, read_lines
+from loglake.sources.files import content_keys, empty_files, list_files, open_files, read_blobs, read_lines
 from loglake.streaming.ingest import ingest_stream
 
 WEBLOGIC = ("####<Feb 9, 2021 11:04:59 AM CET> <Notice> <Cluster> <node7> <east1> <pool-3> <<anonymous>> <> <> "
@@ -363,3 +364,40 @@ def test_cascade(spark):
     assert {k: v.count() for k, v in left.items()} == {"uploads": 1, "files": 1, "entries": 1, "filters": 0, "annotations": 1}
     left = delete_files(tables, one([("g",)], "id string"))
     assert {k: v.count() for k, v in left.items()} == {"uploads": 2, "files": 1, "entries": 1, "filters": 1, "annotations": 1}
+
+
+def test_many_small_files_take_few_tasks(spark, tmp_path):
+    """Reading and listing don't cost a task for a few files or a folder each, and a batch lists its folders once."""
+    for i in range(200):
+        os.makedirs(tmp_path / "in" / f"d{i}")
+        (tmp_path / "in" / f"d{i}" / "a.log").write_text(f"line {i}\n")
+    tracker, listed = spark.sparkContext.statusTracker(), []
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    tasks = lambda: sum(
+        stage.numTasks for job in tracker.getJobIdsForGroup("small") for i in tracker.getJobInfo(job).stageIds if (stage := tracker.getStageInfo(i)))
+    spark.sparkContext.setJobGroup("small", "small files")
+    try:
+        with many_small_files(spark):
+            found = open_files(spark, str(tmp_path / "in"))
+            assert found.rdd.getNumPartitions() < 10
+        listed.append(tasks())
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert listed[0] <= 4 * spark.sparkContext.defaultParallelism + 4
+    assert open_files(spark, found) is found and list_files(spark, found).count() == 200
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+    report = ingest(spark, str(tmp_path / "in"), str(tmp_path / "cat"), "b1")
+    assert report.where("status = 'parsed'").count() == 200 and Catalog(spark, str(tmp_path / "cat")).entries().count() == 200
+
+
+def test_documents_as_files(spark, tmp_path):
+    """A file for each doc_id, null and repeated ids, too, with its texts as lines, in few folders."""
+    rows = [(i, f"text {i}\nрусский" if i % 3 else "") for i in range(2500)] + [(7, "again"), (None, "a"), (None, "b"), (9000, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    tables.write_documents(spark, str(tmp_path), f"file://{tmp_path}/own")
+    expected = {}
+    for doc_id, text in rows:
+        expected[doc_id] = expected.get(doc_id, b"") + (text or "").encode() + b"\n"
+    stored = [open(os.path.join(at, n), "rb").read() for at, _, names in os.walk(tmp_path / "own") for n in names]
+    assert sorted(stored) == sorted(expected.values())
+    assert len(os.listdir(tmp_path / "own")) == 3
