@@ -378,6 +378,16 @@ def test_jaccard_on_documents_and_odd_rows(spark, texts, sf_dir, odd):
     assert jaccard.join(odd.limit(0)).count() == 0
 
 
+def test_jaccard_compares_packed_texts():
+    """What travels to be compared gives the same shingles in less than half their space."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzéж", k=rng.randint(2, 9))) for _ in range(800)]
+    prose = [" ".join(rng.choices(vocabulary, k=400)) + "." for _ in range(20)]
+    for text in [*prose, "", " \t", "one", "a b c d", "ÄÖ Ж \x00 é 😀 A b", "x " * 5000]:
+        assert np.array_equal(jaccard.unpacked(jaccard.packed(text)), jaccard.shingle_set(text))
+    assert 2 * sum(len(jaccard.packed(t)) for t in prose) < sum(jaccard.shingle_set(t).nbytes for t in prose)
+
+
 def test_jaccard_in_crowded_keys(spark, monkeypatch):
     """Families around the threshold that share passages; blocks of a few members."""
     monkeypatch.setattr(jaccard, "FEW", 3)
