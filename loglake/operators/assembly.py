@@ -101,7 +101,7 @@ def records_by_format(text: Column, fmt: Column, specs: list[FormatSpec] | None
 
 def detect_text(texts: DataFrame, column: str = "text") -> DataFrame:
     """Texts with ``format``, detected from their first non-blank lines."""
-    return texts.withColumn("format", detect_in(sample_lines(F.col(column))))
+    return texts.withColumn("format", memo(("format", column, tuple(formats())), lambda: detect_in(sample_lines(F.col(column)))))
 
 
 def split_records(texts: DataFrame, column: str = "text", specs: list[FormatSpec] | None = None) -> DataFrame:
@@ -110,7 +110,8 @@ def split_records(texts: DataFrame, column: str = "text", specs: list[FormatSpec
     ``texts`` has a ``format`` column; all other columns but the text are kept.
     """
     kept = [c for c in texts.columns if c != column]
-    records = records_by_format(F.col(column), F.col("format"), specs)
+    specs = specs or formats()
+    records = memo(("records", column, tuple(specs)), lambda: records_by_format(F.col(column), F.col("format"), specs))
     exploded = texts.select(*kept, F.posexplode(records).alias("at", "raw_line"))
     return exploded.select(*kept, (F.col("at") + 1).cast("bigint").alias("seq"), "raw_line")
 

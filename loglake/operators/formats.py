@@ -198,8 +198,11 @@ def parse_fields(records: DataFrame, specs: Sequence[FormatSpec], default_tz: st
         groups = spec.groups(record)
         return groups if spec.head is None or not spec.multiline else F.when(spec.is_head(record.head), groups)
 
+    taken: dict[FormatSpec, dict[str, Column]] = {}
+
     def part(name: str, kind: str) -> Column:
-        taken = {spec: spec.take(record) for spec in specs if spec.take}
+        if not taken:  # once for all parts, as building these takes long
+            taken.update({spec: spec.take(record) for spec in specs if spec.take})
 
         def value(spec: FormatSpec) -> Column | None:
             if spec.fields:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from loglake.operators.assembly import (
     assemble_lines,
@@ -34,6 +34,7 @@ from loglake.sources.files import (
     content_keys,
     is_zip,
     list_files,
+    literal_path,
     literal_paths,
     open_files,
     read_blobs,
@@ -240,11 +241,12 @@ def _with_text(rows: DataFrame) -> DataFrame:
 
 
 def _chunks(rows: DataFrame, size: int):
-    """``rows`` (path, ...) in chunks of about ``size``, so that names never pass through the driver all at once."""
+    """``rows`` (path, ...) in chunks of about ``size``, so that names are never in the driver all at once; and what tells each chunk's paths."""
     count = rows.count()
     parts = -(-count // size)
     for i in range(parts):
-        yield rows.where(F.pmod(F.xxhash64("path"), F.lit(parts)) == i) if parts > 1 else rows
+        own = F.pmod(F.xxhash64("path"), F.lit(parts)) == i if parts > 1 else F.lit(True)
+        yield rows.where(own), own
 
 
 def intake(spark: SparkSession, paths, batch_id: str, catalog: Catalog, max_bytes: int) -> DataFrame:
@@ -266,10 +268,10 @@ def intake(spark: SparkSession, paths, batch_id: str, catalog: Catalog, max_byte
         "path", F.md5(F.lit(b"")).alias("md5"), F.lit(False).alias("zip"), F.lit(UTF8).alias("encoding"), F.lit("text").alias("format"))
     keyed = [whole, empty]
     sizes = F.col("size_bytes")
-    for chunk in _chunks(listed.where((sizes > WHOLE_FILE_BYTES) & (sizes <= min(ROW_BYTES, max_bytes))), CHUNK_FILES):
+    for chunk, _ in _chunks(listed.where((sizes > WHOLE_FILE_BYTES) & (sizes <= min(ROW_BYTES, max_bytes))), CHUNK_FILES):
         keyed.append(read_blobs(spark, literal_paths(chunk)).select(
             "path", "md5", is_zip(F.col("filename"), F.col("content")).alias("zip"), none.alias("encoding"), none.alias("format")))
-    for chunk in _chunks(listed.where((sizes <= max_bytes) & (sizes > ROW_BYTES)), CHUNK_FILES):
+    for chunk, _ in _chunks(listed.where((sizes <= max_bytes) & (sizes > ROW_BYTES)), CHUNK_FILES):
         keyed.append(content_keys(spark, literal_paths(chunk)).select("*", none.alias("encoding"), none.alias("format")))
     # stored, as the search for copies takes them twice and would read the contents each time
     catalog._write(reduce(lambda a, b: a.unionByName(b), keyed), "keyed", batch_id)
@@ -305,12 +307,21 @@ class _Intake:
     def _texts(self, texts: DataFrame) -> None:
         self._store(split_records(texts.select("upload_id", "file_id", "format", "text")))
 
-    def ordinary(self, names: list[str]) -> None:
-        """Files that are one row each: read, decoded, cut, parsed and written in one map stage."""
-        blobs = read_blobs(self.spark, names, WHOLE_FILE_BYTES).select(
+    def ordinary(self, names: list[str], paths: DataFrame, chunk: DataFrame, own: Column) -> None:
+        """Files that are one row each: read, decoded, cut, parsed and written in one map stage.
+
+        They are read from the listing there is, as finding and listing a file again by its name takes longer
+        than reading it: ``own`` leaves out the files of other chunks before any is opened, and what is
+        known of the chunk's ``names``, bounded by its size, goes to every task.
+        """
+        named = self.spark.createDataFrame([(name,) for name in names], "name string")
+        known = chunk.withColumn("name", literal_path(F.col("path"))).join(named, "name", "left_semi")
+        known = F.broadcast(known.select("path", "encoding", "format").distinct())
+        blobs = read_blobs(self.spark, paths, WHOLE_FILE_BYTES).where(own).join(known, "path").select(
             _upload_id(self.batch_id).alias("upload_id"), F.lit(None).cast("string").alias("path_in_archive"),
-            F.lit(None).cast("bigint").alias("member"), "content")
-        self._texts(_with_text(blobs).withColumn("file_id", _file_id()))
+            F.lit(None).cast("bigint").alias("member"), "format",
+            clean_text(decode_text(F.col("content"), F.col("encoding"))).alias("text"))
+        self._texts(blobs.withColumn("file_id", _file_id()))
 
     def archives(self, names: list[str]) -> None:
         """Members are dealt out before they are inflated; those over a row are read by lines."""
@@ -402,12 +413,13 @@ def _ingest(
 
     reader = _Intake(catalog, batch_id, default_tz)
     reader._add(spark.createDataFrame([], ENTRIES), "entries")
+    for chunk, own in _chunks(filled.where(~archived & (size <= WHOLE_FILE_BYTES)), CHUNK_FILES):
+        reader.ordinary(literal_paths(chunk), paths, chunk, own)
     for rows, read in (
-        (filled.where(~archived & (size <= WHOLE_FILE_BYTES)), reader.ordinary),
         (filled.where(archived & (size <= ROW_BYTES)), reader.archives),
         (filled.where(~archived & (size > WHOLE_FILE_BYTES)), reader.long),
     ):
-        for chunk in _chunks(rows, CHUNK_FILES):
+        for chunk, _ in _chunks(rows, CHUNK_FILES):
             read(literal_paths(chunk))
 
     met = reader.found(decided.where(taken))

@@ -79,12 +79,20 @@ def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+_PATTERN_SIGNS = r"([\[\]{}*?\\])"
+
+
+def literal_path(path: Column) -> Column:
+    """The path with nothing in it taken as a pattern."""
+    return F.regexp_replace(path, _PATTERN_SIGNS, r"\\$1")
+
+
 def literal_paths(rows: DataFrame) -> list[str]:
     """The paths of a chunk of files for a reader, with nothing in them taken as a pattern.
 
     Callers hand in at most a chunk of files; contents never come here.
     """
-    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", row["path"]) for row in rows.select("path").collect()]
+    return [re.sub(_PATTERN_SIGNS, r"\\\1", row["path"]) for row in rows.select("path").collect()]
 
 
 def _raw_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

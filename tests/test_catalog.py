@@ -7,6 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+import loglake.operators.formats as formats_module
 import loglake.plans.catalog as catalog_module
 import loglake.sources.files as files_module
 from loglake.operators.assembly import encoding_of_lines
@@ -401,3 +402,31 @@ def test_documents_as_files(spark, tmp_path):
     stored = [open(os.path.join(at, n), "rb").read() for at, _, names in os.walk(tmp_path / "own") for n in names]
     assert sorted(stored) == sorted(expected.values())
     assert len(os.listdir(tmp_path / "own")) == 3
+
+
+def test_a_batch_finds_its_files_once(spark, tmp_path, monkeypatch):
+    """Accepted files are read from the listing there is, not looked for by their names again; odd names, too."""
+    (tmp_path / "in").mkdir()
+    names = ["a[1].log", "b{x,y}.log", "c*.log", "d?.log", "e\\f.log", "g+ %41.log", "copy.log"]
+    for i, name in enumerate(names):
+        (tmp_path / "in" / name).write_text("line 0\n" if name == "copy.log" else f"line {i}\nmore\n" if i else "line 0\n")
+    loaded, load = [], catalog_module.open_files
+    monkeypatch.setattr(catalog_module, "CHUNK_FILES", 2)
+    monkeypatch.setattr(catalog_module, "open_files", lambda s, p: loaded.append(p) or load(s, p))
+    reader = files_module.open_files
+    monkeypatch.setattr(files_module, "open_files", lambda s, p: loaded.append(p) if isinstance(p, list) else reader(s, p))
+    ingest(spark, str(tmp_path / "in"), str(tmp_path / "cat"), "b1")
+    assert loaded == [str(tmp_path / "in")]
+    cat = Catalog(spark, str(tmp_path / "cat"))
+    assert sorted(r.filename for r in cat.files().collect()) == sorted(set(names) - {"copy.log"})
+    assert sorted(r.message for r in cat.entries().collect()) == sorted([f"line {i}" for i in range(6)] + ["more"] * 5)
+
+
+def test_parts_of_a_format_are_built_once(spark):
+    """Building the expressions of a format is most of what the driver does for a batch."""
+    calls = []
+    spec = formats_module.FormatSpec(
+        "once", head="once ", groups=lambda r: F.array(r.raw), take=lambda r: calls.append(1) or dict(message=r.group(0)))
+    rows = spark.createDataFrame([("once", "once a")], "format string, raw_line string")
+    parsed = formats_module.parse_fields(rows, [spec], "UTC")
+    assert [r.message for r in parsed.collect()] == ["once a"] and len(calls) == 1
