@@ -47,10 +47,15 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
     return redacted.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
+#: Words, and parts of words, whose token ids a worker keeps while it packs.
+MEMO = 100_000
+
+
 def packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Pieces of documents in sequences of at most 4096 tokens."""
     ready(spark)
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # the worker holds what earlier stages left in it, too: fewer words are kept than for packing alone
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), memo=MEMO)
 
 
 STAGES = [

@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from loglake.llm import hard_negatives, line_dedup, ranked_search
+from loglake.llm import hard_negatives, jaccard, line_dedup, ranked_search
 from loglake.llm.best import NO_ID, Best
 from loglake.session import ship_package
 
@@ -218,3 +218,29 @@ def test_term_frequencies_overlap_at_their_borders():
     count = lambda t: {items.terms[k]: n for k, n in ranked_search.frequencies(items.automaton(), t.encode()).items()}
     assert count("a a A aa b-a") == {"a": 4, "aa": 1, "b": 1} and count("ab ba éa aé") == {} and count("") == {}
     assert [ranked_search.count_terms(t.encode()) for t in ("", " ", "a", " a", "a ", "a b", "é-ü x")] == [0, 0, 1, 1, 1, 2, 3]
+
+
+def test_jaccard_compares_joined_sets_no_more(spark, monkeypatch):
+    """Of a member's pivots the nearest is compared; others only if that left them in another component."""
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(40):  # near copies of one text, each with two words of its own
+        own = list(words)
+        own[(7 * i) % 400], own[(11 * i + 3) % 400] = f"x{i}", f"y{i}"
+        rows.append((i, " ".join(own)))
+    compared, verified = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *rest: compared.append([tuple(r) for r in pairs.collect()]) or verified(pairs, *rest))
+    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict.fromkeys(range(40), 0)
+    assert len(compared) > 1 and len(compared[0]) == len({a for a, _ in compared[0]})
+    assert not set(compared[0]) & set(compared[1]) and sum(map(len, compared[:2])) < 80
+
+
+def test_pipeline_packs_with_few_words_kept(spark, monkeypatch):
+    """A worker that holds what earlier stages left keeps fewer words."""
+    import corpus_pipeline
+
+    kept = []
+    monkeypatch.setattr(corpus_pipeline, "pack", lambda docs, path, **options: kept.append(options) or docs)
+    corpus_pipeline.packing(spark, spark.createDataFrame([(1, "a")], "doc_id long, text string"), "")
+    assert 0 < kept[0]["memo"] <= 100_000
