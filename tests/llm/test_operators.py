@@ -9,6 +9,7 @@ from collections import Counter as Bag
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -407,6 +408,60 @@ def test_jaccard_in_crowded_keys(spark, monkeypatch):
     assert got == components_by_hand(made)
 
 
+def test_jaccard_deals_keys_twice_only_where_pairs_were_left_out(spark, monkeypatch):
+    made = {}
+    for family in range(12):  # b is near a and c, which are not near; all share a passage
+        base = [f"f{family}x{i}" for i in range(200)]
+        for k in range(3):
+            made[family * 10 + k] = " ".join([f"p{i}" for i in range(30)] + [f"r{k}y{i}" if 18 * k <= i < 18 * k + 9 else w for i, w in enumerate(base)])
+    docs = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    want, across, seen = components_by_hand(made), jaccard._across, []
+
+    def spied(members, *rest):
+        found = across(members, *rest)
+        seen.append((rest[-1], found is not None, members.select("key").distinct().count()))
+        return found
+
+    monkeypatch.setattr(jaccard, "COMMON", 0)  # else the passage goes last
+    monkeypatch.setattr(jaccard, "_across", spied)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()} == want
+    assert [(best, met) for best, met, _ in seen] == [(jaccard.BEST, True)]
+    seen.clear()
+    monkeypatch.setattr(jaccard, "BEST", 0)  # all pairs are left out at first
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()} == want
+    assert len(seen) == 1 or seen[1][0] is None and seen[1][2] <= seen[0][2]
+
+
+def test_jaccard_short_keys_lose_no_shared_key():
+    """Two blocks of documents, one class in both: at most seven bytes a key travel."""
+    rng = np.random.default_rng(5)
+    sets = {f: np.unique(np.concatenate((rng.integers(0, 1 << 63, 300).astype(np.uint64), np.arange(f % 7, dtype=np.uint64) << np.uint64(40)))) for f in range(40)}
+    blocks = [pd.DataFrame([(f, len(sets[f]), sets[f].tobytes()) for f in fs], columns=["f", "n", "keys"]) for fs in (range(21), [*range(20, 40), 39])]
+    dealt = pd.concat(list(jaccard._dealt(3)(iter(blocks))))
+    assert sum(map(len, dealt["packed"])) <= 7 * sum(len(b"".join(b["keys"])) // 8 for b in blocks)
+    found = np.concatenate([jaccard._met_twice(g)["key"].to_numpy(np.int64).view(np.uint64) for _, g in dealt.groupby("part")])
+    keys, times = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+    assert np.isin(jaccard._short(keys[times > 1]), found).all() and (times > 1).sum() >= 5
+    assert set(found.tolist()) <= set(jaccard._short(np.concatenate((keys[times > 1], sets[20]))).tolist())
+
+
+def test_samples_of_bitmaps_never_exclude_a_link():
+    rng = np.random.default_rng(2)
+    for size in [3, 20, 60, 100, 120, 127, 128, 129, 130, 140, 250, 257, 600, 1030] * 12:
+        x = np.unique(rng.integers(0, 1 << 60, size).astype(np.uint64))
+        y = np.unique(np.concatenate((x[rng.random(len(x)) < 0.9], rng.integers(0, 1 << 60, rng.integers(0, 12)).astype(np.uint64))))
+        if not len(y):
+            continue
+        a, b = (jaccard.sampled(jaccard.signature(s), len(s)) for s in (x, y))
+        assert len(x) <= jaccard.WHOLE or 4 * len(a) == len(jaccard.signature(x))
+        apart = int(np.bitwise_count(np.bitwise_xor(*jaccard._alike([a, b], [len(x), len(y)]))).sum())
+        assert (len(x) + len(y) - apart) // 2 >= len(np.intersect1d(x, y))
+        other = np.unique(rng.integers(0, 1 << 60, size).astype(np.uint64))
+        if size >= 250:  # a set that has nothing in common is told apart
+            far = int(np.bitwise_count(np.bitwise_xor(*jaccard._alike([a, jaccard.sampled(jaccard.signature(other), len(other))], [len(x), len(other)]))).sum())
+            assert (len(x) + len(other) - far) // 2 < jaccard.least_overlap(len(x), len(other), 80)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     rows = jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()
