@@ -432,6 +432,58 @@ def test_jaccard_deals_keys_twice_only_where_pairs_were_left_out(spark, monkeypa
     assert len(seen) == 1 or seen[1][0] is None and seen[1][2] <= seen[0][2]
 
 
+def test_jaccard_makes_no_row_for_each_pair_of_a_crowd(spark, monkeypatch):
+    """Texts just under the threshold, which bitmaps don't tell apart, and some links among them."""
+    rng, made, rows, saved = random.Random(4), {}, {}, jaccard.saved
+    base = [f"w{i}" for i in range(200)]
+    for k in range(60):
+        own = list(base)
+        for place in rng.sample(range(40), 3):
+            own[5 * place + 2] = f"r{k}y{place}"
+        made[k] = " ".join(own)
+        if k % 6 == 0:  # linked with the one before
+            made[100 + k] = " ".join([*own[:-1], "last", f"z{k}"])
+
+    def spied(df, name):
+        out = saved(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "saved", spied)
+    monkeypatch.setattr(jaccard, "WEIGHT", 10, raising=False)  # blocks of few texts
+    docs = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()}
+    assert got == components_by_hand(made) and 20 < len({c for _, c in got.values()}) < 60
+    assert rows["jaccard-cut"] > 0  # pairs were left out at first
+    assert max(n for name, n in rows.items() if name.startswith("jaccard-across")) < 70 * 69 / 4, rows
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_jaccard_links_of_a_tile_join_what_all_pairs_join(seed):
+    rng = np.random.default_rng(seed)
+    bases = [rng.integers(0, 1 << 60, n).astype(np.uint64) for n in (1, 2, 7, 15, 17, 60, 66, 130, 260)]
+    sets = []
+    for _ in range(80):
+        x = bases[rng.integers(len(bases))]
+        sets.append(np.unique(np.concatenate((x[rng.random(len(x)) < 0.97], rng.integers(0, 1 << 60, 1 + rng.integers(1 + len(x) // 8)).astype(np.uint64)))))
+    f, c = rng.permutation(80), rng.integers(0, 50, 80)
+    for side in (np.full(80, -1), rng.integers(0, 2, 80)):
+        links = jaccard._joined(f, c, side, sets, 80)
+
+        def groups(pairs):
+            group = c.copy()
+            for i, j in pairs:
+                group[group == group[j]] = group[i]
+            return {tuple(np.flatnonzero(group == g)) for g in group}
+
+        at = {int(x): k for k, x in enumerate(f)}
+        linked = lambda i, j: len(np.intersect1d(sets[i], sets[j])) * 100 >= 80 * len(np.union1d(sets[i], sets[j]))
+        want = [(i, j) for i in range(80) for j in range(i) if (side[i] < 0 or side[i] != side[j]) and linked(i, j)]
+        got = [(at[a], at[b]) for a, b in links]
+        assert groups(got) == groups(want) and len(groups(got)) == len(np.unique(c)) - len(got)
+        assert want and {tuple(sorted(p)) for p in got} <= {tuple(sorted(p)) for p in want}
+
+
 def test_jaccard_short_keys_lose_no_shared_key():
     """Two blocks of documents, one class in both: at most seven bytes a key travel."""
     rng = np.random.default_rng(5)
