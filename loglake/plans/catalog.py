@@ -31,7 +31,9 @@ from loglake.sources.encodings import UTF8, decode_text, detect_encoding
 from loglake.sources.files import (
     ROW_BYTES,
     WHOLE_FILE_BYTES,
+    Paths,
     content_keys,
+    is_mounted,
     is_zip,
     list_files,
     literal_path,
@@ -39,6 +41,7 @@ from loglake.sources.files import (
     open_files,
     read_blobs,
     read_lines,
+    with_contents,
 )
 
 MAX_FILE_BYTES = 10 << 30
@@ -115,7 +118,8 @@ class Catalog:
         rows, done = self._read("entries", ENTRIES), self._read("uploads", UPLOADS)
         if upload_id is not None:
             rows, done = rows.where(F.col("upload_id") == upload_id), done.where(F.col("id") == upload_id)
-        rows = rows.join(done.select("batch_id").distinct(), "batch_id", "left_semi")
+        # broadcast: shuffled by their batch, all entries of a batch would go to one task
+        rows = rows.join(F.broadcast(done.select("batch_id").distinct()), "batch_id", "left_semi")
         return self._without_deleted(rows, upload="upload_id", file="file_id").select(*ENTRY_COLUMNS)
 
     def sessions(self, file_id: str | None = None) -> DataFrame:
@@ -261,7 +265,8 @@ def intake(spark: SparkSession, paths, batch_id: str, catalog: Catalog, max_byte
         "path", "filename", F.col("length").alias("size_bytes"), _upload_id(batch_id).alias("id")
     ), "listing", batch_id)
     listed = spark.read.parquet(catalog.path("listing", batch_id))
-    whole = _with_text(read_blobs(spark, paths, min(WHOLE_FILE_BYTES, max_bytes))).select(
+    found = listed.select("path", F.col("size_bytes").alias("length")) if is_mounted(paths) else paths
+    whole = _with_text(read_blobs(spark, found, min(WHOLE_FILE_BYTES, max_bytes))).select(
         "path", "md5", is_zip(F.col("filename"), F.col("content")).alias("zip"), "encoding", "format"
     )
     empty = listed.where("size_bytes = 0").select(
@@ -310,14 +315,19 @@ class _Intake:
     def ordinary(self, names: list[str], paths: DataFrame, chunk: DataFrame, own: Column) -> None:
         """Files that are one row each: read, decoded, cut, parsed and written in one map stage.
 
-        They are read from the listing there is, as finding and listing a file again by its name takes longer
-        than reading it: ``own`` leaves out the files of other chunks before any is opened, and what is
-        known of the chunk's ``names``, bounded by its size, goes to every task.
+        Mounted files are opened by the tasks that the chunk's rows are dealt to. Others are read from the
+        listing there is, as finding and listing a file again by its name takes longer than reading it:
+        ``own`` leaves out the files of other chunks before any is opened, and what is known of the
+        chunk's ``names``, bounded by its size, goes to every task.
         """
-        named = self.spark.createDataFrame([(name,) for name in names], "name string")
-        known = chunk.withColumn("name", literal_path(F.col("path"))).join(named, "name", "left_semi")
-        known = F.broadcast(known.select("path", "encoding", "format").distinct())
-        blobs = read_blobs(self.spark, paths, WHOLE_FILE_BYTES).where(own).join(known, "path").select(
+        if is_mounted(paths):
+            blobs = with_contents(chunk.select("path", F.col("size_bytes").alias("length"), "encoding", "format"))
+        else:
+            named = self.spark.createDataFrame([(name,) for name in names], "name string")
+            known = chunk.withColumn("name", literal_path(F.col("path"))).join(named, "name", "left_semi")
+            known = F.broadcast(known.select("path", "encoding", "format").distinct())
+            blobs = read_blobs(self.spark, paths, WHOLE_FILE_BYTES).where(own).join(known, "path")
+        blobs = blobs.select(
             _upload_id(self.batch_id).alias("upload_id"), F.lit(None).cast("string").alias("path_in_archive"),
             F.lit(None).cast("bigint").alias("member"), "format",
             clean_text(decode_text(F.col("content"), F.col("encoding"))).alias("text"))
@@ -369,7 +379,7 @@ class _Intake:
 
 def ingest(
     spark: SparkSession,
-    paths: str | Sequence[str],
+    paths: Paths,
     folder: str,
     batch_id: str,
     *,

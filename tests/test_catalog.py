@@ -422,6 +422,59 @@ def test_a_batch_finds_its_files_once(spark, tmp_path, monkeypatch):
     assert sorted(r.message for r in cat.entries().collect()) == sorted([f"line {i}" for i in range(6)] + ["more"] * 5)
 
 
+def listed(spark, paths):
+    """(path, length) of files as tasks find them and as Spark's source knows them."""
+    found = [(r.path, r.length) for r in list_files(spark, paths).collect()]
+    known = list_files(spark, files_module._spark_files(spark, paths))
+    return sorted(found), sorted((r.path, r.length) for r in known.collect())
+
+
+def test_names_of_a_batch_do_not_come_to_the_driver(spark, tmp_path):
+    """Tasks find the files of mounted folders, the same as Spark's source, of which the driver keeps an index."""
+    deep = tmp_path / "in" / "a" / "b=1" / "c [1]" / "d+%41" / "e"
+    deep.mkdir(parents=True)
+    for i in range(40):
+        (deep / f"{i}.log").write_text("x" * i)
+    for name in (".hidden", "_hidden", "_k=1", "x._COPYING_", "é \u0416.log", "q?.log", "s*{a,b}.log"):
+        (tmp_path / "in" / name).write_text(name)
+    for name in (".git", "_tmp"):
+        (tmp_path / "in" / name).mkdir()
+        (tmp_path / "in" / name / "f.log").write_text("no")
+    os.symlink(deep / "7.log", tmp_path / "in" / "link.log")
+    os.symlink(tmp_path / "gone", tmp_path / "in" / "dangling.log")
+    os.symlink(deep, tmp_path / "in" / "folder")
+    root = str(tmp_path / "in")
+    found = open_files(spark, root)
+    assert not found.inputFiles()
+    for paths in (root, f"file://{root}/", [root, f"{root}/a"], f"{root}/a/*/c*", f"{root}/q\\?.log", [f"{root}/q?.log", f"{root}/s\\*\\{{a,b\\}}.log"], f"{root}/link.log"):
+        assert len(set(here := listed(spark, paths)[0])) == len(here) > 0 and here == listed(spark, paths)[1], paths
+    assert len(listed(spark, root)[0]) == 85
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        open_files(spark, root + "/none")
+
+
+def test_files_of_other_stores_give_the_same(spark, ingested, monkeypatch, tmp_path):
+    """Files that tasks can't open by their names are read by Spark's source."""
+    root, _, cat = ingested
+    monkeypatch.setattr(files_module, "mounted", lambda s, p: None)
+    monkeypatch.setattr(catalog_module, "CHUNK_FILES", 4)
+    ingest(spark, root + "/in", str(tmp_path / "cat"), "b1", max_bytes=2500)
+    assert everything(Catalog(spark, str(tmp_path / "cat"))) == everything(cat)
+
+
+def test_entries_of_a_batch_stay_in_many_tasks(spark, ingested):
+    """They are not shuffled by their batch, whatever the size of the uploads table."""
+    _, _, cat = ingested
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        plan = cat.entries()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
 def test_parts_of_a_format_are_built_once(spark):
     """Building the expressions of a format is most of what the driver does for a batch."""
     calls = []
