@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loglake.plans.catalog import MAX_FILE_BYTES, Catalog, ingest
-from loglake.session import list_in_few_tasks, many_small_files
-from loglake.sources.files import basename, empty_files, literal_paths
+from loglake.session import few_tasks, many_small_files
+from loglake.sources.files import basename, empty_files, is_mounted, literal_paths, open_files
 
 FILES_PER_TRIGGER = 1000
 
@@ -29,7 +29,8 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Ingest files as they appear below ``folder_in``; each micro-batch is a catalogue batch.
 
-    The stream carries file names only; the batch pipeline reads the contents. A micro-batch
+    The stream carries names and sizes only; the batch pipeline reads the contents. Names of files in
+    mounted folders go from the stream to the batch's listing without the driver. A micro-batch
     admits at most ``files_per_trigger`` files, or about ``bytes_per_trigger`` bytes if that
     is given, so neither names nor plan grow with the folder. A replayed micro-batch has the
     same batch id and replaces what it wrote before. Spark gives no row for an empty file:
@@ -42,20 +43,26 @@ def ingest_stream(
         .option("recursiveFileLookup", "true")
         .option(*admitted)
         .load(folder_in)
-        .select("path")
+        .select("path", "length")
     )
 
     def take(batch: DataFrame, epoch: int) -> None:
         session, batch_id = batch.sparkSession, f"stream-{epoch:012d}"
-        paths = literal_paths(batch)
-        earlier = Catalog(session, catalog_folder).uploads().where(F.col("batch_id") != batch_id)
+        below = open_files(session, folder_in)
+        earlier, empty = Catalog(session, catalog_folder).uploads().where(F.col("batch_id") != batch_id), []
         if not earlier.where("size_bytes = 0").limit(1).count():
-            paths += literal_paths(empty_files(session, folder_in).orderBy(basename(F.col("path")), "path").limit(1))
-        if paths:
+            first = empty_files(session, below).orderBy(basename(F.col("path")), "path").limit(1)
+            empty = [(row["path"], 0) for row in first.collect()] if is_mounted(below) else literal_paths(first)
+        if is_mounted(below):
+            paths = batch.unionByName(session.createDataFrame(empty, batch.schema))
+            some = empty or not batch.isEmpty()
+        else:
+            paths = some = literal_paths(batch) + empty
+        if some:
             ingest(session, paths, catalog_folder, batch_id, default_tz=default_tz, max_bytes=max_bytes)
 
     writer = names.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
-    list_in_few_tasks(spark)  # the source lists in the caller's session for as long as the stream runs
+    few_tasks(spark)  # the source lists and deals files in the caller's session for as long as the stream runs
     with many_small_files(spark):  # the batches keep the settings the stream starts with
         return writer.start()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import loglake.operators.formats as formats_module
 import loglake.plans.catalog as catalog_module
 import loglake.sources.files as files_module
+import loglake.streaming.ingest as stream_module
 from loglake.operators.assembly import encoding_of_lines
 from loglake.operators.intake import delete_files, delete_uploads, duplicate_report
 from loglake.plans.catalog import Catalog, ingest
@@ -243,6 +244,26 @@ def test_stream(spark, ingested, tmp_path, limit):
     assert cat.uploads().select("batch_id").distinct().count() >= 2
 
 
+@pytest.mark.parametrize("own", [True, False])
+def test_names_of_a_stream_do_not_come_to_the_driver(spark, tmp_path, monkeypatch, own):
+    """They go to the batch's listing; in a store whose files tasks can't open, the names of a micro-batch do come."""
+    (tmp_path / "in" / "d").mkdir(parents=True)
+    for i in range(30):
+        (tmp_path / "in" / "d" / f"{i} [x]+%41.log").write_text(f"line {i // 2}\n")
+    for name in ("a.log", "b.log"):
+        (tmp_path / "in" / name).write_text("")
+    seen = []
+    monkeypatch.setattr(stream_module, "literal_paths", lambda rows: seen.append(files_module.literal_paths(rows)) or seen[-1])
+    if not own:
+        monkeypatch.setattr(files_module, "mounted", lambda s, p: None)
+    for _ in range(2):
+        ingest_stream(spark, str(tmp_path / "in"), str(tmp_path / "cat"), str(tmp_path / "check"), files_per_trigger=20, available_now=True).awaitTermination()
+    assert sum(map(len, seen)) == (0 if own else 31)
+    cat = Catalog(spark, str(tmp_path / "cat"))
+    assert sorted(r.message for r in cat.entries().collect()) == sorted(f"line {i}" for i in range(15))
+    assert [r.filename for r in cat.uploads().where("size_bytes = 0").collect()] == ["a.log"] and cat.uploads().count() == 16
+
+
 def test_readers(spark, ingested):
     root, _, _ = ingested
     listed = {r.filename: r.length for r in list_files(spark, root + "/in").collect()}
