@@ -46,8 +46,9 @@ def mounted(spark: SparkSession, paths: str | Sequence[str]) -> list[str] | None
 
 
 def _is_hidden(name: str) -> bool:
-    """Names that Spark's file sources pass over."""
-    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+    """Names that Spark's file sources pass over, those that are no UTF-8 included."""
+    plain = name.isascii() or not re.search("[\ud800-\udfff]", name)
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_") or not plain
 
 
 def _below(folder: str, deep: bool) -> Iterator[tuple[str, bool]]:

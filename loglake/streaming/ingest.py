@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from loglake.plans.catalog import MAX_FILE_BYTES, Catalog, ingest
 from loglake.session import few_tasks, many_small_files
-from loglake.sources.files import basename, empty_files, is_mounted, literal_paths, open_files
+from loglake.sources.files import basename, empty_files, literal_paths, mounted
 
 FILES_PER_TRIGGER = 1000
 
@@ -48,16 +48,16 @@ def ingest_stream(
 
     def take(batch: DataFrame, epoch: int) -> None:
         session, batch_id = batch.sparkSession, f"stream-{epoch:012d}"
-        below = open_files(session, folder_in)
+        named = mounted(session, folder_in) is None  # then the batch is told by its names, which tasks can't open
         earlier, empty = Catalog(session, catalog_folder).uploads().where(F.col("batch_id") != batch_id), []
         if not earlier.where("size_bytes = 0").limit(1).count():
-            first = empty_files(session, below).orderBy(basename(F.col("path")), "path").limit(1)
-            empty = [(row["path"], 0) for row in first.collect()] if is_mounted(below) else literal_paths(first)
-        if is_mounted(below):
+            first = empty_files(session, folder_in).orderBy(basename(F.col("path")), "path").limit(1)
+            empty = literal_paths(first) if named else [(row["path"], 0) for row in first.collect()]
+        if named:
+            paths = some = literal_paths(batch) + empty
+        else:
             paths = batch.unionByName(session.createDataFrame(empty, batch.schema))
             some = empty or not batch.isEmpty()
-        else:
-            paths = some = literal_paths(batch) + empty
         if some:
             ingest(session, paths, catalog_folder, batch_id, default_tz=default_tz, max_bytes=max_bytes)
 

@@ -255,7 +255,8 @@ def test_names_of_a_stream_do_not_come_to_the_driver(spark, tmp_path, monkeypatc
     seen = []
     monkeypatch.setattr(stream_module, "literal_paths", lambda rows: seen.append(files_module.literal_paths(rows)) or seen[-1])
     if not own:
-        monkeypatch.setattr(files_module, "mounted", lambda s, p: None)
+        for module in (files_module, stream_module):
+            monkeypatch.setattr(module, "mounted", lambda s, p: None)
     for _ in range(2):
         ingest_stream(spark, str(tmp_path / "in"), str(tmp_path / "cat"), str(tmp_path / "check"), files_per_trigger=20, available_now=True).awaitTermination()
     assert sum(map(len, seen)) == (0 if own else 31)
@@ -461,6 +462,8 @@ def test_names_of_a_batch_do_not_come_to_the_driver(spark, tmp_path):
     for name in (".git", "_tmp"):
         (tmp_path / "in" / name).mkdir()
         (tmp_path / "in" / name / "f.log").write_text("no")
+    with open(os.fsencode(tmp_path / "in") + b"/no \xff text.log", "wb"):
+        pass
     os.symlink(deep / "7.log", tmp_path / "in" / "link.log")
     os.symlink(tmp_path / "gone", tmp_path / "in" / "dangling.log")
     os.symlink(deep, tmp_path / "in" / "folder")
